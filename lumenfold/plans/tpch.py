@@ -1,0 +1,34 @@
+"""Decision-support queries over the star-schema tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lumenfold.plans.registry import query
+
+
+@query(
+    "tpch_q1",
+    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
+    round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
+    round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty,
+    round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
+)
+def q1(spark, d):
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return (
+        t.filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+        .groupBy("l_returnflag", "l_linestatus")
+        .agg(
+            F.sum("l_quantity").alias("sum_qty"),
+            F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
+            F.round(F.sum(price), 2).alias("sum_disc_price"),
+            F.round(F.sum(price * (1 + F.col("l_tax"))), 2).alias("sum_charge"),
+            F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
+            F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
+            F.round(F.avg("l_discount"), 6).alias("avg_disc"),
+            F.count(F.lit(1)).alias("count_order"),
+        )
+    )
