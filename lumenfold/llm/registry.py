@@ -4,12 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.llm import decontaminate, lines, mixing, quality, urls
+from lumenfold.llm import decontaminate, lines, mixing, quality, substrings, toxicity, urls
 from lumenfold.llm.common import table
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 
+def op1_substring_dedup(spark, d):
+    out = substrings.dedup(table(spark, d, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL1 = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+g AS (
+  SELECT doc_id, i, list_slice(words, i, i + 19) AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+s AS (
+  SELECT doc_id, list(i) AS at, CAST(sum(least(20, coalesce(nxt - i, 20))) AS BIGINT) AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM r) GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM r, (SELECT unnest(range(0, 20)) AS k)),
+e AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM e ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(s.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
 def op2_url_filter(spark, d):
     return urls.judge_urls(table(spark, d, "pages"))
 
@@ -52,6 +74,18 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE count(*) END AS n_lines, count
 FROM m GROUP BY doc_id, text"""
 
 
+def op8_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+    return out.select(
+        "doc_id",
+        (toxicity.bucket_of("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
+
+
 def op9_quality_rules(spark, d):
     out = quality.judge(table(spark, d, "documents"))
     return out.select(
@@ -87,9 +121,11 @@ def op10_mix_sources(spark, d):
 
 
 _QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, SQL1),
     "op2_url_filter": (op2_url_filter, SQL2),
     "op6_decontaminate": (op6_decontaminate, None),
     "op7_line_dedup": (op7_line_dedup, SQL7),
+    "op8_toxicity": (op8_toxicity, None),
     "op9_quality_rules": (op9_quality_rules, SQL9),
     "op10_mix_sources": (op10_mix_sources, None),
 }

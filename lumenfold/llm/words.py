@@ -41,7 +41,17 @@ class Words:
         else:
             parts = [b" ".join(t.split()) if t else b"" for t in texts]
         parts.append(b"")
-        self.buf = b"\n".join(parts)
+        self._index(b"\n".join(parts))
+
+    @classmethod
+    def packed(cls, buf: bytes) -> Words:
+        """Of texts that are normalised already, each followed by a line feed."""
+        w = cls.__new__(cls)
+        w._index(buf)
+        return w
+
+    def _index(self, buf: bytes) -> None:
+        self.buf = buf
         a = np.frombuffer(self.buf, np.uint8)
         stops = np.flatnonzero((a == 32) | (a == 10))
         starts = np.empty_like(stops)
