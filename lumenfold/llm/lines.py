@@ -1,7 +1,8 @@
 """Cross-site boilerplate lines by distinct-site spread; DataFrame operations only.
 
 A line on many sites is boilerplate. Lines are keyed by two 64-bit hashes. Lines with fewer occurrences than the threshold
-can't reach it and are left out first, exactly, by a count with partial sums. For the rest, a HyperLogLog sketch of each
+can't reach it and are left out first, exactly, by a count with partial sums (by line and site, so that a line which many
+documents have makes a row for each site). For the rest, a HyperLogLog sketch of each
 line's sites is built and merged by aggregation; where the estimate is near the threshold the sites are counted exactly.
 """
 
@@ -41,13 +42,16 @@ def spread(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K, near: float =
     exact: n_sites was counted; else it is the sketch's estimate, which is far over the threshold. first_id: the smallest
     document id that has the line (null ids come first).
     """
+    pairs = lines.groupBy("k1", "k2", "site").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.count("id").alias("with_id")
+    )
     often = (
-        lines.groupBy("k1", "k2")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.count("id").alias("with_id"))
+        pairs.groupBy("k1", "k2")
+        .agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.sum("with_id").alias("with_id"))
         .filter(F.col("n") >= sites)
         .select("k1", "k2", F.when(F.col("with_id") == F.col("n"), F.col("first_id")).alias("first_id"))
     )
-    held = lines.join(often, ["k1", "k2"]).groupBy("k1", "k2", "site").agg(F.first("first_id").alias("first_id"))
+    held = pairs.select("k1", "k2", "site").join(often, ["k1", "k2"])
     sketched = held.groupBy("k1", "k2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate"), F.first("first_id").alias("first_id")
     )
