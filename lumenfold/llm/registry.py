@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.llm import decontaminate, lines, mixing, quality, substrings, toxicity, urls
+from lumenfold.llm import decontaminate, lines, mixing, neardup, quality, substrings, tokens, toxicity, urls
 from lumenfold.llm.common import table
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -51,6 +51,14 @@ f AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM f"""
 
 
+def op3_minhash_neardup(spark, d):
+    return neardup.classes(table(spark, d, "documents"))
+
+
+def op4_token_counts(spark, d):
+    return tokens.count_tokens(table(spark, d, "documents"))
+
+
 def op6_decontaminate(spark, d):
     found = decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return decontaminate.verdicts(found)
@@ -123,6 +131,8 @@ def op10_mix_sources(spark, d):
 _QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, SQL1),
     "op2_url_filter": (op2_url_filter, SQL2),
+    "op3_minhash_neardup": (op3_minhash_neardup, None),
+    "op4_token_counts": (op4_token_counts, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op7_line_dedup": (op7_line_dedup, SQL7),
     "op8_toxicity": (op8_toxicity, None),
