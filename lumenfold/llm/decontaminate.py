@@ -230,3 +230,15 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = 13) -> list
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(words), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(words)))
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: float = 0.05, **names) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of whose words less than ``share`` (or none) are in shared windows.
+
+    All columns travel in one struct in the id's place, so names can't clash.
+    """
+    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    found = leaks(packed, benchmark, id_col="row", text_col="text", **names)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    clean = found.filter(~((n_hit > 0) & (n_hit >= share * F.col("n_words"))))
+    return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -152,3 +152,17 @@ def _taken(docs, id_col, text_col, source_col, weights, share, most, block_words
     rest = F.col("__want") - rounds * F.col("shard_size") - F.col("__start")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
     return rows.withColumn("taken", taken.cast("long"))
+
+
+def take(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, block_words=BLOCK_WORDS, seed=7) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, all columns as they are and ``taken`` beside them.
+
+    Rows with the same id and text share their order key and are numbered. An input column named taken is replaced.
+    """
+    rows = _taken(docs, id_col, text_col, source_col, weights, share, most, block_words, seed)
+    by = rows.groupBy("order").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes")).filter("takes[0] > 0")
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    joined = packed.join(by, F.col("key") == F.col("order")).withColumn("taken", F.element_at("takes", nth))
+    own = [c for c in docs.columns if c != "taken"]
+    return joined.filter("taken > 0").select(*[F.col(f"row.`{c}`").alias(c) for c in own], "taken")

@@ -236,6 +236,13 @@ def classes(
     return out.select(null("pos").alias(id_col), null("root").alias("class_id"))
 
 
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of the document with the smallest id in each class."""
+    found = classes(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.filter(~F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def _roots_of(low: DataFrame, roots: DataFrame) -> DataFrame:
     """band, top: the class of each bucket's smallest id."""
     r = roots.select("node", F.col("root").alias("top"))

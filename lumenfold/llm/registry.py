@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.llm import decontaminate, lines, mixing, neardup, quality, substrings, tokens, toxicity, urls
+from lumenfold.llm import ctw, decontaminate, lines, mixing, neardup, quality, substrings, tokens, toxicity, urls
 from lumenfold.llm.common import table
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -59,6 +59,10 @@ def op4_token_counts(spark, d):
     return tokens.count_tokens(table(spark, d, "documents"))
 
 
+def op5_ctw_score(spark, d):
+    return ctw.score(table(spark, d, "documents"))
+
+
 def op6_decontaminate(spark, d):
     found = decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return decontaminate.verdicts(found)
@@ -133,6 +137,7 @@ _QUERIES = {
     "op2_url_filter": (op2_url_filter, SQL2),
     "op3_minhash_neardup": (op3_minhash_neardup, None),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_ctw_score": (op5_ctw_score, None),
     "op6_decontaminate": (op6_decontaminate, None),
     "op7_line_dedup": (op7_line_dedup, SQL7),
     "op8_toxicity": (op8_toxicity, None),
@@ -143,7 +148,9 @@ _QUERIES = {
 
 def queries() -> dict:
     """Query functions by name."""
-    return {k: fn for k, (fn, _) in _QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: fn for k, (fn, _) in _QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -229,3 +229,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id {kind}, score double, offending array<struct<sentence:string,score:double>>")
     return out.withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = TOXIC) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in chunks(batches, text_col):
+            yield b.filter(pa.array(shared.value.score(texts_of(b, text_col))[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
