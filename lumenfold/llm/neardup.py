@@ -23,8 +23,8 @@ from lumenfold.llm.words import Words, chunks, grams, mix, texts_of
 
 #: Words of a shingle, the similarity of near-duplicates, and the bands with their registers each.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 5
-#: Up to so many pairs (16 bytes each) are broadcast to the scan that fetches their texts; more are joined by shuffle.
-BROADCAST_PAIRS = 1_000_000
+#: Bits of the filter that keeps texts without pairs out of the shuffle, at every size of the input (1 MB).
+FILTER_BITS = 1 << 23
 NO_ID = -(1 << 63)
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -125,19 +125,40 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
     return d.mapInArrow(run, "pos bigint, c1 bigint, c2 bigint, bands array<bigint>")
 
 
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``rows`` (pos, text) whose pos is among ``ids``, and some more: by a bitmap of hashed ids.
+
+    The bitmap is made by a partial aggregation and has FILTER_BITS bits, so what is sent to the driver and broadcast
+    is bounded. The more ids, the more other rows pass; the joins that follow drop them.
+    """
+    slot = F.pmod(F.xxhash64("pos"), F.lit(FILTER_BITS)).alias("slot")
+    words = ids.select(slot).groupBy(F.shiftright("slot", 5).cast("int").alias("word"))
+    one = F.expr("shiftleft(1L, cast(slot & 31 as int))")
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    for r in words.agg(F.bit_or(one).alias("bits")).toLocalIterator():
+        bits[r["word"]] = r["bits"]
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            at = b.column("slot").to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+            yield b.select(["pos", "text"])
+
+    return rows.select("pos", "text", slot).mapInArrow(run, "pos bigint, text string")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similar: float, shingle: int) -> DataFrame:
     """a, b of the pairs of ids (a > b) whose texts are similar.
 
-    Where the pairs are few enough to broadcast, only texts that are in pairs are shuffled.
+    Only texts that are in pairs, and few others, are shuffled: see _likely().
     """
     pairs = cut(pairs)
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
-    left, right = pairs, pairs.select(F.col("b").alias("pos")).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
-        left, right = F.broadcast(left), F.broadcast(right)
-    one = text.join(left, text["pos"] == left["a"]).select("a", "b", F.col("text").alias("text_a"))
-    two = text.join(right, "pos").select(F.col("pos").alias("pos_b"), F.col("text").alias("text_b"))
-    both = one.hint("merge").join(two, F.col("b") == F.col("pos_b")).select("a", "b", "text_a", "text_b")
+    text = _likely(text, pairs.select(F.explode(F.array("a", "b")).alias("pos")))
+    one = pairs.join(text, F.col("a") == F.col("pos")).select("a", "b", F.col("text").alias("text_a"))
+    two = text.select(F.col("pos").alias("pos_b"), F.col("text").alias("text_b"))
+    both = one.join(two, F.col("b") == F.col("pos_b")).select("a", "b", "text_a", "text_b")
 
     def run(batches):
         last, own = None, None

@@ -59,7 +59,7 @@ def test_as_brute_force(spark):
 
 
 def test_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BROADCAST_PAIRS", -1)
+    monkeypatch.setattr(neardup, "FILTER_BITS", 32)
     long = " ".join(f"w{i}" for i in range(60_000))
     rows = [(None, "a b c d e f g"), (4, "A b c d e f  g"), (5, None), (6, ""), (7, " \n"), (8, "a b"), (9, "a b"), (9, "a b"), (2, "x y z q r s"), (2, "a b"), (11, long), (12, long + " end")]
     got = neardup.classes(spark.createDataFrame([(*r, 1, "") for r in rows], SCHEMA)).collect()
