@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import math
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -47,8 +48,12 @@ class Ctx:
         return F.col(name)
 
     def type_of(self, c: Column) -> T.DataType | None:
+        """The column's type; plain columns and literals carry theirs, so that most questions need no analysis."""
         if self.element is not None:
             return None
+        known = c.__dict__.get("_known")
+        if known is not None:
+            return known
         return self.staged().select(c).schema[0].dataType
 
     def agg(self, c: Column) -> Column:
@@ -268,22 +273,22 @@ class Expr:
         return self._f("sign", lambda x, c: F.signum(c).cast(x.type_of(c) or T.DoubleType()))
 
     def eq(self, v) -> Expr:
-        return self._f("eq", _compare(lambda a, b: a == b, False), v)
+        return self._f("eq", _compare("eq"), v)
 
     def ne(self, v) -> Expr:
-        return self._f("ne", _compare(lambda a, b: a != b, True), v)
+        return self._f("ne", _compare("ne"), v)
 
     def lt(self, v) -> Expr:
-        return self._f("lt", _compare(lambda a, b: a < b, False), v)
+        return self._f("lt", _compare("lt"), v)
 
     def le(self, v) -> Expr:
-        return self._f("le", _compare(lambda a, b: a <= b, False), v)
+        return self._f("le", _compare("le"), v)
 
     def gt(self, v) -> Expr:
-        return self._f("gt", _compare(lambda a, b: a > b, False), v)
+        return self._f("gt", _compare("gt"), v)
 
     def ge(self, v) -> Expr:
-        return self._f("ge", _compare(lambda a, b: a >= b, False), v)
+        return self._f("ge", _compare("ge"), v)
 
     def eq_missing(self, v) -> Expr:
         return self._f("eq_missing", lambda _, a, b: a.eqNullSafe(b), v)
@@ -292,16 +297,16 @@ class Expr:
         return self._f("ne_missing", lambda _, a, b: ~a.eqNullSafe(b), v)
 
     def and_(self, v) -> Expr:
-        return self._f("and", lambda x, a, b: a & b if _boolean(x, a) else a.bitwiseAND(b), v)
+        return self._f("and", lambda x, a, b: _known(a & b, T.BooleanType()) if _boolean(x, a) else a.bitwiseAND(b), v)
 
     def or_(self, v) -> Expr:
-        return self._f("or", lambda x, a, b: a | b if _boolean(x, a) else a.bitwiseOR(b), v)
+        return self._f("or", lambda x, a, b: _known(a | b, T.BooleanType()) if _boolean(x, a) else a.bitwiseOR(b), v)
 
     def xor(self, v) -> Expr:
-        return self._f("xor", lambda x, a, b: a != b if _boolean(x, a) else a.bitwiseXOR(b), v)
+        return self._f("xor", lambda x, a, b: _known(a != b, T.BooleanType()) if _boolean(x, a) else a.bitwiseXOR(b), v)
 
     def not_(self) -> Expr:
-        return self._f("not", lambda x, a: ~a if _boolean(x, a) else F.bitwise_not(a))
+        return self._f("not", lambda x, a: _known(~a, T.BooleanType()) if _boolean(x, a) else F.bitwise_not(a))
 
     __add__, __sub__, __mul__, __truediv__, __floordiv__, __mod__, __pow__ = add, sub, mul, div, floor_div, mod, pow
     __eq__, __ne__, __lt__, __le__, __gt__, __ge__ = eq, ne, lt, le, gt, ge
@@ -328,13 +333,13 @@ class Expr:
     def is_in(self, values) -> Expr:
         if isinstance(values, Expr):
             return self._f("is_in", lambda _, a, b: F.array_contains(b, a), values)
-        return self._map("is_in", lambda c: c.isin(list(values)))
+        return self._map("is_in", lambda c: _known(c.isin(list(values)), T.BooleanType()))
 
     def is_null(self) -> Expr:
-        return self._map("is_null", lambda c: c.isNull())
+        return self._map("is_null", lambda c: _known(c.isNull(), T.BooleanType()))
 
     def is_not_null(self) -> Expr:
-        return self._map("is_not_null", lambda c: c.isNotNull())
+        return self._map("is_not_null", lambda c: _known(c.isNotNull(), T.BooleanType()))
 
     def is_nan(self) -> Expr:
         return self._map("is_nan", lambda c: F.when(c.isNotNull(), F.isnan(c)))
@@ -1261,18 +1266,30 @@ for _n, _g in {
 
 
 # -- helpers -----------------------------------------------------------------------------------------------------
-def _compare(op, with_nan: bool):
+def _compare(op: str):
+    """A comparison by IEEE rules. Spark has NaN equal to itself and above all else, so a guard is added where that
+    matters; it stands beside the plain comparison, which scans can still take as a filter."""
+
     def fn(x, a, b):
-        floats = [c for c in (a, b) if isinstance(x.type_of(c), FLOATS)]
-        out = op(a, b)
-        if not floats:
-            return out
-        odd = functools.reduce(lambda p, q: p | q, [F.isnan(c) for c in floats])
-        return F.when(a.isNull() | b.isNull(), None).when(odd, with_nan).otherwise(out)
+        out = getattr(operator, op)(a, b)
+        guarded = {"eq": (a, b), "ne": (a, b), "lt": (b, a), "le": (b, a), "gt": (a, b), "ge": (a, b)}[op]
+        both = all(isinstance(x.type_of(c), FLOATS) for c in (a, b)) if op in ("eq", "ne") else True
+        c, other = guarded
+        if both and isinstance(x.type_of(c), FLOATS) and not any(_is_number(v) for v in ((a, b) if op in ("eq", "ne") else (c,))):
+            if op == "ne":
+                out = out | (F.isnan(c) & other.isNotNull())
+            else:
+                out = out & (~F.isnan(c) if _is_number(other) else ~F.isnan(c) | other.isNull())
+        return _known(out, T.BooleanType())
 
     return fn
 
 
+def _is_number(c: Column) -> bool:
+    """Whether it is a literal other than NaN and null."""
+    return c.__dict__.get("_number", False)
+
+
 def _boolean(x: Ctx, c: Column) -> bool:
     kind = x.type_of(c)
     return kind is None or isinstance(kind, T.BooleanType)
@@ -1429,10 +1446,21 @@ def to_expr(v) -> Expr:
 def col(*names: str) -> Expr:
     if len(names) == 1:
         n = names[0]
-        return Expr(lambda x: F.col(f"`{n}`"), (), f"col({n})", "col", n)
+        return Expr(lambda x: _column(x, n), (), f"col({n})", "col", n)
     return _match(f"col({', '.join(names)})", lambda s: list(names))
 
 
+def _known(c: Column, kind: T.DataType) -> Column:
+    c._known = kind
+    return c
+
+
+def _column(x: Ctx, name: str) -> Column:
+    c = F.col(f"`{name}`")
+    kind = next((f.dataType for f in x.df.schema.fields if f.name == name), None) if x.df is not None else None
+    return c if kind is None else _known(c, kind)
+
+
 def _match(label: str, fn) -> Expr:
     return Expr(lambda s: [n for n in fn(s) if n != ROW], (), label, "match", "*")
 
@@ -1469,15 +1497,22 @@ def lit(v) -> Expr:
     """A literal; a Python integer is a 64-bit integer, a list is a list."""
 
     def fn(_):
-        if isinstance(v, bool) or v is None:
+        if v is None:
             return F.lit(v)
+        if isinstance(v, bool):
+            return _known(F.lit(v), T.BooleanType())
         if isinstance(v, int):
-            return F.lit(v).cast("long")
+            c = _known(F.lit(v).cast("long"), T.LongType())
+            c._number = True
+            return c
         if isinstance(v, (list, tuple)):
             return F.array(*[lit(i).compile(None) for i in v])
         if isinstance(v, dt.datetime) and v.tzinfo is None:
-            return F.lit(v.isoformat(" ")).cast("timestamp_ntz")
-        return F.lit(v)
+            return _known(F.lit(v.isoformat(" ")).cast("timestamp_ntz"), T.TimestampNTZType())
+        kind = {str: T.StringType, float: T.DoubleType}.get(type(v))
+        c = _known(F.lit(v), kind()) if kind else F.lit(v)
+        c._number = isinstance(v, float) and not math.isnan(v)
+        return c
 
     return Expr(fn, (), f"lit({v!r})", "lit", "literal")
 
@@ -1554,6 +1589,23 @@ def _cov(x, a, b, ddof=1):
 cov = _pair("cov", _cov)
 
 
+def spearman(a, b) -> Expr:
+    """Pearson's correlation of the average ranks, within the group, of the rows that have both values."""
+
+    def fn(x, p, q):
+        full = p.isNotNull() & q.isNotNull()
+
+        def ranked(c):
+            part = (*x.part, full)
+            place = F.rank().over(Window.partitionBy(*part).orderBy(c))
+            peers = F.count(F.lit(1)).over(Window.partitionBy(*part, c))
+            return x.stage(F.when(full, place + (peers - 1) / 2))
+
+        return F.coalesce(x.agg(F.corr(ranked(p), ranked(q))), F.lit(math.nan))
+
+    return to_expr(a)._agg("spearman", fn, b)
+
+
 def rolling_cov(a, b, size: int, **o) -> Expr:
     return to_expr(a)._roll("rolling_cov", size, lambda c, w, d: F.covar_samp(c, d).over(w), b, **o)
 

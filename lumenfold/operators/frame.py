@@ -149,9 +149,13 @@ class Frame:
     with_columns_seq = with_columns
 
     def filter(self, *preds) -> Frame:
-        df, out = self._compiled([_as_expr(p).alias(f"__p{i}") for i, p in enumerate(preds)])
-        keep = [c for c in df.columns if c in self.df.columns]
-        return Frame(df.filter(functools.reduce(lambda a, b: a & b, [c for _, c in out])).select(*[F.col(f"`{c}`") for c in keep]))
+        preds = [_as_expr(p) for p in preds]
+        df, out = self._compiled([p.alias(f"__p{i}") for i, p in enumerate(preds)])
+        keep = [F.col(f"`{c}`") for c in df.columns if c == ROW or c in self.df.columns]
+        if any(p.has("window", "spread", "over") for p in preds):  # a window can't stand in a filter
+            df, out = df.select(*keep, *[c.alias(n) for n, c in out]), [(n, F.col(n)) for n, _ in out]
+        df = df.filter(functools.reduce(lambda a, b: a & b, [c for _, c in out]))
+        return Frame(df.select(*keep) if len(df.columns) > len(keep) else df)
 
     def remove(self, *preds) -> Frame:
         return self.filter(*[_as_expr(p).not_() for p in preds])
@@ -733,6 +737,8 @@ class GroupBy:
         exprs = [x for e in exprs for x in _as_expr(e).expand(self.frame.schema)]
         f = self.frame._row() if self.order or any(e.has("rowagg", "window") for e in [*exprs, *self.preds]) else self.frame
         ctx = Ctx(f.df, grouped=True, present=self.present)
+        if self.columns is None:
+            ctx = replace(ctx, part=tuple(k.compile(ctx) for k in self.keys))
         names = [e.name_of() for e in exprs]
         if len(set(names)) != len(names):
             raise ValueError(f"duplicate output names: {names}")

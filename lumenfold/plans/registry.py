@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+
+from lumenfold.operators.frame import Frame
+
+_MODULES = ("tpch", "groupjoin", "frames", "joining")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``; ``sql`` is its DuckDB twin."""
+    """Register ``fn(spark, sf_dir)``, which returns a frame or a DataFrame, under ``name``; ``sql`` is its DuckDB twin."""
 
     def add(fn):
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = fn
+
+        def run(spark, sf_dir: str) -> DataFrame:
+            out = fn(spark, sf_dir)
+            return out.spark() if isinstance(out, Frame) else out
+
+        run.__name__ = name
+        _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql
         return fn
@@ -24,8 +36,8 @@ def query(name: str, sql: str | None = None):
 
 def queries() -> dict[str, Callable]:
     """Query functions by name."""
-    from lumenfold.plans import tpch  # noqa: F401
-
+    for m in _MODULES:
+        importlib.import_module(f"lumenfold.plans.{m}")
     return dict(_QUERIES)
 
 

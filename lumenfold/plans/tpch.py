@@ -1,10 +1,25 @@
-"""Decision-support queries over the star-schema tables."""
+"""Decision-support queries over the star-schema tables.
+
+The tables lack some of the standard columns and the table ``partsupp``: those queries keep their shape on what is there.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import datetime as dt
 
+from lumenfold.functions.expr import col, desc, length, lit, when
 from lumenfold.plans.registry import query
+from lumenfold.plans.tables import scan
+
+_REVENUE = col("l_extendedprice") * (lit(1.0) - col("l_discount"))
+
+
+def day(y: int, m: int = 1, d: int = 1):
+    return lit(dt.datetime(y, m, d))
+
+
+def money(e, name: str):
+    return e.round(2).alias(name)
 
 
 @query(
@@ -16,19 +31,339 @@ from lumenfold.plans.registry import query
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
 )
 def q1(spark, d):
-    t = spark.read.parquet(f"{d}/lineitem.parquet")
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return (
-        t.filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-        .groupBy("l_returnflag", "l_linestatus")
+        scan(spark, d, "lineitem")
+        .filter(col("l_shipdate") <= day(1998, 9, 2))
+        .group_by("l_returnflag", "l_linestatus")
         .agg(
-            F.sum("l_quantity").alias("sum_qty"),
-            F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-            F.round(F.sum(price), 2).alias("sum_disc_price"),
-            F.round(F.sum(price * (1 + F.col("l_tax"))), 2).alias("sum_charge"),
-            F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
-            F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
-            F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-            F.count(F.lit(1)).alias("count_order"),
+            col("l_quantity").sum().alias("sum_qty"),
+            money(col("l_extendedprice").sum(), "sum_base_price"),
+            money(_REVENUE.sum(), "sum_disc_price"),
+            money((_REVENUE * (lit(1.0) + col("l_tax"))).sum(), "sum_charge"),
+            col("l_quantity").mean().round(4).alias("avg_qty"),
+            col("l_extendedprice").mean().round(4).alias("avg_price"),
+            col("l_discount").mean().round(6).alias("avg_disc"),
+            length().alias("count_order"),
         )
     )
+
+
+@query(
+    "tpch_q3",
+    """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate
+    FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
+    GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, l_orderkey LIMIT 10""",
+)
+def q3(spark, d):
+    customer = scan(spark, d, "customer").filter(col("c_mktsegment") == "BUILDING").select("c_custkey")
+    orders = scan(spark, d, "orders").filter(col("o_orderdate") < day(1998, 3, 15)).select("o_orderkey", "o_custkey", "o_orderdate")
+    items = scan(spark, d, "lineitem").filter(col("l_shipdate") > day(1998, 3, 15))
+    open_orders = orders.join(customer, left_on="o_custkey", right_on="c_custkey", how="semi")
+    return (
+        items.join(open_orders, left_on="l_orderkey", right_on="o_orderkey")
+        .group_by("l_orderkey", "o_orderdate")
+        .agg(money(_REVENUE.sum(), "revenue"))
+        .sort(desc("revenue"), "l_orderkey")
+        .head(10)
+    )
+
+
+@query(
+    "tpch_q4",
+    """SELECT o_orderpriority, count(*) AS order_count FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1997-07-01' AND o_orderdate < TIMESTAMP '1997-10-01'
+    AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_quantity > 25)
+    GROUP BY 1""",
+)
+def q4(spark, d):
+    late = scan(spark, d, "lineitem").filter(col("l_quantity") > 25.0).select("l_orderkey", "l_shipdate")
+    return (
+        scan(spark, d, "orders")
+        .filter(col("o_orderdate") >= day(1997, 7), col("o_orderdate") < day(1997, 10))
+        .where_exists(late, col("l_orderkey") == col("o_orderkey"), col("l_shipdate") > col("o_orderdate"))
+        .group_by("o_orderpriority")
+        .len("order_count")
+    )
+
+
+@query(
+    "tpch_q5",
+    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey
+    JOIN region ON n_regionkey = r_regionkey
+    WHERE r_name = 'ASIA' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' GROUP BY 1""",
+)
+def q5(spark, d):
+    region = scan(spark, d, "region").filter(col("r_name") == "ASIA")
+    nation = scan(spark, d, "nation").join(region, left_on="n_regionkey", right_on="r_regionkey", how="semi").select("n_nationkey", "n_name")
+    supplier = scan(spark, d, "supplier").join(nation, left_on="s_nationkey", right_on="n_nationkey").select("s_suppkey", "s_nationkey", "n_name")
+    customer = scan(spark, d, "customer").select("c_custkey", "c_nationkey")
+    orders = scan(spark, d, "orders").filter(col("o_orderdate") >= day(1996), col("o_orderdate") < day(1999)).select("o_orderkey", "o_custkey")
+    orders = orders.join(customer, left_on="o_custkey", right_on="c_custkey").select("o_orderkey", "c_nationkey")
+    items = scan(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
+    return (
+        items.join(supplier, left_on="l_suppkey", right_on="s_suppkey")
+        .join(orders, left_on=["l_orderkey", "s_nationkey"], right_on=["o_orderkey", "c_nationkey"])
+        .group_by("n_name")
+        .agg(money(_REVENUE.sum(), "revenue"))
+    )
+
+
+@query(
+    "tpch_q6",
+    """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
+    WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
+)
+def q6(spark, d):
+    items = scan(spark, d, "lineitem").filter(
+        col("l_shipdate") >= day(1997), col("l_shipdate") < day(1998), col("l_discount").is_between(0.05, 0.07), col("l_quantity") < 24.0
+    )
+    return items.select(money((col("l_extendedprice") * col("l_discount")).sum(), "revenue"))
+
+
+@query(
+    "tpch_q7",
+    """SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, year(l_shipdate)::INTEGER AS l_year,
+    round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+    JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey
+    WHERE ((n1.n_name = 'NATION_6' AND n2.n_name = 'NATION_7') OR (n1.n_name = 'NATION_7' AND n2.n_name = 'NATION_6'))
+    AND l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' GROUP BY ALL""",
+)
+def q7(spark, d):
+    nation = scan(spark, d, "nation").filter(col("n_name").is_in(["NATION_6", "NATION_7"])).select("n_nationkey", "n_name")
+    supplier = scan(spark, d, "supplier").join(nation, left_on="s_nationkey", right_on="n_nationkey").select("s_suppkey", col("n_name").alias("supp_nation"))
+    customer = scan(spark, d, "customer").join(nation, left_on="c_nationkey", right_on="n_nationkey").select("c_custkey", col("n_name").alias("cust_nation"))
+    orders = scan(spark, d, "orders").select("o_orderkey", "o_custkey").join(customer, left_on="o_custkey", right_on="c_custkey").drop("o_custkey")
+    return (
+        scan(spark, d, "lineitem")
+        .filter(col("l_shipdate").is_between(day(1996), day(1998, 12, 31)))
+        .join(supplier, left_on="l_suppkey", right_on="s_suppkey")
+        .join(orders, left_on="l_orderkey", right_on="o_orderkey")
+        .filter(col("supp_nation") != col("cust_nation"))
+        .group_by("supp_nation", "cust_nation", col("l_shipdate").dt.year().alias("l_year"))
+        .agg(money(_REVENUE.sum(), "revenue"))
+    )
+
+
+@query(
+    "tpch_q8",
+    """SELECT year(o_orderdate)::INTEGER AS o_year,
+    round(sum(CASE WHEN n2.n_name = 'NATION_6' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share
+    FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN nation n1 ON c_nationkey = n1.n_nationkey JOIN region ON n1.n_regionkey = r_regionkey
+    JOIN nation n2 ON s_nationkey = n2.n_nationkey
+    WHERE r_name = 'AMERICA' AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31' AND p_type = 'ECONOMY' GROUP BY 1""",
+)
+def q8(spark, d):
+    part = scan(spark, d, "part").filter(col("p_type") == "ECONOMY").select("p_partkey")
+    america = scan(spark, d, "region").filter(col("r_name") == "AMERICA")
+    nation = scan(spark, d, "nation")
+    home = nation.join(america, left_on="n_regionkey", right_on="r_regionkey", how="semi")
+    customer = scan(spark, d, "customer").join(home, left_on="c_nationkey", right_on="n_nationkey", how="semi").select("c_custkey")
+    orders = scan(spark, d, "orders").filter(col("o_orderdate").is_between(day(1995), day(1998, 12, 31)))
+    orders = orders.join(customer, left_on="o_custkey", right_on="c_custkey", how="semi").select("o_orderkey", "o_orderdate")
+    supplier = scan(spark, d, "supplier").join(nation.select("n_nationkey", "n_name"), left_on="s_nationkey", right_on="n_nationkey").select("s_suppkey", "n_name")
+    return (
+        scan(spark, d, "lineitem")
+        .join(part, left_on="l_partkey", right_on="p_partkey", how="semi")
+        .join(orders, left_on="l_orderkey", right_on="o_orderkey")
+        .join(supplier, left_on="l_suppkey", right_on="s_suppkey")
+        .group_by(col("o_orderdate").dt.year().alias("o_year"))
+        .agg((when(col("n_name") == "NATION_6").then(_REVENUE).otherwise(0.0).sum() / _REVENUE.sum()).round(6).alias("mkt_share"))
+    )
+
+
+@query(
+    "tpch_q10",
+    """SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name
+    FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND l_returnflag = 'R'
+    GROUP BY ALL ORDER BY revenue DESC, c_custkey LIMIT 20""",
+)
+def q10(spark, d):
+    orders = scan(spark, d, "orders").filter(col("o_orderdate") >= day(1997, 10), col("o_orderdate") < day(1998)).select("o_orderkey", "o_custkey")
+    back = scan(spark, d, "lineitem").filter(col("l_returnflag") == "R").join(orders, left_on="l_orderkey", right_on="o_orderkey")
+    nation = scan(spark, d, "nation").select("n_nationkey", "n_name")
+    top = back.group_by("o_custkey").agg(money(_REVENUE.sum(), "revenue"))
+    return (
+        scan(spark, d, "customer")
+        .join(top, left_on="c_custkey", right_on="o_custkey")
+        .join(nation, left_on="c_nationkey", right_on="n_nationkey")
+        .select("c_custkey", "c_name", "revenue", "c_acctbal", "n_name")
+        .sort(desc("revenue"), "c_custkey")
+        .head(20)
+    )
+
+
+@query(
+    "tpch_q12",
+    """SELECT l_linestatus, count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS high_line_count,
+    count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS low_line_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    WHERE l_returnflag IN ('A', 'N') AND l_shipdate > o_orderdate AND l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1""",
+)
+def q12(spark, d):
+    orders = scan(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    high = col("o_orderpriority").is_in(["1-URGENT", "2-HIGH"])
+    return (
+        scan(spark, d, "lineitem")
+        .filter(col("l_returnflag").is_in(["A", "N"]), col("l_shipdate") >= day(1997), col("l_shipdate") < day(1998))
+        .join(orders, left_on="l_orderkey", right_on="o_orderkey")
+        .filter(col("l_shipdate") > col("o_orderdate"))
+        .group_by("l_linestatus")
+        .agg(lit(1).filter(high).count().alias("high_line_count"), lit(1).filter(~high).count().alias("low_line_count"))
+    )
+
+
+@query(
+    "tpch_q13",
+    """SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer
+    LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '5-LOW' GROUP BY 1) GROUP BY 1""",
+)
+def q13(spark, d):
+    orders = scan(spark, d, "orders").filter(col("o_orderpriority") != "5-LOW").select("o_orderkey", "o_custkey")
+    each = scan(spark, d, "customer").select("c_custkey").join(orders, left_on="c_custkey", right_on="o_custkey", how="left").group_by("c_custkey").agg(col("o_orderkey").count().alias("c_count"))
+    return each.group_by("c_count").len("custdist")
+
+
+@query(
+    "tpch_q14",
+    """SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END)
+    / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue FROM lineitem JOIN part ON l_partkey = p_partkey
+    WHERE l_shipdate >= TIMESTAMP '1997-09-01' AND l_shipdate < TIMESTAMP '1997-10-01'""",
+)
+def q14(spark, d):
+    part = scan(spark, d, "part").select("p_partkey", "p_type")
+    items = scan(spark, d, "lineitem").filter(col("l_shipdate") >= day(1997, 9), col("l_shipdate") < day(1997, 10)).join(part, left_on="l_partkey", right_on="p_partkey")
+    promo = when(col("p_type").str.starts_with("PROMO")).then(_REVENUE).otherwise(0.0).sum()
+    return items.select((promo * 100.0 / _REVENUE.sum()).round(6).alias("promo_revenue"))
+
+
+@query(
+    "tpch_q15",
+    """WITH r AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total_revenue FROM lineitem
+    WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-04-01' GROUP BY 1)
+    SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN r ON s_suppkey = l_suppkey WHERE total_revenue = (SELECT max(total_revenue) FROM r)""",
+)
+def q15(spark, d):
+    r = scan(spark, d, "lineitem").filter(col("l_shipdate") >= day(1998), col("l_shipdate") < day(1998, 4)).group_by("l_suppkey").agg(money(_REVENUE.sum(), "total_revenue"))
+    best = r.filter(col("total_revenue") == col("total_revenue").max())
+    return scan(spark, d, "supplier").join(best, left_on="s_suppkey", right_on="l_suppkey").select("s_suppkey", "s_name", "total_revenue")
+
+
+@query(
+    "tpch_q16",
+    """SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE p_brand <> 'Brand#5' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+    GROUP BY 1, 2, 3""",
+)
+def q16(spark, d):
+    part = scan(spark, d, "part").filter(col("p_brand") != "Brand#5", col("p_size").is_in([3, 9, 14, 19, 23, 36, 45, 49])).select("p_partkey", "p_brand", "p_type", "p_size")
+    poor = scan(spark, d, "supplier").filter(col("s_acctbal") < 0.0).select("s_suppkey")
+    return (
+        scan(spark, d, "lineitem")
+        .select("l_partkey", "l_suppkey")
+        .join(part, left_on="l_partkey", right_on="p_partkey")
+        .join(poor, left_on="l_suppkey", right_on="s_suppkey", how="anti")
+        .group_by("p_brand", "p_type", "p_size")
+        .agg(col("l_suppkey").n_unique().alias("supplier_cnt"))
+    )
+
+
+@query(
+    "tpch_q17",
+    """SELECT round(sum(l_extendedprice) / 7.0, 4) AS avg_yearly FROM lineitem l JOIN part ON p_partkey = l_partkey
+    WHERE p_brand = 'Brand#3' AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem i WHERE i.l_partkey = l.l_partkey)""",
+)
+def q17(spark, d):
+    part = scan(spark, d, "part").filter(col("p_brand") == "Brand#3").select("p_partkey")
+    items = scan(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice").join(part, left_on="l_partkey", right_on="p_partkey", how="semi")
+    usual = items.group_by("l_partkey").agg((col("l_quantity").mean() * 0.5).alias("half"))
+    return items.join(usual, on="l_partkey").filter(col("l_quantity") < col("half")).select((col("l_extendedprice").sum() / 7.0).round(4).alias("avg_yearly"))
+
+
+@query(
+    "tpch_q18",
+    """SELECT c_name, c_custkey, o_orderkey, o_totalprice, sum(l_quantity) AS sum_qty
+    FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
+    WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 200)
+    GROUP BY ALL ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""",
+)
+def q18(spark, d):
+    big = scan(spark, d, "lineitem").group_by("l_orderkey").having(col("l_quantity").sum() > 200.0).agg(col("l_quantity").sum().alias("sum_qty"))
+    customer = scan(spark, d, "customer").select("c_custkey", "c_name")
+    return (
+        scan(spark, d, "orders")
+        .select("o_orderkey", "o_custkey", "o_totalprice")
+        .join(big, left_on="o_orderkey", right_on="l_orderkey")
+        .join(customer, left_on="o_custkey", right_on="c_custkey")
+        .select("c_name", col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice", "sum_qty")
+        .sort(desc("o_totalprice"), "o_orderkey")
+        .head(100)
+    )
+
+
+@query(
+    "tpch_q19",
+    """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 5)
+    OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 10)
+    OR (p_brand = 'Brand#4' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 15)""",
+)
+def q19(spark, d):
+    part = scan(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    one = lambda brand, lo, hi, size: (col("p_brand") == brand) & col("l_quantity").is_between(lo, hi) & col("p_size").is_between(1, size)
+    either = one("Brand#12", 1.0, 11.0, 5) | one("Brand#23", 10.0, 20.0, 10) | one("Brand#4", 20.0, 30.0, 15)
+    items = scan(spark, d, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    return items.join(part, left_on="l_partkey", right_on="p_partkey").filter(either).select(money(_REVENUE.sum(), "revenue"))
+
+
+@query(
+    "tpch_q21",
+    """SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey
+    JOIN nation ON s_nationkey = n_nationkey WHERE o_orderstatus = 'F' AND l1.l_returnflag = 'R' AND n_regionkey = 1
+    AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+    AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
+    GROUP BY 1 ORDER BY numwait DESC, s_name LIMIT 100""",
+)
+def q21(spark, d):
+    items = scan(spark, d, "lineitem")
+    others = items.select(col("l_orderkey").alias("k"), col("l_suppkey").alias("s"))
+    late = items.filter(col("l_returnflag") == "R").select(col("l_orderkey").alias("k"), col("l_suppkey").alias("s"))
+    nation = scan(spark, d, "nation").filter(col("n_regionkey") == 1)
+    supplier = scan(spark, d, "supplier").join(nation, left_on="s_nationkey", right_on="n_nationkey", how="semi").select("s_suppkey", "s_name")
+    orders = scan(spark, d, "orders").filter(col("o_orderstatus") == "F").select("o_orderkey")
+    same = (col("k") == col("l_orderkey"), col("s") != col("l_suppkey"))
+    return (
+        items.filter(col("l_returnflag") == "R")
+        .select("l_orderkey", "l_suppkey")
+        .join(supplier, left_on="l_suppkey", right_on="s_suppkey")
+        .join(orders, left_on="l_orderkey", right_on="o_orderkey", how="semi")
+        .where_exists(others, *same)
+        .where_not_exists(late, *same)
+        .group_by("s_name")
+        .len("numwait")
+        .sort(desc("numwait"), "s_name")
+        .head(100)
+    )
+
+
+@query(
+    "tpch_q22",
+    """SELECT substr(c_mktsegment, 1, 2) AS code, count(*) AS numcust, round(sum(c_acctbal), 2) AS totacctbal FROM customer
+    WHERE substr(c_mktsegment, 1, 2) IN ('BU', 'MA', 'HO') AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01') GROUP BY 1""",
+)
+def q22(spark, d):
+    recent = scan(spark, d, "orders").filter(col("o_orderdate") >= day(2000)).select("o_custkey")
+    customer = scan(spark, d, "customer").with_columns(col("c_mktsegment").str.slice(0, 2).alias("code"))
+    rich = customer.filter(col("c_acctbal") > col("c_acctbal").filter(col("c_acctbal") > 0.0).mean())
+    return (
+        rich.filter(col("code").is_in(["BU", "MA", "HO"]))
+        .join(recent, left_on="c_custkey", right_on="o_custkey", how="anti")
+        .group_by("code")
+        .agg(length().alias("numcust"), money(col("c_acctbal").sum(), "totacctbal"))
+    )
+
