@@ -77,6 +77,9 @@ class Ctx:
         return Window.partitionBy(*self.part).orderBy(*flip)
 
 
+#: Inside Expr, ``str`` is a namespace.
+_STR = str
+
 #: Kinds of expressions that are windows.
 _OVER = ("window", "spread", "over")
 _START, _END = Window.unboundedPreceding, Window.unboundedFollowing
@@ -138,6 +141,10 @@ class Expr:
     def _f(self, label: str, fn, *others, kind: str = "scalar") -> Expr:
         return Expr(fn, (self, *map(to_expr, others)), label, kind)
 
+    def _by(self, label: str, fn, by, kind: str) -> Expr:
+        """A function of another column too, which a text names."""
+        return Expr(fn, (self, col(by) if isinstance(by, _STR) else to_expr(by)), label, kind)
+
     def _map(self, label: str, fn: Callable[[Column], Column]) -> Expr:
         return self._f(label, lambda _, c: fn(c))
 
@@ -630,7 +637,7 @@ class Expr:
         return self._ordered("arg_max", lambda a: F.array_position(a, F.array_max(a)) - 1)
 
     def min_by(self, by) -> Expr:
-        return self._f("min_by", lambda x, c, b: x.agg(F.min_by(c, F.when(b.isNotNull(), F.struct(b, *_sortable(x))))), by, kind="rowagg")
+        return self._by("min_by", lambda x, c, b: x.agg(F.min_by(c, F.when(b.isNotNull(), F.struct(b, *_sortable(x))))), by, kind="rowagg")
 
     def max_by(self, by) -> Expr:
         """The value where ``by`` is greatest; the first one on ties."""
@@ -638,7 +645,7 @@ class Expr:
         def fn(x, c, b):
             return x.agg(F.max_by(c, F.when(b.isNotNull(), F.struct(b, *[-k for k in _sortable(x)]))))
 
-        return self._f("max_by", fn, by, kind="rowagg")
+        return self._by("max_by", fn, by, kind="rowagg")
 
     def var(self, ddof: int = 1) -> Expr:
         return self._agg("var", lambda x, c: _variance(x, c, ddof))
@@ -732,7 +739,7 @@ class Expr:
             full = F.filter(pairs, lambda p: p["b"].isNotNull())
             return F.transform(F.slice(F.sort_array(full, asc=asc), 1, k), lambda p: p["v"])
 
-        return self._f(label, fn, by, kind="rowagg")
+        return self._by(label, fn, by, kind="rowagg")
 
     def item(self, allow_empty: bool = False) -> Expr:
         def fn(x, c):
@@ -843,7 +850,7 @@ class Expr:
             less = (lambda p, q: p["b"] > q["b"]) if descending else (lambda p, q: p["b"] < q["b"])
             return F.transform(F.array_sort(pairs, lambda p, q: better(p, q).when(less(p, q), -1).otherwise(1)), lambda p: p["v"])
 
-        return self._ordered("sort_by", fn, by)
+        return self._ordered("sort_by", fn, col(by) if isinstance(by, _STR) else by)
 
     def sort_by_desc(self, by) -> Expr:
         return self.sort_by(by, descending=True)
@@ -1091,7 +1098,7 @@ class Expr:
             w = Window.partitionBy(*x.part).orderBy(at).rangeBetween(lo, hi)
             return F.when(F.count(c).over(w) >= min_samples, fn(c, w))
 
-        return self._f(label, build, by, kind="spread")
+        return self._by(label, build, by, kind="spread")
 
     def rolling_sum_by(self, by, period, **o) -> Expr:
         return self.rolling_by("rolling_sum_by", by, period, lambda c, w: F.sum(c).over(w), **o)
@@ -1161,7 +1168,7 @@ class Expr:
 
             return F.when(c.isNotNull(), F.aggregate(arr, start, step)["m"])
 
-        return self._f(label, build, by, kind="spread")
+        return self._by(label, build, by, kind="spread")
 
     def ewm_mean_by(self, by, half_life) -> Expr:
         return self._ewm_by("ewm_mean_by", by, half_life, lambda m, v, k: k * m + (1 - k) * v)
@@ -1182,7 +1189,7 @@ class Expr:
             w = Window.partitionBy(*x.part).orderBy(at)
             return _interpolated(c, at, w.rowsBetween(_START, 0), w.rowsBetween(0, _END), "linear")
 
-        return self._f("interpolate_by", fn, by, kind="spread")
+        return self._by("interpolate_by", fn, by, kind="spread")
 
     def is_unique(self) -> Expr:
         return self._f("is_unique", lambda x, c: F.count(F.lit(1)).over(Window.partitionBy(*x.part, c)) == 1, kind="spread")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from lumenfold.operators.frame import Frame
 
-_MODULES = ("tpch", "groupjoin", "frames", "joining")
+_MODULES = ("tpch", "groupjoin", "frames", "joining", "grouping", "aggregates", "windows")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
