@@ -504,9 +504,9 @@ class Expr:
 
     def reinterpret(self, signed: bool = True) -> Expr:
         """The same 64 bits as a signed long, or as an unsigned number (a decimal)."""
-        two = F.lit("18446744073709551616").cast("decimal(38,0)")
 
         def fn(c):
+            two = F.lit("18446744073709551616").cast("decimal(38,0)")
             d = c.cast("decimal(38,0)")
             if signed:
                 return F.when(d >= two / 2, d - two).otherwise(d).cast("long")
@@ -1225,37 +1225,21 @@ class Expr:
     # -- user functions ------------------------------------------------------------------------------------------
     def map_elements(self, fn: Callable, returns) -> Expr:
         """``fn`` of each value that isn't null, in Arrow batches."""
-        from pyspark.sql.functions import pandas_udf
-
-        def run(s):
-            return s.map(fn, na_action="ignore")
-
-        import pandas as pd
-
-        run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        return self._map("map_elements", pandas_udf(run, returns))
+        return self._map("map_elements", _batched(lambda s: s.map(fn, na_action="ignore"), returns))
 
     def map_batches(self, fn: Callable, returns) -> Expr:
         """``fn`` of whole batches of values (pandas Series to Series)."""
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
-
-        def run(s):
-            return fn(s)
-
-        run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        return self._map("map_batches", pandas_udf(run, returns))
+        return self._map("map_batches", _batched(fn, returns))
 
     def rolling_map(self, fn: Callable, size: int, returns="double", min_samples: int | None = None) -> Expr:
         """``fn`` of each row's trailing window, as a pandas Series without nulls."""
-        import pandas as pd
-        from pyspark.sql.functions import pandas_udf
 
         def run(s):
+            import pandas as pd
+
             return s.map(lambda v: None if v is None else fn(pd.Series(v)))
 
-        run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        call, need = pandas_udf(run, returns), size if min_samples is None else min_samples
+        call, need = _batched(run, returns), size if min_samples is None else min_samples
 
         def build(x, c):
             w = x.rows(1 - size, 0)
@@ -1321,14 +1305,23 @@ def _log(c, fn):
 
 
 def _erf(which: str):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    return _batched(lambda s: s.map(getattr(math, which), na_action="ignore").astype("float64"), "double")
+
 
-    def run(s):
-        return s.map(getattr(math, which), na_action="ignore").astype("float64")
+def _batched(fn: Callable, returns) -> Callable[[Column], Column]:
+    """A function of pandas Series as a function of a column; made when the column is, as that needs a session."""
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return pandas_udf(run, "double")
+    def call(c: Column) -> Column:
+        import pandas as pd
+        from pyspark.sql.functions import pandas_udf
+
+        def run(s):
+            return fn(s)
+
+        run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+        return pandas_udf(run, returns)(c)
+
+    return call
 
 
 def cut_labels(breaks, left_closed: bool) -> list[str]:
@@ -1538,35 +1531,28 @@ class _When:
         self.pairs, self.pred = pairs, pred
 
     def then(self, v) -> _Then:
-        return _Then([*self.pairs, (to_expr(self.pred), to_expr(v))])
+        return _Then.of([*self.pairs, (to_expr(self.pred), to_expr(v))])
 
 
 class _Then(Expr):
-    def __init__(self, pairs):
-        kids = tuple(e for p, v in pairs for e in (v, p))
+    """Branches so far; as an expression, null where none holds."""
 
+    @classmethod
+    def of(cls, pairs) -> _Then:
         def fn(_, *c):
             out = F
             for v, p in zip(c[::2], c[1::2], strict=True):
                 out = out.when(p, v)
             return out
 
-        object.__setattr__(self, "pairs", pairs)
-        super().__init__(fn, kids, "when")
+        return cls(fn, tuple(e for p, v in pairs for e in (v, p)), "when")
 
     def when(self, pred) -> _When:
-        return _When(self.pairs, pred)
+        return _When([(p, v) for v, p in zip(self.kids[::2], self.kids[1::2], strict=True)], pred)
 
     def otherwise(self, v) -> Expr:
         n = len(self.kids)
-
-        def fn(x, *c):
-            return self.fn(x, *c[:n]).otherwise(c[n])
-
-        return Expr(fn, (*self.kids, to_expr(v)), "when")
-
-    def compile(self, ctx):
-        return Expr(self.fn, self.kids).compile(ctx)
+        return Expr(lambda x, *c: self.fn(x, *c[:n]).otherwise(c[n]), (*self.kids, to_expr(v)), "when")
 
 
 def when(pred) -> _When:

@@ -53,8 +53,11 @@ class Lists:
         return self.get(-1)
 
     def item(self, allow_empty: bool = False) -> Expr:
-        bad = F.raise_error(F.lit("item() of a list that doesn't have one element"))
-        return self._map("item", lambda a: F.when(a.isNull() | (F.size(a) == 1) | ((F.size(a) == 0) & F.lit(allow_empty)), F.get(a, F.lit(0))).otherwise(bad))
+        def fn(a):
+            bad = F.raise_error(F.lit("item() of a list that doesn't have one element"))
+            return F.when(a.isNull() | (F.size(a) == 1) | ((F.size(a) == 0) & F.lit(allow_empty)), F.get(a, F.lit(0))).otherwise(bad)
+
+        return self._map("item", fn)
 
     def contains(self, v) -> Expr:
         return self._two("contains", lambda a, v: F.exists(a, lambda u: u.eqNullSafe(v)), v)

@@ -107,8 +107,7 @@ class Categories:
 
     def physical(self, categories: list[str]) -> Expr:
         """The place of each value in the list; null where it isn't there."""
-        names = F.array(*[F.lit(c) for c in categories])
-        return self.e._map("cat.physical", lambda c: F.nullif(F.array_position(names, c), F.lit(0)) - 1)
+        return self.e._map("cat.physical", lambda c: F.nullif(F.array_position(F.array(*map(F.lit, categories)), c), F.lit(0)) - 1)
 
     def starts_with(self, prefix: str) -> Expr:
         return self.e.str.starts_with(prefix)

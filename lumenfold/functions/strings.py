@@ -149,7 +149,8 @@ class Strings:
         return self._map("to_lower", F.lower)
 
     def to_upper(self) -> Expr:
-        return self._map("to_upper", F.upper)
+        """Letter by letter: a sharp s stays one letter."""
+        return self._map("to_upper", lambda c: F.array_join(F.transform(F.split(c, "ß", -1), F.upper), "ß"))
 
     def to_titlecase(self) -> Expr:
         def fn(c):
@@ -244,8 +245,8 @@ class Strings:
             return self._map("to_integer", lambda c: c.cast("long") if strict else c.try_cast("long"))
         digits = "0123456789abcdefghijklmnopqrstuvwxyz"[:base]
         ok = f"(?i)^[+-]?[{digits}]+$"
-        bad = F.raise_error(F.lit("not an integer")).cast("long") if strict else F.lit(None).cast("long")
-        return self._map("to_integer", lambda c: F.when(c.isNull() | c.rlike(ok), F.conv(c, base, -10).cast("long")).otherwise(bad))
+        bad = (lambda: F.raise_error(F.lit("not an integer")).cast("long")) if strict else lambda: F.lit(None).cast("long")
+        return self._map("to_integer", lambda c: F.when(c.isNull() | c.rlike(ok), F.conv(c, base, -10).cast("long")).otherwise(bad()))
 
     def to_decimal(self, scale: int = 0) -> Expr:
         return self._map("to_decimal", lambda c: F.round(c.try_cast(f"decimal(38,{min(scale + 6, 37)})"), scale).cast(f"decimal(38,{scale})"))

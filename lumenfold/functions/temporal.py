@@ -46,7 +46,7 @@ def from_micros(c: Column) -> Column:
 
 def interval_micros(c: Column) -> Column:
     """A day-time interval as microseconds."""
-    part = lambda unit: F.extract(F.lit(unit), c)
+    part = lambda unit: F.extract(F.lit(unit), c).cast("decimal(20,6)" if unit == "SECOND" else "long")
     whole = ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60
     return (whole * 1_000_000).cast("long") + (part("SECOND") * 1_000_000).cast("long")
 
