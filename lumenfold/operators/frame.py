@@ -664,12 +664,13 @@ class Frame:
     def map_rows(self, fn: Callable[[dict], dict], schema: str) -> Frame:
         """``fn`` of each row as a dict, in Arrow batches."""
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        own = to_arrow_schema(T._parse_datatype_string(schema))
 
         def run(batches):
             for b in batches:
-                out = [fn(r) for r in b.to_pylist()]
-                if out:
-                    yield pa.RecordBatch.from_pylist(out)
+                yield pa.RecordBatch.from_pylist([fn(r) for r in b.to_pylist()], schema=own)
 
         return Frame(self.spark().mapInArrow(run, schema))
 

@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.functions.expr import Ctx, Expr
 
 
-def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
-    """New files of a folder as they come."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
+def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 1000, pattern: str = "*") -> DataFrame:
+    """New files of a folder as they come, of those whose names fit the pattern."""
+    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", pattern)
+    return r.format(fmt).load(path)
+
+
+def _marked(df: DataFrame, time: str, watermark: str | None) -> DataFrame:
+    """With a watermark; a time without a zone is read as one of the session's zone, as watermarks need instants."""
+    if not watermark:
+        return df
+    if isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        df = df.withColumn(time, F.col(time).cast("timestamp"))
+    return df.withWatermark(time, watermark)
 
 
 def windowed(df: DataFrame, time: str, size: str, aggs: list[Expr], slide: str | None = None, by=(), watermark: str | None = None) -> DataFrame:
     """Aggregates over tumbling (or, with ``slide``, sliding) windows; on batches and streams alike."""
-    if watermark:
-        df = df.withWatermark(time, watermark)
+    df = _marked(df, time, watermark)
     ctx = Ctx(df, grouped=True)
     w = F.window(time, size, slide) if slide else F.window(time, size)
     out = df.groupBy(w.alias("w"), *by).agg(*[e.compile(ctx).alias(e.name_of()) for e in aggs])
@@ -25,8 +35,7 @@ def windowed(df: DataFrame, time: str, size: str, aggs: list[Expr], slide: str |
 
 def sessions(df: DataFrame, time: str, gap: str, aggs: list[Expr], by=(), watermark: str | None = None) -> DataFrame:
     """Aggregates over sessions: events of a key less than ``gap`` apart."""
-    if watermark:
-        df = df.withWatermark(time, watermark)
+    df = _marked(df, time, watermark)
     ctx = Ctx(df, grouped=True)
     out = df.groupBy(F.session_window(time, gap).alias("w"), *by).agg(*[e.compile(ctx).alias(e.name_of()) for e in aggs])
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *[c for c in out.columns if c != "w"])
@@ -34,7 +43,7 @@ def sessions(df: DataFrame, time: str, gap: str, aggs: list[Expr], by=(), waterm
 
 def deduplicated(df: DataFrame, keys: list[str], time: str, watermark: str) -> DataFrame:
     """First event of each key, with state kept as long as the watermark allows."""
-    return df.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
+    return _marked(df, time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
 def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
