@@ -101,7 +101,7 @@ class Frame:
     def _compiled(self, exprs) -> tuple[DataFrame, list[tuple[str, Column]]]:
         """The frame to select from, and named columns. Aggregates among rows are one broadcast row, not a window."""
         exprs = [x for e in exprs for x in _as_expr(e).expand(self.schema)]
-        f = self._row() if any(e.has("window", "rowagg") for e in exprs) else self
+        f = self._row() if any(e.has("window", "rowagg", "spread", "over") for e in exprs) else self
         sums: dict[str, Expr] = {}
 
         def swap(e):
