@@ -701,20 +701,23 @@ class Expr:
         return self._agg("entropy", fn)
 
     def mode(self, maintain_order: bool = False) -> Expr:
-        """All most frequent values, as a list (sorted)."""
+        """All most frequent values, as a list: sorted, or as they first appear."""
 
         def fn(a):
-            counts = F.transform(F.array_distinct(a), lambda v: F.struct(F.size(F.filter(a, lambda u: u.eqNullSafe(v))).alias("n"), v.alias("v")))
-            best = F.array_max(F.transform(counts, lambda s: s["n"]))
-            return F.sort_array(F.transform(F.filter(counts, lambda s: s["n"] == best), lambda s: s["v"]))
+            most = lambda c: F.array_max(F.transform(c, lambda s: s["n"]))
+            best = lambda c: let(most(c), lambda n: F.filter(c, lambda s: s["n"] == n))
+            return F.transform(let(_counted(a, maintain_order), best), lambda s: s["v"])
 
         return self._ordered("mode", fn)
 
     def _ordered(self, label: str, fn, *others) -> Expr:
         """A function of the group's values as a list in row order, nulls kept."""
 
-        def build(x, c, *more):
-            return fn(in_order(x, c), *[in_order(x, m) for m in more])
+        def build(x, *lists):
+            def bound(got, rest):
+                return let(in_order(x, rest[0]), lambda v: bound([*got, v], rest[1:])) if rest else fn(*got)
+
+            return bound([], lists)
 
         return self._f(label, build, *others, kind="rowagg")
 
@@ -777,32 +780,28 @@ class Expr:
         """Counts of (lower, upper] bins, as a list of structs; the first bin has its lower edge too."""
 
         def fn(x, c):
-            values = x.agg(F.collect_list(c.cast("double")))
-            if bins is not None:
-                edges = F.array(*[F.lit(float(b)) for b in bins])
-            else:
-                lo, hi = F.array_min(values), F.array_max(values)
-                edges = F.transform(F.sequence(F.lit(0), F.lit(bin_count)), lambda i: lo + (hi - lo) * i / bin_count)
-            at = F.sequence(F.lit(1), F.size(edges) - 1)
+            v = c.cast("double")
+            if bins is not None:  # plain sums, which groups of any size take
+                edges = [float(b) for b in bins]
+                inside = lambda i: ((v > edges[i]) | (v == edges[i]) if i == 0 else v > edges[i]) & (v <= edges[i + 1])
+                return F.array(*[F.struct(F.lit(edges[i + 1]).alias("breakpoint"), x.agg(F.count_if(inside(i))).alias("count")) for i in range(len(edges) - 1)])
+            values = x.agg(F.collect_list(v))
 
-            def one(i):
-                lo, hi = F.get(edges, i - 1), F.get(edges, i)
-                inside = F.filter(values, lambda v: ((v > lo) | ((i == 1) & (v == lo))) & (v <= hi))
-                return F.struct(hi.alias("breakpoint"), F.size(inside).cast("long").alias("count"))
+            def counted(a, lo, hi):
+                place = F.transform(a, lambda u: F.least(F.greatest(F.coalesce(F.ceil((u - lo) * bin_count / F.nullif(hi - lo, F.lit(0.0))), F.lit(1)), F.lit(1)), F.lit(bin_count)))
+                found = F.map_from_entries(F.transform(_counted(place, False), lambda s: F.struct(s["v"], s["n"])))
+                one = lambda at: lambda i: F.struct((lo + (hi - lo) * i / bin_count).alias("breakpoint"), F.coalesce(at[i.cast("long")], F.lit(0)).cast("long").alias("count"))
+                return let(found, lambda at: F.transform(F.sequence(F.lit(1), F.lit(bin_count)), one(at)))
 
-            return F.transform(at, one)
+            return let(values, lambda a: let(F.array_min(a), lambda lo: let(F.array_max(a), lambda hi: counted(a, lo, hi))))
 
         return self._agg("hist", fn)
 
     def value_counts(self, sort: bool = False, normalize: bool = False, name: str = "count") -> Expr:
         def fn(a):
             total = F.size(a)
-
-            def one(v):
-                n = F.size(F.filter(a, lambda u: u.eqNullSafe(v))).cast("long")
-                return F.struct(v.alias("value"), (n / total if normalize else n).alias(name))
-
-            out = F.transform(F.array_distinct(a), one)
+            n = lambda s: s["n"].cast("long") / total if normalize else s["n"].cast("long")
+            out = F.transform(_counted(a), lambda s: F.struct(s["v"].alias("value"), n(s).alias(name)))
             if sort:
                 out = F.array_sort(out, lambda p, q: F.when(p[name] > q[name], -1).when(p[name] < q[name], 1).otherwise(0))
             return out
@@ -810,7 +809,7 @@ class Expr:
         return self._ordered("value_counts", fn)
 
     def unique_counts(self) -> Expr:
-        return self._ordered("unique_counts", lambda a: F.transform(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda u: u.eqNullSafe(v)))))
+        return self._ordered("unique_counts", lambda a: F.transform(_counted(a), lambda s: s["n"]))
 
     def sample_n(self, n: int, with_replacement: bool = False, shuffle: bool = False, seed: int = 0) -> Expr:
         """A seeded draw of the group's values."""
@@ -933,7 +932,8 @@ class Expr:
 
         def fn(a):
             start = F.filter(F.transform(a, lambda v, i: F.when((i == 0) | ~v.eqNullSafe(F.get(a, i - 1)), i)), lambda i: i.isNotNull())
-            return F.transform(start, lambda s, k: F.struct((F.coalesce(F.get(start, k + 1), F.size(a)) - s).alias("len"), F.get(a, s).alias("value")))
+            run = lambda p: F.transform(p, lambda s, k: F.struct((F.coalesce(F.get(p, k + 1), F.size(a)) - s).alias("len"), F.get(a, s).alias("value")))
+            return let(start, run)
 
         return self._ordered("rle", fn)
 
@@ -1127,12 +1127,16 @@ class Expr:
     def rolling_rank_by(self, by, period, method: str = "average", **o) -> Expr:
         return self.rolling_by("rolling_rank_by", by, period, lambda c, w: _rank_in(c, F.collect_list(c).over(w), method), **o)
 
-    def _ewm(self, label: str, alpha: float, fn) -> Expr:
-        return self._win(label, lambda x, c: fn(F.transform(F.collect_list(F.struct(c.cast("double").alias("v"))).over(x.rows(_START, 0)), lambda s: s["v"]), c))
+    def _ewm(self, label: str, alpha: float, ignore_nulls: bool, fn) -> Expr:
+        """A fold over the rows before each row that have a weight of 2^-200 or more: beyond what a double can tell. So the
+        frame's length depends on the decay and not on the group, unless nulls are left out of the decay."""
+        reach = _START if ignore_nulls or not 0 < alpha < 1 else -math.ceil(200 * math.log(2) / -math.log1p(-alpha))
+        values = lambda x, c: F.transform(F.collect_list(F.struct(c.cast("double").alias("v"))).over(x.rows(reach, 0)), lambda s: s["v"])
+        return self._win(label, lambda x, c: fn(values(x, c), c))
 
     def ewm_mean(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, min_samples: int = 1) -> Expr:
         a = ewm_alpha(alpha, span, com, half_life)
-        return self._ewm("ewm_mean", a, lambda arr, c: F.when(c.isNotNull() & (F.size(F.array_compact(arr)) >= min_samples), _ewm_state(arr, a, adjust, ignore_nulls)["m"]))
+        return self._ewm("ewm_mean", a, ignore_nulls, lambda arr, c: F.when(c.isNotNull() & (F.size(F.array_compact(arr)) >= min_samples), _ewm_state(arr, a, adjust, ignore_nulls)["m"]))
 
     def ewm_var(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, bias: bool = False) -> Expr:
         a = ewm_alpha(alpha, span, com, half_life)
@@ -1144,14 +1148,14 @@ class Expr:
             out = biased if bias else F.when(full > s["w2"] * (1 + 1e-12), biased * full / (full - s["w2"]))
             return F.when(c.isNotNull(), out)
 
-        return self._ewm("ewm_var", a, fn)
+        return self._ewm("ewm_var", a, ignore_nulls, fn)
 
     def ewm_std(self, alpha: float | None = None, **o) -> Expr:
         return self.ewm_var(alpha, **o)._map("sqrt", F.sqrt)
 
     def ewm_sum(self, alpha: float | None = None, *, span=None, com=None, half_life=None, ignore_nulls: bool = False) -> Expr:
         a = ewm_alpha(alpha, span, com, half_life)
-        return self._ewm("ewm_sum", a, lambda arr, c: F.when(c.isNotNull(), _ewm_state(arr, a, True, ignore_nulls)["s"]))
+        return self._ewm("ewm_sum", a, ignore_nulls, lambda arr, c: F.when(c.isNotNull(), _ewm_state(arr, a, True, ignore_nulls)["s"]))
 
     def _ewm_by(self, label: str, by, half_life, pick) -> Expr:
         from lumenfold.operators.temporal import micros
@@ -1380,6 +1384,26 @@ def _shuffled(a: Column, seed: int) -> Column:
     return F.transform(F.sort_array(keyed), lambda s: s["v"])
 
 
+def _counted(a: Column, in_order: bool = True) -> Column:
+    """Structs of v and n for each distinct value, as they first appear or sorted: one sort, then the runs' lengths."""
+    def starts(s):
+        new = lambda p, k: (k == 0) | ~p["v"].eqNullSafe(F.get(s, k - 1)["v"])
+        return F.filter(F.transform(s, lambda p, k: F.when(new(p, k), k)), lambda k: k.isNotNull())
+
+    def runs(s, start):
+        n = lambda k, j: F.coalesce(F.get(start, j + 1), F.size(s)) - k
+        return F.transform(start, lambda k, j: F.struct(F.get(s, k)["i"].alias("i"), n(k, j).alias("n"), F.get(s, k)["v"].alias("v")))
+
+    placed = F.sort_array(F.transform(a, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    out = let(placed, lambda s: let(starts(s), lambda start: runs(s, start)))
+    return F.sort_array(out) if in_order else out
+
+
+def let(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(c), with c computed once: Spark computes what a lambda captures anew for each element."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def _bounds(kind):
     ints = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
     if type(kind) in ints:

@@ -44,13 +44,15 @@ def join(left: Frame, right: Frame, on=None, left_on=None, right_on=None, how="i
     hidden_r = [F.col(ROW).alias("__rrow")] if maintain_order == "right" else []
     rdf = rctx.staged().select(*rkeys, *[F.col(f"`{c}`").alias(f"__r_{c}") for c in rest], *hidden_r)
     lctx = Ctx(ldf)
-    for i, e in enumerate(lk):
-        ldf = ldf.withColumn(f"__lk{i}", e.compile(lctx))
+    own = [e.name_of() if e.kind == "col" and e.name_of() in lcols and not e.renames else f"__lk{i}" for i, e in enumerate(lk)]
+    added = {n: e.compile(lctx) for n, e in zip(own, lk, strict=True) if n not in lcols}
+    if added:
+        ldf = lctx.staged().withColumns(added)
     if validate in ("1:1", "1:m"):
-        ldf = _checked(ldf, [f"__lk{i}" for i in range(len(lk))], validate)
+        ldf = _checked(ldf, own, validate)
     if validate in ("1:1", "m:1"):
         rdf = _checked(rdf, [f"__rk{i}" for i in range(len(rk))], validate)
-    pair = [(F.col(f"__lk{i}"), F.col(f"__rk{i}")) for i in range(len(lk))]
+    pair = [(F.col(f"`{n}`"), F.col(f"__rk{i}")) for i, n in enumerate(own)]
     cond = functools.reduce(lambda a, b: a & b, [a.eqNullSafe(b) if nulls_equal else a == b for a, b in pair])
     df = ldf.join(rdf, cond, _HOW[how])
     order = F.col("__rrow") if maintain_order == "right" else F.col(ROW)
@@ -61,7 +63,7 @@ def join(left: Frame, right: Frame, on=None, left_on=None, right_on=None, how="i
     for c in lcols:
         if merged and c in names and how in ("right", "full"):
             i = names.index(c)
-            cols.append(F.coalesce(F.col(f"__lk{i}"), F.col(f"__rk{i}")).alias(c))
+            cols.append(F.coalesce(F.col(f"`{own[i]}`"), F.col(f"__rk{i}")).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
     cols += [F.col(f"`__r_{c}`").alias(n) for c, n in out_names.items()]

@@ -27,6 +27,7 @@ LOCAL = {
     "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.files.openCostInBytes": "1m",
     "spark.locality.wait": "0s",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
