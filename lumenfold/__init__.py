@@ -7,6 +7,8 @@ from lumenfold.functions.expr import (
     all_,
     all_horizontal,
     any_horizontal,
+    arg_sort_by,
+    arg_where,
     asc,
     coalesce,
     col,
@@ -60,7 +62,7 @@ from lumenfold.operators.reshape import concat
 from lumenfold.operators.temporal import Interval, every
 
 __all__ = [
-    "Expr", "Frame", "GroupBy", "Interval", "Rolling", "SortKey", "all_", "all_horizontal", "any_horizontal", "asc", "business_day_count",
+    "Expr", "Frame", "GroupBy", "Interval", "Rolling", "SortKey", "all_", "all_horizontal", "any_horizontal", "arg_sort_by", "arg_where", "asc", "business_day_count",
     "coalesce", "col", "col_dtype", "col_regex", "concat", "concat_arr", "concat_list", "concat_str", "concat_str_ignore_nulls", "corr", "cov",
     "cum_fold", "cum_reduce", "cum_sum_horizontal", "date_ranges", "datetime_ranges", "desc", "element", "every", "exclude", "exclude_regex",
     "fold", "format_", "from_epoch", "hash_rows", "int_ranges", "interval_join", "is_duplicated", "is_unique", "length", "linear_spaces", "lit",

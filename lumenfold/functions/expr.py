@@ -36,6 +36,7 @@ class Ctx:
     element: Column | None = None
     present: Column | None = None
     stages: list = field(default_factory=list)
+    frame: object = None
 
     def staged(self) -> DataFrame:
         """The frame with the columns that had to be computed first."""
@@ -57,7 +58,9 @@ class Ctx:
         return self.staged().select(c).schema[0].dataType
 
     def agg(self, c: Column) -> Column:
-        """An aggregate as it is, or over the whole partition."""
+        """An aggregate as it is, over each row's own frame, or over the whole partition."""
+        if self.frame is not None:
+            return c.over(self.frame)
         return c.over(Window.partitionBy(*self.part)) if self.windowed else c
 
     def n_rows(self) -> Column:
@@ -952,6 +955,21 @@ class Expr:
         leaf = replace(self, fn=lambda x, *_: F.lit(0), kind="held" if kind == "over" else "window", kids=())
         return Expr(fn, (replace(leaf, out=self.name_of()), *keys), "over", kind)
 
+    def over_with(self, partition_by=(), order_by=None) -> Expr:
+        return self.over(*partition_by, order_by=order_by)
+
+    def rolling(self, index, period, closed: str = "right") -> Expr:
+        """The aggregates in this expression over the rows within ``period`` before each row's ``index``."""
+        from lumenfold.operators.temporal import rolling_window
+
+        by = col(index) if isinstance(index, _STR) else to_expr(index)
+
+        def fn(x, at):
+            at = at if isinstance(x.type_of(at), INTS) else F.unix_micros(at.cast("timestamp"))
+            return self.compile(replace(x, windowed=True, frame=rolling_window(at, period, closed, list(x.part))))
+
+        return Expr(fn, (by,), "rolling", "window", self.name_of())
+
     def rank(self, method: str = "average", descending: bool = False) -> Expr:
         """ordinal, dense, min, max or average; null has no rank and isn't counted."""
 
@@ -1751,6 +1769,33 @@ def desc(e) -> SortKey:
     return SortKey(col(e) if isinstance(e, str) else to_expr(e), descending=True)
 
 
+def arg_where(pred) -> Expr:
+    """Places of the rows where the predicate holds, as a list."""
+    return to_expr(pred).arg_true()
+
+
+def arg_sort_by(*keys) -> Expr:
+    """Places of the rows in the order of the keys, nulls first, as a list."""
+    e = [k if isinstance(k, SortKey) else asc(k) for k in keys]
+    n = range(len(e))
+
+    def fn(*lists):
+        rows = F.transform(F.arrays_zip(*[a.alias(f"k{i}") for i, a in enumerate(lists)], F.sequence(F.lit(0), F.size(lists[0]) - 1).alias("at")), lambda p: p)
+
+        def cmp(p, q):
+            out = F
+            for i in n:
+                a, b, down = p[f"k{i}"], q[f"k{i}"], e[i].descending
+                null = 1 if e[i].last else -1
+                out = out.when(a.isNull() & b.isNotNull(), null).when(a.isNotNull() & b.isNull(), -null)
+                out = out.when(a < b, 1 if down else -1).when(a > b, -1 if down else 1)
+            return out.otherwise(p["at"] - q["at"])
+
+        return F.transform(F.array_sort(rows, cmp), lambda p: p["at"])
+
+    return e[0].expr._ordered("arg_sort_by", fn, *[k.expr for k in e[1:]])
+
+
 def element() -> Expr:
     """The element inside list.eval, list.agg and list.filter."""
     return Expr(lambda x: x.element, (), "element", "element", "element")

@@ -677,6 +677,42 @@ class Frame:
     def map_columns(self, names: list[str], fn: Callable[[Expr], Expr]) -> Frame:
         return self.with_columns(*[fn(col(n)).alias(n) for n in names])
 
+    # -- sinks: see the sources' module ---------------------------------------------------------------------------------
+    def sink_parquet(self, path: str, **o) -> None:
+        from lumenfold.sources import io
+
+        io.sink_parquet(self, path, **o)
+
+    def sink_csv(self, path: str, **o) -> None:
+        from lumenfold.sources import io
+
+        io.sink_csv(self, path, **o)
+
+    def sink_ndjson(self, path: str, **o) -> None:
+        from lumenfold.sources import io
+
+        io.sink_ndjson(self, path, **o)
+
+    def sink_ipc(self, path: str, **o) -> None:
+        from lumenfold.sources import io
+
+        io.sink_ipc(self, path, **o)
+
+    def write_ipc(self, sink, **o) -> None:
+        from lumenfold.sources import io
+
+        io.write_ipc(self, sink, **o)
+
+    def write_json(self) -> str:
+        from lumenfold.sources import io
+
+        return io.to_json(self)
+
+    def write_database(self, url: str, table: str, **o) -> None:
+        from lumenfold.sources import io
+
+        io.write_database(self, url, table, **o)
+
     # -- single values -----------------------------------------------------------------------------------------------
     def row(self, i: int) -> tuple:
         return tuple(self.slice(i, 1).collect()[0])
@@ -843,17 +879,9 @@ class Rolling:
         kind = self.frame.schema[self.index].dataType
         at = F.col(self.index) if isinstance(kind, INTS) else F.unix_micros(F.col(self.index).cast("timestamp"))
         w = rolling_window(at, self.period, self.closed, [F.col(c) for c in self.by])
-        ctx = _Over(self.frame.df, windowed=True)
-        object.__setattr__(ctx, "w", w)
+        ctx = Ctx(self.frame.df, windowed=True, frame=w)
         cols = [e.compile(ctx).alias(e.name_of()) for e in map(_as_expr, exprs)]
         return Frame(ctx.staged().select(*self.by, self.index, *cols))
 
 
-class _Over(Ctx):
-    """Aggregates over a given window."""
-
-    def agg(self, c: Column) -> Column:
-        return c.over(self.w)
-
-
 __all__ = ["Frame", "GroupBy", "Rolling", "all_", "replace"]

@@ -293,3 +293,22 @@ def test_database(spark, sales):
     con.executemany("insert into t values (?, ?)", [(1, "x"), (2, None)])
     f = io.read_cursor(spark, con.execute("select a, b from t order by a"), "a long, b string")
     assert f.rows() == [(1, "x"), (2, None)]
+
+
+def test_bytes_in_memory(spark):
+    assert io.scan_csv_bytes(spark, b"a,b\n1,x\n2,\n").rows() == [(1, "x"), (2, None)]
+    assert io.scan_ndjson_bytes(spark, b'{"a":1}\n{"a":null}\n').rows() == [(1,), (None,)]
+    assert io.scan_json_bytes(spark, b'[{"a":1},{"a":2}]').rows() == [(1,), (2,)]
+    assert io.scan_lines_bytes(spark, b"x\ny").rows() == [("x",), ("y",)]
+
+
+def test_argument_orders(spark):
+    f = Frame(spark.createDataFrame([(2, "b"), (1, "z"), (2, "a"), (None, "q")], "k int, s string").coalesce(1))
+    row = f.select(lf.arg_sort_by("k", desc("s")).alias("a"), lf.arg_where(col("k") == 2).alias("w")).collect()[0]
+    assert row.a == [3, 1, 0, 2] and row.w == [0, 2]
+
+
+def test_rolling_expression(spark):
+    f = Frame(spark.createDataFrame([(0, 1.0), (5, 2.0), (10, 4.0)], "t long, v double").coalesce(1))
+    got = f.select("t", (col("v").max() - col("v").min()).rolling("t", "10i").alias("d")).sort("t")
+    assert values(got, "d") == [0.0, 1.0, 2.0]
