@@ -116,9 +116,9 @@ def ewm_mean(spark, d):
     return scan(spark, d, "events").filter(col("user_id") < 20).sort("event_id").select("event_id", col("value").ewm_mean(0.5).over("user_id", order_by="event_id").round(6).alias("m"))
 
 
-@query("ewm_mean_recursive", _R + _decay("round(sum(CASE WHEN b.i = 1 THEN 1 ELSE 0.25 END * pow(0.75, a.i - b.i) * b.v), 6) AS m"))
+@query("ewm_mean_recursive", _R + _decay("round(sum(CASE WHEN b.i = 1 THEN 1 ELSE 1 / 3 END * pow(2 / 3, a.i - b.i) * b.v), 6) AS m"))
 def ewm_mean_recursive(spark, d):
-    return scan(spark, d, "events").filter(col("user_id") < 20).sort("event_id").select("event_id", col("value").ewm_mean(0.25, adjust=False).over("user_id", order_by="event_id").round(6).alias("m"))
+    return scan(spark, d, "events").filter(col("user_id") < 20).sort("event_id").select("event_id", col("value").ewm_mean(1 / 3, adjust=False).over("user_id", order_by="event_id").round(6).alias("m"))
 
 
 _W1, _W2, _M = "sum(pow(0.7, a.i - b.i))", "sum(pow(0.49, a.i - b.i))", "sum(pow(0.7, a.i - b.i) * b.v) / sum(pow(0.7, a.i - b.i))"
