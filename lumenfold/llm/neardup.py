@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import cut
@@ -181,20 +181,25 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node that links lead to) of the nodes in ``links`` (a, b), by alternating stars.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the smallest it knows, until nothing
-    changes: about log of the longest chain's length. Rounds are kept by reliable checkpoints; nothing is collected.
+    changes: about log of the longest chain's length. A round is one query, kept by a reliable checkpoint, that counts and
+    sums up its own links as it writes them; nothing is collected.
     """
     edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.join(low, F.col("a") == F.col("n")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.filter("a != b").distinct())
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"))
+        large = large.filter("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         small = large.join(low, F.col("a") == F.col("n")).select("a", "b", "m")
         edges = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = cut(edges.filter("a != b").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).collect()[0])
+        seen = Observation()
+        edges = edges.filter("a != b").distinct().observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("decimal(38,0)")).alias("sum")
+        )
+        edges = cut(edges)
+        now = tuple(seen.get[k] for k in ("n", "sum"))
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
