@@ -7,14 +7,20 @@ register with the probability of their probability Jaccard similarity, which doe
 
 Registers are cut into bands. In a band's bucket every text is paired with the bucket's smallest id, and pairs are verified
 on the texts themselves; after that only pairs whose texts are still in different classes are left to verify: first the
-other pairs of the same kind, then all pairs across classes within a bucket. So no pair of a bucket is lost, and the
-members of a class are never paired among each other. Exact copies share one text and are never paired at all.
+other pairs of the same kind, then pairs across classes within a bucket. Before those are made, texts that provably have no
+near-duplicate at all are left out, by a bound on what their elements that other texts have too can add up to; see
+_social(). So no pair of a bucket is lost, and neither the members of a class nor the fringe of a large group are paired
+among each other. Exact copies share one text and are never paired at all.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -25,6 +31,10 @@ from lumenfold.llm.words import Words, chunks, grams, mix, texts_of
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 5
 #: Bits of the filter that keeps texts without pairs out of the shuffle, at every size of the input (1 MB).
 FILTER_BITS = 1 << 23
+#: Text bytes for each shard of elements, and how often texts without near-duplicates are looked for (each time without those found before).
+SHARD_BYTES, ROUNDS = 1 << 20, 2
+#: Texts that a task keeps split into elements while it verifies pairs.
+KEPT = 2048
 NO_ID = -(1 << 63)
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -161,14 +171,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
     both = one.join(two, F.col("b") == F.col("pos_b")).select("a", "b", "text_a", "text_b")
 
     def run(batches):
-        last, own = None, None
+        kept: dict = {}
+
+        def split(i, text):
+            if i not in kept:
+                if len(kept) >= KEPT:
+                    del kept[next(iter(kept))]
+                kept[i] = weighted(text, shingle)
+            return kept[i]
+
         for b in chunks(batches, "text_a"):
             a_id, b_id = (b.column(c).to_pylist() for c in ("a", "b"))
             keep = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(texts_of(b, "text_a"), texts_of(b, "text_b"), strict=True)):
-                if y != last:
-                    last, own = y, weighted(y, shingle)
-                keep[i] = similarity(weighted(x, shingle), own) >= similar - 1e-9
+                keep[i] = similarity(split(a_id[i], x), split(b_id[i], y)) >= similar - 1e-9
             at = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a_id[i] for i in at], pa.int64()), pa.array([b_id[i] for i in at], pa.int64())], names=["a", "b"]
@@ -177,6 +193,95 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _pack(**arrays: np.ndarray) -> bytes:
+    return zstandard.compress(pickle.dumps(arrays, 5), 1)
+
+
+def _unpack(b: bytes) -> dict[str, np.ndarray]:
+    return pickle.loads(zstandard.decompress(b))
+
+
+def bounds(own: np.ndarray, weight: np.ndarray, n: int, shared: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each of n texts, what its similarity to any other text can be at most.
+
+    Of each element: whether other texts have it, the greatest weight that any text gives it, and the least total weight
+    of the texts that have it. Two texts' similarity is the sum, over the elements i of both, of 1 over the sum over all j
+    of max(x_j / x_i, y_j / y_i). That sum is X / x_i at least, and (Y - Y_shared) / y_i more for the elements that only the
+    other text has. Weights are 1 at least; so with X for the text's own total, S for its shared elements' weight, M for the
+    sum and m for the maximum of their greatest weights, and Y for the least total, it is S / (X + max(0, Y - M) / m) at most.
+    """
+    total = np.bincount(own, weight, n)
+    s, m = np.bincount(own, weight * shared, n), np.bincount(own, most * shared, n)
+    top, low = np.ones(n), np.full(n, np.inf)
+    np.maximum.at(top, own[shared], most[shared])
+    np.minimum.at(low, own[shared], least[shared])
+    rest = np.maximum(0, np.where(np.isfinite(low), low, 0) - m)
+    return s / np.maximum(total + rest / top, 1e-300)
+
+
+def _social(text: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """pos of those of ``text`` (pos, text) that may be similar to another one of them: see bounds().
+
+    Batches of texts sum up their own elements and ask the elements' shards what all batches together have; so a shingle
+    that very many texts have makes a row for each batch, not for each text. Batches' texts travel as their elements.
+    """
+    size = text.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    shards = size // SHARD_BYTES + 1
+
+    def ask(batches):
+        for b in chunks(batches, "text"):
+            pos = np.array(b.column("pos").to_pylist(), np.int64)
+            own, key, weight = elements(texts_of(b, "text"), shingle)
+            total = np.bincount(own, weight, len(pos))
+            keys, at, n = np.unique(key, return_inverse=True, return_counts=True)
+            most, least = np.zeros(len(keys)), np.full(len(keys), np.inf)
+            np.maximum.at(most, at, weight)
+            np.minimum.at(least, at, total[own])
+            name = int(xxhash.xxh64_intdigest(pos.tobytes())) >> 1
+            rows = [(-1, name, _pack(pos=pos, own=own.astype(np.int32), key=key, weight=weight))]
+            shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
+            for s in np.unique(shard):
+                k = shard == s
+                rows.append((int(s), name, _pack(keys=keys[k], n=n[k], most=most[k], least=least[k])))
+            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "batch", "data"), r, strict=True)) for r in rows], _ASK)
+
+    def answer(t: pa.Table) -> pa.Table:
+        parts = [_unpack(d) for d in t.column("data").to_pylist()]
+        keys, at = np.unique(np.concatenate([p["keys"] for p in parts]), return_inverse=True)
+        n, most, least = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.full(len(keys), np.inf)
+        np.add.at(n, at, np.concatenate([p["n"] for p in parts]))
+        np.maximum.at(most, at, np.concatenate([p["most"] for p in parts]))
+        np.minimum.at(least, at, np.concatenate([p["least"] for p in parts]))
+        out = []
+        for p in parts:
+            k = np.searchsorted(keys, p["keys"])
+            k = k[n[k] > 1]
+            out.append(_pack(keys=keys[k], most=most[k], least=least[k]))
+        return pa.table({"batch": t.column("batch"), "data": pa.array(out, pa.binary())})
+
+    def judge(t: pa.Table) -> pa.Table:
+        parts = [_unpack(d) for d in t.column("data").to_pylist()]
+        found = [p for p in parts if "keys" in p]
+        keys, most, least = (np.concatenate([p[c] for p in found] or [np.empty(0, kind)]) for c, kind in (("keys", np.uint64), ("most", float), ("least", float)))
+        order = np.argsort(keys)
+        keys, most, least = (np.append(x[order], x.dtype.type(0)) for x in (keys, most, least))
+        out = []
+        for p in (p for p in parts if "pos" in p):
+            at = np.searchsorted(keys[:-1], p["key"])
+            shared = (keys[at] == p["key"]) & (at < len(keys) - 1)
+            top = bounds(p["own"], p["weight"], len(p["pos"]), shared, most[at], least[at])
+            out.append(p["pos"][top >= similar - 1e-6])
+        return pa.table({"pos": pa.array(np.concatenate(out or [np.empty(0, np.int64)]), pa.int64())})
+
+    asked = cut(text.mapInArrow(ask, "shard bigint, batch bigint, data binary"))
+    answers = asked.filter("shard >= 0").groupBy("shard").applyInArrow(answer, "batch bigint, data binary")
+    both = answers.union(asked.filter("shard < 0").select("batch", "data"))
+    return both.groupBy("batch").applyInArrow(judge, "pos bigint")
+
+
+_ASK = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("data", pa.binary())])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node that links lead to) of the nodes in ``links`` (a, b), by alternating stars.
 
@@ -252,7 +357,15 @@ def classes(
     roots = _merged(roots, _verified(docs, rest, id_col, text_col, similar, shingle))
     other = roots.select(F.col("node").alias("node"), "root")
     placed = cut(held.join(other, F.col("pos") == F.col("node"), "left").select("band", "pos", "b", F.coalesce("root", "pos").alias("root")))
-    apart = cut(placed.join(_roots_of(low, roots), ["band"]).filter("root != top"))
+    for _ in range(ROUNDS):
+        split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+        mates = cut(placed.join(split, "band", "left_semi").select("pos").distinct())
+        text = _likely(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text")), mates)
+        text = text.join(mates, "pos", "left_semi")
+        placed = cut(placed.join(_social(text, similar, shingle).distinct(), "pos", "left_semi"))
+    main = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = main.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    apart = cut(placed.join(main, "band").filter("root != top"))
     minor = apart.select(F.col("band").alias("in"), F.col("pos").alias("x"), F.col("root").alias("rx"))
     cross = placed.join(minor, F.col("band") == F.col("in")).filter("root != rx and pos != x and x != b and pos != b")
     pairs = cross.select(F.greatest("pos", "x").alias("a"), F.least("pos", "x").alias("b")).distinct()
@@ -269,12 +382,6 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
 
 
-def _roots_of(low: DataFrame, roots: DataFrame) -> DataFrame:
-    """band, top: the class of each bucket's smallest id."""
-    r = roots.select("node", F.col("root").alias("top"))
-    return low.join(r, F.col("b") == F.col("node"), "left").select(F.col("in").alias("band"), F.coalesce("top", "b").alias("top"))
-
-
 def brute_force(rows: list[tuple], similar: float = SIMILAR) -> dict:
     """class ids of distinct non-null ids by comparing all pairs, for tests."""
     sets = {i: weighted((t or "").encode()) for i, t in rows}

@@ -58,6 +58,39 @@ def test_as_brute_force(spark):
     assert len(set(got.values())) < len(got) - 30
 
 
+def test_bounds():
+    r = random.Random(3)
+    for _ in range(200):
+        sets = [{i: r.choice([1, 1, 1, 1.7, 3]) for i in r.sample(range(14), r.randrange(1, 12))} for _ in range(6)]
+        own = np.concatenate([np.full(len(d), i) for i, d in enumerate(sets)])
+        key = np.concatenate([sorted(d) for d in sets])
+        weight = np.array([sets[i][k] for i, k in zip(own, key, strict=True)], float)
+        have = lambda k: [d for d in sets if k in d]
+        shared = np.array([len(have(k)) > 1 for k in key])
+        most = np.array([max(d[k] for d in have(k)) for k in key])
+        least = np.array([min(sum(d.values()) for d in have(k)) for k in key])
+        top = neardup.bounds(own, weight, 6, shared, most, least)
+        pair = [(np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], float)) for d in sets]
+        for i in range(6):
+            assert top[i] >= max(neardup.similarity(pair[i], pair[j]) for j in range(6) if j != i) - 1e-9
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 3000])
+def test_a_large_group_with_a_fringe(spark, monkeypatch, shard):
+    monkeypatch.setattr(neardup, "SHARD_BYTES", shard)
+    r = random.Random(6)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(220):
+        own = list(base)
+        for _ in range(r.randrange(7)):
+            own[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(own), 1, ""))
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = neardup.brute_force([x[:2] for x in rows])
+    assert got == want and 5 < len(set(want.values())) < 200
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FILTER_BITS", 32)
     long = " ".join(f"w{i}" for i in range(60_000))
