@@ -33,6 +33,8 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 5
 FILTER_BITS = 1 << 23
 #: Text bytes for each shard of elements, and how often texts without near-duplicates are looked for (each time without those found before).
 SHARD_BYTES, ROUNDS = 1 << 20, 2
+#: Text bytes of a bucket for each of the blocks that its pairs are dealt by.
+CELL_BYTES = 1 << 18
 #: Texts that a task keeps split into elements while it verifies pairs.
 KEPT = 2048
 NO_ID = -(1 << 63)
@@ -114,9 +116,9 @@ def weighted(text: bytes | None, shingle: int = SHINGLE) -> tuple[np.ndarray, np
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, shingle: int) -> DataFrame:
-    """pos, c1, c2 (of the whole text) and band keys (null without words) of each row."""
+    """pos, c1, c2 (of the whole text), size (bytes) and band keys (null without words) of each row."""
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
-    d = d.select("pos", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"), "text")
+    d = d.select("pos", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"), F.octet_length("text").cast("long").alias("size"), "text")
 
     def run(batches):
         for b in chunks(batches, "text"):
@@ -128,11 +130,11 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int,
             full = np.zeros(len(number), bool)
             full[own] = True
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in ("pos", "c1", "c2")), pa.array([k if f else None for k, f in zip(keys[place], full[place], strict=True)], pa.list_(pa.int64()))],
-                names=["pos", "c1", "c2", "bands"],
+                [*(b.column(c) for c in ("pos", "c1", "c2", "size")), pa.array([k if f else None for k, f in zip(keys[place], full[place], strict=True)], pa.list_(pa.int64()))],
+                names=["pos", "c1", "c2", "size", "bands"],
             )
 
-    return d.mapInArrow(run, "pos bigint, c1 bigint, c2 bigint, bands array<bigint>")
+    return d.mapInArrow(run, "pos bigint, c1 bigint, c2 bigint, size bigint, bands array<bigint>")
 
 
 def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -193,6 +195,30 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _verified_by_cell(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similar: float, shingle: int) -> DataFrame:
+    """As _verified(), of pairs (cell, a, b) that are many for few texts: a cell gets each of its texts once.
+
+    A cell has the pairs of two blocks of a bucket, of about CELL_BYTES of text each, or of one longer text.
+    """
+    pairs = cut(pairs)
+    need = pairs.select("cell", F.col("a").alias("pos")).union(pairs.select("cell", F.col("b").alias("pos"))).distinct()
+    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
+    texts = _likely(text, need.select("pos")).join(need, "pos").select("cell", "pos", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("pairs"))
+    lists = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    both = texts.union(lists.select("cell", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), "pairs"))
+
+    def run(t: pa.Table) -> pa.Table:
+        own: dict = {}
+        for i, x in zip(t.column("pos").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            if i is not None:
+                own.setdefault(i, []).append(weighted(x, shingle))
+        like = lambda a, b: any(similarity(x, y) >= similar - 1e-9 for x in own[a] for y in own[b])
+        found = [(p["a"], p["b"]) for ps in t.column("pairs").to_pylist() for p in ps or () if like(p["a"], p["b"])]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return both.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     return zstandard.compress(pickle.dumps(arrays, 5), 1)
 
@@ -345,31 +371,37 @@ def classes(
     copies = signed.filter("bands is not null").groupBy("c1", "c2").agg(F.min("pos").alias("rid"))
     copies = copies.select(F.col("c1").alias("r1"), F.col("c2").alias("r2"), "rid")
     same = (F.col("c1") == F.col("r1")) & (F.col("c2") == F.col("r2"))
-    own = cut(signed.join(copies, same, "left").select("pos", "c1", "c2", F.coalesce("rid", "pos").alias("rid"), F.when(F.col("rid") == F.col("pos"), F.col("bands")).alias("bands")))
-    banded = own.filter("bands is not null").select("pos", F.explode("bands").alias("band"))
+    own = cut(signed.join(copies, same, "left").select("pos", "size", F.coalesce("rid", "pos").alias("rid"), F.when(F.col("rid") == F.col("pos"), F.col("bands")).alias("bands")))
+    banded = own.filter("bands is not null").select("pos", "size", F.explode("bands").alias("band"))
     low = cut(banded.groupBy("band").agg(F.min("pos").alias("b"), F.max("pos").alias("most")).filter("most > b"))
     low = low.select(F.col("band").alias("in"), "b")
-    held = banded.join(low, F.col("band") == F.col("in")).select("band", "pos", "b")
+    held = banded.join(low, F.col("band") == F.col("in")).select("band", "pos", "size", "b")
     stars = cut(held.filter("pos != b").groupBy(F.col("pos").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")))
     best = stars.groupBy("a").agg(F.max_by("b", F.col("n")).alias("b"))
     roots = components(_verified(docs, best, id_col, text_col, similar, shingle))
     rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots).select("a", "b")
     roots = _merged(roots, _verified(docs, rest, id_col, text_col, similar, shingle))
     other = roots.select(F.col("node").alias("node"), "root")
-    placed = cut(held.join(other, F.col("pos") == F.col("node"), "left").select("band", "pos", "b", F.coalesce("root", "pos").alias("root")))
+    placed = cut(held.join(other, F.col("pos") == F.col("node"), "left").select("band", "pos", "size", "b", F.coalesce("root", "pos").alias("root")))
     for _ in range(ROUNDS):
         split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
         mates = cut(placed.join(split, "band", "left_semi").select("pos").distinct())
         text = _likely(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text")), mates)
         text = text.join(mates, "pos", "left_semi")
         placed = cut(placed.join(_social(text, similar, shingle).distinct(), "pos", "left_semi"))
-    main = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = main.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    apart = cut(placed.join(main, "band").filter("root != top"))
-    minor = apart.select(F.col("band").alias("in"), F.col("pos").alias("x"), F.col("root").alias("rx"))
-    cross = placed.join(minor, F.col("band") == F.col("in")).filter("root != rx and pos != x and x != b and pos != b")
-    pairs = cross.select(F.greatest("pos", "x").alias("a"), F.least("pos", "x").alias("b")).distinct()
-    roots = _merged(roots, _verified(docs, pairs, id_col, text_col, similar, shingle))
+    main = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    main = main.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("size").alias("all"))
+    main = main.filter("classes > 1").select("band", "top", F.floor(F.col("all") / CELL_BYTES + 1).alias("k"))
+    mixed = placed.join(main, "band")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
+    lists = mixed.groupBy("pos").agg(F.collect_set("band").alias("list"))
+    mixed = cut(mixed.join(lists, "pos"))
+    minor = mixed.filter("root != top").select(F.col("band").alias("in"), F.col("pos").alias("x"), F.col("root").alias("rx"), F.col("list").alias("list_x"))
+    once = F.col("band") == F.array_min(F.array_intersect("list", "list_x"))
+    both_minor = (F.col("root") == F.col("top")) | (F.col("pos") < F.col("x"))
+    cross = mixed.join(minor, (F.col("band") == F.col("in")) & F.expr("root != rx and pos != x and x != b and pos != b") & both_minor & once)
+    pairs = cross.select(F.xxhash64("band", block("pos"), block("x")).alias("cell"), F.greatest("pos", "x").alias("a"), F.least("pos", "x").alias("b"))
+    roots = _merged(roots, _verified_by_cell(docs, pairs, id_col, text_col, similar, shingle))
     out = own.join(roots, F.col("rid") == F.col("node"), "left").select("pos", F.coalesce("root", "rid").alias("root"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(docs.schema[id_col].dataType)
     return out.select(null("pos").alias(id_col), null("root").alias("class_id"))

@@ -78,6 +78,7 @@ def test_bounds():
 @pytest.mark.parametrize("shard", [1 << 20, 3000])
 def test_a_large_group_with_a_fringe(spark, monkeypatch, shard):
     monkeypatch.setattr(neardup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(neardup, "CELL_BYTES", 4 * shard)
     r = random.Random(6)
     base = [f"w{r.randrange(900)}" for _ in range(120)]
     rows = []
