@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.words import CHUNK_BYTES, Words, chunks, mix, texts_of
+from lumenfold.llm.words import Words, chunks, mix, texts_of
 
 #: Hashed features, labelled rows that a model learns from at most, steps of its training, and the toxic threshold.
 BITS, MAX_LABELLED, STEPS, TOXIC = 20, 20_000, 150, 0.7
 #: Bytes of an inner run, and by how many standard deviations a feature is to stand out.
 GRAM, SIGNIFICANT = 5, 4.9
+#: Text bytes that the driver splits into features at once while it trains.
+TRAIN_BYTES = 1 << 18
 
 #: A-Z to a-z; sentence ends to \x01, line ends too; other ASCII that isn't a letter or digit to a space.
 _FOLD = bytes(
@@ -114,7 +116,7 @@ def train(texts: list[bytes | None], labels: np.ndarray, bits: int = BITS, steps
         size, lo = 0, 0
         for i, t in enumerate(texts):
             size += len(t or b"")
-            if size > CHUNK_BYTES or i == n - 1:
+            if size > TRAIN_BYTES or i == n - 1:
                 yield lo, i + 1
                 size, lo = 0, i + 1
 
