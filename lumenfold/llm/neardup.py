@@ -15,6 +15,7 @@ among each other. Exact copies share one text and are never paired at all.
 
 from __future__ import annotations
 
+import gc
 import pickle
 
 import numpy as np
@@ -147,8 +148,8 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     words = ids.select(slot).groupBy(F.shiftright("slot", 5).cast("int").alias("word"))
     one = F.expr("shiftleft(1L, cast(slot & 31 as int))")
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.agg(F.bit_or(one).alias("bits")).toLocalIterator():
-        bits[r["word"]] = r["bits"]
+    found = words.agg(F.bit_or(one).alias("bits")).toArrow()  # one job; 4 MB at most
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -332,10 +333,17 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(edges)
         now = tuple(seen.get[k] for k in ("n", "sum"))
         if now == before:
+            _release(links)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
 
 
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files and checkpoints of finished rounds: it does when the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """a, b, ra, rb of the pairs whose ends are in different classes."""
     for c in "ab":
@@ -389,6 +397,7 @@ def classes(
         text = _likely(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text")), mates)
         text = text.join(mates, "pos", "left_semi")
         placed = cut(placed.join(_social(text, similar, shingle).distinct(), "pos", "left_semi"))
+        _release(docs)
     main = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     main = main.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("size").alias("all"))
     main = main.filter("classes > 1").select("band", "top", F.floor(F.col("all") / CELL_BYTES + 1).alias("k"))
