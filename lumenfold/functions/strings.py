@@ -234,7 +234,8 @@ class Strings:
         return self.e._ordered("str.join", lambda a: F.array_join(F.array_compact(a), sep))
 
     def encode(self, how: str) -> Expr:
-        return self._map("encode", lambda c: F.lower(F.hex(c)) if how == "hex" else F.base64(c.cast("binary")))
+        """Base64 without the line breaks that Spark puts after every 76 characters."""
+        return self._map("encode", lambda c: F.lower(F.hex(c)) if how == "hex" else F.translate(F.base64(c.cast("binary")), "\r\n", ""))
 
     def decode(self, how: str, strict: bool = True) -> Expr:
         fn = {"hex": F.unhex, "base64": F.unbase64}[how] if strict else lambda c: F.try_to_binary(c, F.lit(how))

@@ -24,3 +24,16 @@ def same(spark, con, name, rows):
 @pytest.mark.parametrize("name", ["ewm_mean", "ewm_mean_recursive", "ewm_var", "ewm_sum", "ewm_mean_by_time"])
 def test_decay_of_all_users(spark, con, name):
     same(spark, con, f"{name}_whole", "(SELECT count(*) FROM events)")
+
+
+@pytest.mark.parametrize("name", ["str_reverse", "str_codecs"])
+def test_texts_to_their_ends(spark, con, name):
+    same(spark, con, f"{name}_whole", "(SELECT count(*) FROM documents)")
+
+
+def test_escaped_texts_to_their_ends(spark, con):
+    text = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    got = {r.doc_id: r.escaped for r in QUERIES["str_escape_regex_whole"](spark, SF).collect()}
+    special = set(r"\.+*?()|[]{}^$-#&~")
+    assert got == {i: None if t is None else "".join("\\" * (c in special) + c for c in t) for i, t in text.items()}
+    assert max(map(len, filter(None, got.values()))) > 1000
