@@ -44,6 +44,35 @@ def join_full_coalesced(spark, d):
     return _nation(spark, d).join(_rich(spark, d), on="s_nationkey", how="full", coalesce=True)
 
 
+_ALL = "(SELECT CASE WHEN s_suppkey % 4 = 1 THEN s_nationkey + 10 ELSE greatest(s_nationkey, 5) END AS s_nationkey, s_suppkey, s_acctbal FROM supplier)"
+
+
+def _all(spark, d):
+    """Every supplier; nations below 5 have none, and the keys of a quarter are shifted, some beyond all nations."""
+    low = when(col("s_nationkey") < 5).then(lit(5)).otherwise(col("s_nationkey"))
+    k = when(col("s_suppkey") % 4 == 1).then(col("s_nationkey") + 10).otherwise(low)
+    return scan(spark, d, "supplier").select(k.cast("int").alias("s_nationkey"), "s_suppkey", "s_acctbal")
+
+
+def _whole(how: str, sql: str, name: str = "", **options):
+    """A join with every supplier; the join without ``_whole`` takes a third of them."""
+
+    @query(f"join_{name or how}_whole", sql)
+    def run(spark, d):
+        return _nation(spark, d).join(_all(spark, d), on="s_nationkey", how=how, **options)
+
+    return run
+
+
+_whole("inner", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} JOIN {_ALL} USING (s_nationkey)")
+_whole("left", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} LEFT JOIN {_ALL} USING (s_nationkey)")
+_whole("right", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} RIGHT JOIN {_ALL} USING (s_nationkey)")
+_whole("semi", f"SELECT s_nationkey, n_name FROM {_N} SEMI JOIN {_ALL} USING (s_nationkey)")
+_whole("anti", f"SELECT s_nationkey, n_name FROM {_N} ANTI JOIN {_ALL} USING (s_nationkey)")
+_whole("full", f"SELECT a.s_nationkey, n_name, b.s_nationkey AS s_nationkey_right, s_suppkey, s_acctbal FROM {_N} a FULL JOIN {_ALL} b USING (s_nationkey)")
+_whole("full", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} FULL JOIN {_ALL} USING (s_nationkey)", "full_coalesced", coalesce=True)
+
+
 @query("join_cross", "SELECT a.r_regionkey, a.r_name, b.r_regionkey AS r_regionkey_right, b.r_name AS r_name_right FROM region a, region b")
 def join_cross(spark, d):
     return scan(spark, d, "region").join(scan(spark, d, "region"), how="cross")
@@ -76,6 +105,26 @@ def join_nulls_apart(spark, d):
     return f.join(f, on="k")
 
 
+_EVERY = "(SELECT CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey END AS k, s_suppkey FROM supplier)"
+
+
+def _quarter_null(spark, d):
+    """Every supplier, the keys of a quarter null: that group grows with the table."""
+    return scan(spark, d, "supplier").select(when(col("s_suppkey") % 4 != 0).then(col("s_nationkey")).otherwise(lit(None)).alias("k"), "s_suppkey")
+
+
+@query("join_nulls_equal_whole", f"SELECT a.k, a.s_suppkey, b.s_suppkey AS s_suppkey_right FROM {_EVERY} a JOIN {_EVERY} b ON a.k IS NOT DISTINCT FROM b.k")
+def join_nulls_equal_whole(spark, d):
+    f = _quarter_null(spark, d)
+    return f.join(f, on="k", nulls_equal=True)
+
+
+@query("join_nulls_apart_whole", f"SELECT a.k, a.s_suppkey, b.s_suppkey AS s_suppkey_right FROM {_EVERY} a JOIN {_EVERY} b ON a.k = b.k")
+def join_nulls_apart_whole(spark, d):
+    f = _quarter_null(spark, d)
+    return f.join(f, on="k")
+
+
 @query("join_validated", "SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_validated(spark, d):
     c = scan(spark, d, "customer").select("c_custkey", "c_name")
@@ -183,6 +232,28 @@ _update("inner", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) A
 _update("full", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM {_OLD} o FULL JOIN {_NEW} n USING (c_custkey)")
 
 
+_SHIFTED = "(SELECT CASE WHEN c_custkey % 2 = 1 THEN -c_custkey ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE -c_acctbal END AS c_acctbal FROM customer)"
+
+
+def _update_whole(how: str, nulls: bool, sql: str):
+    """An update of every customer by as many rows, half of them of keys that no customer has."""
+
+    @query(f"update_{how}{'_nulls' if nulls else ''}_whole", sql)
+    def run(spark, d):
+        c = scan(spark, d, "customer").select("c_custkey", "c_acctbal")
+        k = when(col("c_custkey") % 2 == 1).then(-col("c_custkey")).otherwise(col("c_custkey"))
+        new = scan(spark, d, "customer").select(k.alias("c_custkey"), when(col("c_custkey") % 4 != 0).then(-col("c_acctbal")).otherwise(lit(None)).alias("c_acctbal"))
+        return c.update(new, "c_custkey", how, nulls)
+
+    return run
+
+
+_update_whole("left", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o LEFT JOIN {_SHIFTED} n USING (c_custkey)")
+_update_whole("left", True, f"SELECT o.c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal ELSE o.c_acctbal END AS c_acctbal FROM customer o LEFT JOIN {_SHIFTED} n USING (c_custkey)")
+_update_whole("inner", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o JOIN {_SHIFTED} n USING (c_custkey)")
+_update_whole("full", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o FULL JOIN {_SHIFTED} n USING (c_custkey)")
+
+
 @query(
     "interval_join",
     """SELECT o_orderkey, lo FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS price FROM orders)

@@ -37,3 +37,27 @@ def test_escaped_texts_to_their_ends(spark, con):
     special = set(r"\.+*?()|[]{}^$-#&~")
     assert got == {i: None if t is None else "".join("\\" * (c in special) + c for c in t) for i, t in text.items()}
     assert max(map(len, filter(None, got.values()))) > 1000
+
+
+@pytest.mark.parametrize("name", ["inner", "left", "right", "semi", "anti", "full", "full_coalesced"])
+def test_joins_of_all_suppliers(spark, con, name):
+    name = f"join_{name}_whole"
+    same(spark, con, name, f"count(*) FROM ({SQL[name]})")
+    if any(k in name for k in ("right", "full")):
+        assert QUERIES[name](spark, SF).filter("s_suppkey is not null").count() == con.execute("SELECT count(*) FROM supplier").fetchone()[0]
+    else:
+        assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["join_nulls_equal", "join_nulls_apart"])
+def test_null_keys_of_all_suppliers(spark, con, name):
+    k = "(SELECT count(*) AS n FROM supplier WHERE s_suppkey % 4 != 0 GROUP BY s_nationkey)"
+    null = "(SELECT count(*) FROM supplier WHERE s_suppkey % 4 = 0)"
+    same(spark, con, f"{name}_whole", f"(SELECT sum(n * n) FROM {k})" + f" + {null} * {null}" * name.endswith("equal"))
+
+
+@pytest.mark.parametrize("name", ["left", "left_nulls", "inner", "full"])
+def test_updates_of_all_customers(spark, con, name):
+    half = "(SELECT count(*) FROM customer WHERE c_custkey % 2 = 0)"
+    n = {"inner": half, "full": f"2 * (SELECT count(*) FROM customer) - {half}"}.get(name, "(SELECT count(*) FROM customer)")
+    same(spark, con, f"update_{name}_whole", n)
