@@ -281,6 +281,11 @@ def concat_relaxed(spark, d):
     return concat([scan(spark, d, "region").select(col("r_regionkey").alias("k")), scan(spark, d, "orders").filter(col("o_orderkey") < 10).select(col("o_orderkey").alias("k"))], "vertical_relaxed")
 
 
+@query("concat_relaxed_whole", "SELECT r_regionkey::BIGINT AS k FROM region UNION ALL SELECT o_orderkey FROM orders")
+def concat_relaxed_whole(spark, d):
+    return concat([scan(spark, d, "region").select(col("r_regionkey").alias("k")), scan(spark, d, "orders").select(col("o_orderkey").alias("k"))], "vertical_relaxed")
+
+
 @query("concat_diagonal", "SELECT r_regionkey, r_name, NULL::VARCHAR AS n_name FROM region UNION ALL SELECT NULL, NULL, n_name FROM nation")
 def concat_diagonal(spark, d):
     return concat([scan(spark, d, "region"), scan(spark, d, "nation").select("n_name")], "diagonal")
@@ -301,6 +306,12 @@ def concat_align(spark, d):
     return concat([a, scan(spark, d, "supplier").select(col("s_suppkey").alias("k"), col("s_acctbal").alias("b"))], "align")
 
 
+@query("concat_align_whole", "SELECT k, a, b FROM (SELECT c_custkey AS k, c_acctbal AS a FROM customer) FULL JOIN (SELECT s_suppkey AS k, s_acctbal AS b FROM supplier) USING (k)")
+def concat_align_whole(spark, d):
+    a = scan(spark, d, "customer").select(col("c_custkey").alias("k"), col("c_acctbal").alias("a"))
+    return concat([a, scan(spark, d, "supplier").select(col("s_suppkey").alias("k"), col("s_acctbal").alias("b"))], "align")
+
+
 @query("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersect(spark, d):
     return scan(spark, d, "customer").select(col("c_nationkey").alias("k")).intersect(scan(spark, d, "supplier").select(col("s_nationkey").alias("k")))

@@ -61,3 +61,8 @@ def test_updates_of_all_customers(spark, con, name):
     half = "(SELECT count(*) FROM customer WHERE c_custkey % 2 = 0)"
     n = {"inner": half, "full": f"2 * (SELECT count(*) FROM customer) - {half}"}.get(name, "(SELECT count(*) FROM customer)")
     same(spark, con, f"update_{name}_whole", n)
+
+
+@pytest.mark.parametrize(("name", "rows"), [("concat_relaxed", "(SELECT count(*) FROM region) + (SELECT count(*) FROM orders)"), ("concat_align", "(SELECT count(DISTINCT k) FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier))")])
+def test_concats_of_whole_tables(spark, con, name, rows):
+    same(spark, con, f"{name}_whole", rows)
