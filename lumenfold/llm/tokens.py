@@ -4,6 +4,10 @@ An Aho-Corasick automaton lists, for each end position, the pieces that end ther
 carries the best score and the number of pieces of its path, nothing else. Among equal scores the longest last piece wins,
 as in the tokenizers library, whose search keeps the first of equal candidates and tries starts from left to right.
 A character without a piece of its own scores the least score minus 10 and counts as its UTF-8 bytes (byte fallback).
+
+The registered query's file is a BPE model, whose scores are the negative ranks of its merges. They serve as unigram scores
+here, so the counts are those of a Unigram model of the tokenizers library built from the file's pieces, and not those of the
+file's own tokenizer: on the 1,000 texts of sf0.01, 995 counts differ, and 1,091,648 pieces stand for its 957,624 (+14 %).
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.words import chunks
 
-#: The vocabulary file of the registered query: pieces with their stored scores.
+#: The vocabulary file of the registered query, a BPE model: pieces with their ranks as scores.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose counts a worker remembers.
 REMEMBERED = 500_000
@@ -112,6 +116,7 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, model: str = MODEL, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: the id, n_chars, n_bytes and n_tokens.
 
+    A BPE file's pieces are counted as a unigram model with its ranks as scores, so not as its own tokenizer counts.
     The text is cut before each space, each part begins with the space mark (the first one too, if the text doesn't begin
     with a space), and parts are tokenized by themselves. Null and
     empty texts have no tokens. Rows are counted one by one, so repeated rows and ids don't matter; an empty table gives
