@@ -1145,35 +1145,36 @@ class Expr:
     def rolling_rank_by(self, by, period, method: str = "average", **o) -> Expr:
         return self.rolling_by("rolling_rank_by", by, period, lambda c, w: _rank_in(c, F.collect_list(c).over(w), method), **o)
 
-    def _ewm(self, label: str, alpha: float, ignore_nulls: bool, fn) -> Expr:
+    def _ewm(self, label: str, alpha: float, ignore_nulls: bool, min_samples: int, fn) -> Expr:
         """A fold over the rows before each row that have a weight of 2^-200 or more: beyond what a double can tell. So the
-        frame's length depends on the decay and not on the group, unless nulls are left out of the decay."""
+        frame's length depends on the decay and not on the group, unless nulls are left out of the decay. ``min_samples``
+        counts values since the group's start."""
         reach = _START if ignore_nulls or not 0 < alpha < 1 else -math.ceil(200 * math.log(2) / -math.log1p(-alpha))
         values = lambda x, c: F.transform(F.collect_list(F.struct(c.cast("double").alias("v"))).over(x.rows(reach, 0)), lambda s: s["v"])
-        return self._win(label, lambda x, c: fn(values(x, c), c))
+        enough = lambda x, c: c.isNotNull() if min_samples <= 1 else c.isNotNull() & (F.count(c).over(x.rows(_START, 0)) >= min_samples)
+        return self._win(label, lambda x, c: F.when(enough(x, c), fn(values(x, c))))
 
     def ewm_mean(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, min_samples: int = 1) -> Expr:
         a = ewm_alpha(alpha, span, com, half_life)
-        return self._ewm("ewm_mean", a, ignore_nulls, lambda arr, c: F.when(c.isNotNull() & (F.size(F.array_compact(arr)) >= min_samples), _ewm_state(arr, a, adjust, ignore_nulls)["m"]))
+        return self._ewm("ewm_mean", a, ignore_nulls, min_samples, lambda arr: _ewm_state(arr, a, adjust, ignore_nulls)["m"])
 
-    def ewm_var(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, bias: bool = False) -> Expr:
+    def ewm_var(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, bias: bool = False, min_samples: int = 1) -> Expr:
         a = ewm_alpha(alpha, span, com, half_life)
 
-        def fn(arr, c):
+        def fn(arr):
             s = _ewm_state(arr, a, adjust, ignore_nulls)
             biased = F.greatest(s["q"] / s["w"] - s["m"] * s["m"], F.lit(0.0))
             full = s["w"] * s["w"]
-            out = biased if bias else F.when(full > s["w2"] * (1 + 1e-12), biased * full / (full - s["w2"]))
-            return F.when(c.isNotNull(), out)
+            return biased if bias else F.when(full > s["w2"] * (1 + 1e-12), biased * full / (full - s["w2"]))
 
-        return self._ewm("ewm_var", a, ignore_nulls, fn)
+        return self._ewm("ewm_var", a, ignore_nulls, min_samples, fn)
 
     def ewm_std(self, alpha: float | None = None, **o) -> Expr:
         return self.ewm_var(alpha, **o)._map("sqrt", F.sqrt)
 
-    def ewm_sum(self, alpha: float | None = None, *, span=None, com=None, half_life=None, ignore_nulls: bool = False) -> Expr:
+    def ewm_sum(self, alpha: float | None = None, *, span=None, com=None, half_life=None, ignore_nulls: bool = False, min_samples: int = 1) -> Expr:
         a = ewm_alpha(alpha, span, com, half_life)
-        return self._ewm("ewm_sum", a, ignore_nulls, lambda arr, c: F.when(c.isNotNull(), _ewm_state(arr, a, True, ignore_nulls)["s"]))
+        return self._ewm("ewm_sum", a, ignore_nulls, min_samples, lambda arr: _ewm_state(arr, a, True, ignore_nulls)["s"])
 
     def _ewm_by(self, label: str, by, half_life, pick) -> Expr:
         from lumenfold.operators.temporal import micros

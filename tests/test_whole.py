@@ -66,3 +66,27 @@ def test_updates_of_all_customers(spark, con, name):
 @pytest.mark.parametrize(("name", "rows"), [("concat_relaxed", "(SELECT count(*) FROM region) + (SELECT count(*) FROM orders)"), ("concat_align", "(SELECT count(DISTINCT k) FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier))")])
 def test_concats_of_whole_tables(spark, con, name, rows):
     same(spark, con, f"{name}_whole", rows)
+
+
+def test_decay_counts_values_since_the_start(spark):
+    from lumenfold import col
+    from lumenfold.operators.frame import Frame
+
+    n, gap = 1000, 150
+    rows = [(i, 1.0 + i % 7, float(i) if i % gap == 0 else None) for i in range(n)]
+    f = Frame(spark.createDataFrame(rows, "i long, v double, far double"))
+    dense, far, std, total = (
+        e.over(order_by="i") for e in (col("v").ewm_mean(0.9, min_samples=100), col("far").ewm_mean(0.5, min_samples=3), col("v").ewm_std(0.9, min_samples=100), col("v").ewm_sum(0.9, min_samples=100))
+    )
+    got = sorted(f.select("i", dense.alias("a"), far.alias("b"), std.alias("c"), total.alias("d")).spark().collect())
+    mean = weight = total = 0.0
+    for i, v, x in rows:
+        weight, total = weight * 0.1 + 1, total * 0.1 + v
+        mean += (v - mean) / weight
+        r = got[i]
+        assert (r.a is None) == (i < 99) == (r.c is None) == (r.d is None)
+        assert (r.b is None) == (x is None or i < 2 * gap)
+        if i >= 99:
+            assert r.a == pytest.approx(mean) and r.d == pytest.approx(total)
+        if r.b is not None:
+            assert r.b == pytest.approx(x, rel=1e-9)
