@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import cut
 from lumenfold.llm.words import Words, chunks, grams, least, mix, texts_of
 
 #: Words of a minimiser's run.
@@ -63,12 +64,10 @@ def frequent(rows: DataFrame, m: int = M, rate: int = FREQUENT) -> tuple[int, np
             )
 
     counted = rows.select("text").mapInArrow(run, "h bigint, n bigint, words bigint")
-    total = counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).orderBy(F.desc("n"), "h")
-    words, hashes = 0, []
-    for r in total.filter((F.col("words") > 0) | (F.col("n") > 1)).limit(8 * rate).collect():
-        words += r["words"]
-        hashes.append((r["h"], r["n"]))
-    often = sorted(np.int64(h).view(np.uint64) for h, n in hashes if n >= max(2, words / (2 * rate)))
+    total = cut(counted.groupBy("h").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+    words = total.agg(F.sum("words")).collect()[0][0] or 0
+    # All n add up to words at most, so that at most 2 * rate runs pass.
+    often = sorted(np.int64(r["h"]).view(np.uint64) for r in total.filter(F.col("n") >= max(2, words / (2 * rate))).select("h").collect())
     return words, np.array(often, np.uint64)
 
 
