@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import cut
@@ -177,11 +177,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
         kept: dict = {}
 
         def split(i, text):
-            if i not in kept:
+            at = i, xxhash.xxh3_128_digest(text or b"")  # an id may have several texts
+            if at not in kept:
                 if len(kept) >= KEPT:
                     del kept[next(iter(kept))]
-                kept[i] = weighted(text, shingle)
-            return kept[i]
+                kept[at] = weighted(text, shingle)
+            return kept[at]
 
         for b in chunks(batches, "text_a"):
             a_id, b_id = (b.column(c).to_pylist() for c in ("a", "b"))
@@ -372,7 +373,7 @@ def classes(
 
     Links are pairs of texts of similarity ``similar`` or more that share a band (at 0.8 all but one in 10,000 do), and
     equal texts. Texts without words are in no class but their own; a text of fewer than five words is one shingle. Rows
-    that repeat an id are one document with several texts. A null id is smaller than all others, and counts as one
+    that repeat an id are one document with several texts, and in one class. A null id is smaller than all others, and counts as one
     document. The id is an integer. An empty table gives no rows; only id and text are read.
     """
     signed = cut(_signed(docs, id_col, text_col, bands, rows, shingle))
@@ -386,7 +387,9 @@ def classes(
     held = banded.join(low, F.col("band") == F.col("in")).select("band", "pos", "size", "b")
     stars = cut(held.filter("pos != b").groupBy(F.col("pos").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")))
     best = stars.groupBy("a").agg(F.max_by("b", F.col("n")).alias("b"))
-    roots = components(_verified(docs, best, id_col, text_col, similar, shingle))
+    several = own.groupBy("pos").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo != hi").select("pos")
+    joint = own.filter("rid != pos").join(several, "pos", "left_semi").select(F.col("pos").alias("a"), F.col("rid").alias("b")).distinct()
+    roots = components(_verified(docs, best, id_col, text_col, similar, shingle).union(joint))
     rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots).select("a", "b")
     roots = _merged(roots, _verified(docs, rest, id_col, text_col, similar, shingle))
     other = roots.select(F.col("node").alias("node"), "root")
@@ -417,10 +420,18 @@ def classes(
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of the document with the smallest id in each class."""
+    """The rows of ``docs``, all columns as they are, of the document with the smallest id in each class.
+
+    Of rows that repeat an id and its text one stays, the first by the other columns as JSON.
+    """
     found = classes(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.filter(~F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    often = found.groupBy(F.col(id_col).alias("__often")).count().filter("count > 1").select("__often")
+    same = F.col(id_col).eqNullSafe(F.col("__often"))
+    nth = F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(F.to_json(F.struct("*"))))
+    once = left.join(often, same, "left_semi").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return left.join(often, same, "left_anti").union(once)
 
 
 def brute_force(rows: list[tuple], similar: float = SIMILAR) -> dict:
