@@ -20,8 +20,8 @@ from lumenfold.llm.words import Words, chunks, mix, texts_of
 BITS, MAX_LABELLED, STEPS, TOXIC = 20, 20_000, 150, 0.7
 #: Bytes of an inner run, and by how many standard deviations a feature is to stand out.
 GRAM, SIGNIFICANT = 5, 4.9
-#: Text bytes that the driver splits into features at once while it trains.
-TRAIN_BYTES = 1 << 18
+#: Text bytes that are split into features at once, in training and in scoring.
+BLOCK_BYTES = 1 << 18
 
 #: A-Z to a-z; sentence ends to \x01, line ends too; other ASCII that isn't a letter or digit to a space.
 _FOLD = bytes(
@@ -116,7 +116,7 @@ def train(texts: list[bytes | None], labels: np.ndarray, bits: int = BITS, steps
         size, lo = 0, 0
         for i, t in enumerate(texts):
             size += len(t or b"")
-            if size > TRAIN_BYTES or i == n - 1:
+            if size > BLOCK_BYTES or i == n - 1:
                 yield lo, i + 1
                 size, lo = 0, i + 1
 
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", BLOCK_BYTES):
             texts = texts_of(b, "text")
             scores, parts, own, lo, hi = shared.value.score(texts)
             found: list[list] = [[] for _ in texts]
@@ -238,7 +238,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in chunks(batches, text_col):
+        for b in chunks(batches, text_col, BLOCK_BYTES):
             yield b.filter(pa.array(shared.value.score(texts_of(b, text_col))[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

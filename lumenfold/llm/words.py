@@ -9,8 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Bytes of text worked on at once; one longer text makes a chunk of its own.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text worked on at once; one longer text makes a chunk of its own. Arrays over a chunk take many times its size.
+CHUNK_BYTES = 1 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 512
 
