@@ -7,10 +7,10 @@ register with the probability of their probability Jaccard similarity, which doe
 
 Registers are cut into bands. In a band's bucket every text is paired with the bucket's smallest id, and pairs are verified
 on the texts themselves; after that only pairs whose texts are still in different classes are left to verify: first the
-other pairs of the same kind, then pairs across classes within a bucket. Before those are made, texts that provably have no
-near-duplicate at all are left out, by a bound on what their elements that other texts have too can add up to; see
-_social(). So no pair of a bucket is lost, and neither the members of a class nor the fringe of a large group are paired
-among each other. Exact copies share one text and are never paired at all.
+other pairs of the same kind, then pairs across classes within a bucket. Those aren't all made: the texts of buckets with
+several classes are joined on their rarest elements, and only where both texts' rarer elements leave room for the
+similarity that is asked for; see prefixes(). So no pair of a bucket is lost, and neither the members of a class nor the
+fringe of a large group are paired among each other. Exact copies share one text and are never paired at all.
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ from lumenfold.llm.words import Words, chunks, grams, mix, texts_of
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 5
 #: Bits of the filter that keeps texts without pairs out of the shuffle, at every size of the input (1 MB).
 FILTER_BITS = 1 << 23
-#: Text bytes for each shard of elements, and how often texts without near-duplicates are looked for (each time without those found before).
-SHARD_BYTES, ROUNDS = 1 << 20, 2
-#: Text bytes of a bucket for each of the blocks that its pairs are dealt by.
-CELL_BYTES = 1 << 18
+#: Text bytes for each shard of elements.
+SHARD_BYTES = 1 << 20
 #: Texts that a task keeps split into elements while it verifies pairs.
 KEPT = 2048
 NO_ID = -(1 << 63)
+#: Room for rounding in bounds of the similarity.
+SLACK = 1e-6
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -197,30 +197,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _verified_by_cell(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similar: float, shingle: int) -> DataFrame:
-    """As _verified(), of pairs (cell, a, b) that are many for few texts: a cell gets each of its texts once.
-
-    A cell has the pairs of two blocks of a bucket, of about CELL_BYTES of text each, or of one longer text.
-    """
-    pairs = cut(pairs)
-    need = pairs.select("cell", F.col("a").alias("pos")).union(pairs.select("cell", F.col("b").alias("pos"))).distinct()
-    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
-    texts = _likely(text, need.select("pos")).join(need, "pos").select("cell", "pos", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("pairs"))
-    lists = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    both = texts.union(lists.select("cell", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), "pairs"))
-
-    def run(t: pa.Table) -> pa.Table:
-        own: dict = {}
-        for i, x in zip(t.column("pos").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if i is not None:
-                own.setdefault(i, []).append(weighted(x, shingle))
-        like = lambda a, b: any(similarity(x, y) >= similar - 1e-9 for x in own[a] for y in own[b])
-        found = [(p["a"], p["b"]) for ps in t.column("pairs").to_pylist() for p in ps or () if like(p["a"], p["b"])]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return both.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
-
-
 def _pack(**arrays: np.ndarray) -> bytes:
     return zstandard.compress(pickle.dumps(arrays, 5), 1)
 
@@ -229,114 +205,120 @@ def _unpack(b: bytes) -> dict[str, np.ndarray]:
     return pickle.loads(zstandard.decompress(b))
 
 
-def bounds(own: np.ndarray, weight: np.ndarray, n: int, shared: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For each of n texts, what its similarity to any other text can be at most.
+def prefixes(own: np.ndarray, key: np.ndarray, weight: np.ndarray, often: np.ndarray, n: int, similar: float):
+    """Places of the elements by which n texts are joined, and of each its lead: what its text has before it, by what is left.
 
-    Of each element: whether other texts have it, the greatest weight that any text gives it, and the least total weight
-    of the texts that have it. Two texts' similarity is the sum, over the elements i of both, of 1 over the sum over all j
-    of max(x_j / x_i, y_j / y_i). That sum is X / x_i at least, and (Y - Y_shared) / y_i more for the elements that only the
-    other text has. Weights are 1 at least; so with X for the text's own total, S for its shared elements' weight, M for the
-    sum and m for the maximum of their greatest weights, and Y for the least total, it is S / (X + max(0, Y - M) / m) at most.
+    An element's place in its text goes by how many texts have it (``often``), then by its hash. Take two texts of total
+    weight X and Y, whose first common element in that order has p before it in one text and q in the other. Nothing before
+    it is common. The similarity is the sum over the common elements i of 1 / sum_j max(x_j / x_i, y_j / y_i), and that inner
+    sum is X / x_i + q / y_i at least. 1 / (X / x + q / y) is concave and homogeneous, so the sum is 1 / (X / (X - p) + q / (Y - q))
+    at most, that is 1 / (1 + lead_x + lead_y) with leads p / (X - p) and q / (Y - q). So two similar texts meet in an element
+    where their leads add up to 1 / similar - 1 or less; elements of larger lead aren't needed, nor those of one text only.
     """
-    total = np.bincount(own, weight, n)
-    s, m = np.bincount(own, weight * shared, n), np.bincount(own, most * shared, n)
-    top, low = np.ones(n), np.full(n, np.inf)
-    np.maximum.at(top, own[shared], most[shared])
-    np.minimum.at(low, own[shared], least[shared])
-    rest = np.maximum(0, np.where(np.isfinite(low), low, 0) - m)
-    return s / np.maximum(total + rest / top, 1e-300)
+    order = np.lexsort((key, often, own))
+    weight, own = weight[order], own[order]
+    upto = np.cumsum(weight)
+    start = np.searchsorted(own, own)
+    before = upto - weight - np.where(start > 0, upto[start - 1], 0.0)
+    lead = np.maximum(0.0, before) / np.maximum(np.bincount(own, weight, n)[own] - before, weight)
+    keep = (often[order] > 1) & (lead <= 1 / similar - 1 + SLACK)
+    return order[keep], lead[keep]
 
 
-def _social(text: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """pos of those of ``text`` (pos, text) that may be similar to another one of them: see bounds().
+def _joinable(text: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """element, lead, pos, root: by which elements the texts (pos, root, text) may be similar to others; see prefixes().
 
-    Batches of texts sum up their own elements and ask the elements' shards what all batches together have; so a shingle
-    that very many texts have makes a row for each batch, not for each text. Batches' texts travel as their elements.
+    Batches of texts ask the elements' shards in how many texts of all batches each of theirs is; so a shingle that very
+    many texts have makes a row for each batch, not for each text. Batches' texts travel as their elements.
     """
     size = text.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     shards = size // SHARD_BYTES + 1
 
     def ask(batches):
         for b in chunks(batches, "text"):
-            pos = np.array(b.column("pos").to_pylist(), np.int64)
+            pos, root = (np.array(b.column(c).to_pylist(), np.int64) for c in ("pos", "root"))
             own, key, weight = elements(texts_of(b, "text"), shingle)
-            total = np.bincount(own, weight, len(pos))
-            keys, at, n = np.unique(key, return_inverse=True, return_counts=True)
-            most, least = np.zeros(len(keys)), np.full(len(keys), np.inf)
-            np.maximum.at(most, at, weight)
-            np.minimum.at(least, at, total[own])
+            keys, n = np.unique(key, return_counts=True)
             name = int(xxhash.xxh64_intdigest(pos.tobytes())) >> 1
-            rows = [(-1, name, _pack(pos=pos, own=own.astype(np.int32), key=key, weight=weight))]
+            rows = [(-1, name, _pack(pos=pos, root=root, own=own.astype(np.int32), key=key, weight=weight))]
             shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
             for s in np.unique(shard):
-                k = shard == s
-                rows.append((int(s), name, _pack(keys=keys[k], n=n[k], most=most[k], least=least[k])))
+                rows.append((int(s), name, _pack(keys=keys[shard == s], n=n[shard == s])))
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "batch", "data"), r, strict=True)) for r in rows], _ASK)
 
     def answer(t: pa.Table) -> pa.Table:
         parts = [_unpack(d) for d in t.column("data").to_pylist()]
         keys, at = np.unique(np.concatenate([p["keys"] for p in parts]), return_inverse=True)
-        n, most, least = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.full(len(keys), np.inf)
-        np.add.at(n, at, np.concatenate([p["n"] for p in parts]))
-        np.maximum.at(most, at, np.concatenate([p["most"] for p in parts]))
-        np.minimum.at(least, at, np.concatenate([p["least"] for p in parts]))
+        n = np.bincount(at, np.concatenate([p["n"] for p in parts]), len(keys)).astype(np.int64)
         out = []
         for p in parts:
             k = np.searchsorted(keys, p["keys"])
             k = k[n[k] > 1]
-            out.append(_pack(keys=keys[k], most=most[k], least=least[k]))
+            out.append(_pack(keys=keys[k], n=n[k]))
         return pa.table({"batch": t.column("batch"), "data": pa.array(out, pa.binary())})
 
     def judge(t: pa.Table) -> pa.Table:
         parts = [_unpack(d) for d in t.column("data").to_pylist()]
         found = [p for p in parts if "keys" in p]
-        keys, most, least = (np.concatenate([p[c] for p in found] or [np.empty(0, kind)]) for c, kind in (("keys", np.uint64), ("most", float), ("least", float)))
+        keys, n = (np.concatenate([p[c] for p in found] or [np.empty(0, kind)]) for c, kind in (("keys", np.uint64), ("n", np.int64)))
         order = np.argsort(keys)
-        keys, most, least = (np.append(x[order], x.dtype.type(0)) for x in (keys, most, least))
-        out = []
+        keys, n = np.append(keys[order], np.uint64(0)), np.append(n[order], 1)
+        out = [pa.table({c: pa.array([], kind) for c, kind in (("element", pa.int64()), ("lead", pa.float64()), ("pos", pa.int64()), ("root", pa.int64()))})]
         for p in (p for p in parts if "pos" in p):
             at = np.searchsorted(keys[:-1], p["key"])
-            shared = (keys[at] == p["key"]) & (at < len(keys) - 1)
-            top = bounds(p["own"], p["weight"], len(p["pos"]), shared, most[at], least[at])
-            out.append(p["pos"][top >= similar - 1e-6])
-        return pa.table({"pos": pa.array(np.concatenate(out or [np.empty(0, np.int64)]), pa.int64())})
+            often = np.where((keys[at] == p["key"]) & (at < len(keys) - 1), n[at], 1)
+            at, lead = prefixes(p["own"], p["key"], p["weight"], often, len(p["pos"]), similar)
+            own = p["own"][at]
+            out.append(pa.table({"element": p["key"][at].view(np.int64), "lead": lead, "pos": p["pos"][own], "root": p["root"][own]}))
+        return pa.concat_tables(out)
 
     asked = cut(text.mapInArrow(ask, "shard bigint, batch bigint, data binary"))
     answers = asked.filter("shard >= 0").groupBy("shard").applyInArrow(answer, "batch bigint, data binary")
     both = answers.union(asked.filter("shard < 0").select("batch", "data"))
-    return both.groupBy("batch").applyInArrow(judge, "pos bigint")
+    return both.groupBy("batch").applyInArrow(judge, "element bigint, lead double, pos bigint, root bigint")
 
 
 _ASK = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("data", pa.binary())])
 
 
+def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` with the row of ``right`` for its ``key``, or those that have one (left_semi). A key may have very many rows.
+
+    They meet on the key's complement. So neither side, if it comes grouped by the key, is dealt already, and adaptive
+    execution is free to split what a task would get of one key.
+    """
+    right = right.withColumn("__key", F.bitwise_not(key)).drop(key)
+    return left.join(right, F.bitwise_not(left[key]) == F.col("__key"), how).drop("__key")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node that links lead to) of the nodes in ``links`` (a, b), by alternating stars.
 
-    Each round hangs every node's larger neighbours, then its smaller ones, on the smallest it knows, until nothing
-    changes: about log of the longest chain's length. A round is one query, kept by a reliable checkpoint, that counts and
-    sums up its own links as it writes them; nothing is collected.
+    Each round hangs every node's larger neighbours, then its smaller ones, on the smallest it knows, until no link is
+    new: about log of the longest chain's length. A round is one query, kept by a reliable checkpoint, that counts its
+    links and those of them that the round before didn't have; nothing is collected.
     """
-    edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    seen = Observation()
+    edges = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = cut(edges.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    while n:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("n")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = _met(both, low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-        small = large.join(low, F.col("a") == F.col("n")).select("a", "b", "m")
-        edges = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
+        small = _met(large, large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
+        small = small.filter("a != b").distinct()
+        had = edges.select(F.col("a").alias("had_a"), F.col("b").alias("had_b"), F.lit(1).alias("had"))
         seen = Observation()
-        edges = edges.filter("a != b").distinct().observe(
-            seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("decimal(38,0)")).alias("sum")
-        )
-        edges = cut(edges)
-        now = tuple(seen.get[k] for k in ("n", "sum"))
-        if now == before:
-            _release(links)
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        small = small.join(had, (F.col("a") == F.col("had_a")) & (F.col("b") == F.col("had_b")), "left")
+        edges = cut(small.observe(seen, F.count(F.lit(1)).alias("n"), F.count("had").alias("had")).select("a", "b"))
+        before, n = n, seen.get["n"]
+        if n == before == seen.get["had"]:
+            break
+    _release(links)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _release(df: DataFrame) -> None:
@@ -354,9 +336,19 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """The classes after more links between nodes."""
-    more = _across(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    """The classes after more links between nodes; only classes that are linked take part."""
+    more = components(_across(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    old = roots.select("node", F.col("root").alias("old"))
+    new = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    moved = _met(old, new, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
+    return cut(moved.union(more.select("node", "root")))
+
+
+def _unordered(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that aren't among ``done`` in either order."""
+    order = lambda d: d.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    pairs = pairs.withColumns({"hi": F.greatest("a", "b"), "lo": F.least("a", "b")})
+    return pairs.join(order(done), ["hi", "lo"], "left_anti").select("a", "b")
 
 
 def classes(
@@ -378,42 +370,50 @@ def classes(
     """
     signed = cut(_signed(docs, id_col, text_col, bands, rows, shingle))
     copies = signed.filter("bands is not null").groupBy("c1", "c2").agg(F.min("pos").alias("rid"))
-    copies = copies.select(F.col("c1").alias("r1"), F.col("c2").alias("r2"), "rid")
-    same = (F.col("c1") == F.col("r1")) & (F.col("c2") == F.col("r2"))
-    own = cut(signed.join(copies, same, "left").select("pos", "size", F.coalesce("rid", "pos").alias("rid"), F.when(F.col("rid") == F.col("pos"), F.col("bands")).alias("bands")))
-    banded = own.filter("bands is not null").select("pos", "size", F.explode("bands").alias("band"))
+    copies = copies.select(F.bitwise_not("c1").alias("r1"), F.col("c2").alias("r2"), "rid")  # see _met()
+    same = (F.bitwise_not("c1") == F.col("r1")) & (F.col("c2") == F.col("r2"))
+    own = cut(signed.join(copies, same, "left").select("pos", F.coalesce("rid", "pos").alias("rid"), F.when(F.col("rid") == F.col("pos"), F.col("bands")).alias("bands")))
+    banded = own.filter("bands is not null").select("pos", F.explode("bands").alias("band"))
     low = cut(banded.groupBy("band").agg(F.min("pos").alias("b"), F.max("pos").alias("most")).filter("most > b"))
     low = low.select(F.col("band").alias("in"), "b")
-    held = banded.join(low, F.col("band") == F.col("in")).select("band", "pos", "size", "b")
+    held = banded.join(low, F.col("band") == F.col("in")).select("band", "pos", "b")
     stars = cut(held.filter("pos != b").groupBy(F.col("pos").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")))
     best = stars.groupBy("a").agg(F.max_by("b", F.col("n")).alias("b"))
     several = own.groupBy("pos").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo != hi").select("pos")
     joint = own.filter("rid != pos").join(several, "pos", "left_semi").select(F.col("pos").alias("a"), F.col("rid").alias("b")).distinct()
-    roots = components(_verified(docs, best, id_col, text_col, similar, shingle).union(joint))
+    verified = lambda pairs: _verified(docs, pairs, id_col, text_col, similar, shingle)
+    roots = components(verified(best).union(joint))
     rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots).select("a", "b")
-    roots = _merged(roots, _verified(docs, rest, id_col, text_col, similar, shingle))
-    other = roots.select(F.col("node").alias("node"), "root")
-    placed = cut(held.join(other, F.col("pos") == F.col("node"), "left").select("band", "pos", "size", "b", F.coalesce("root", "pos").alias("root")))
-    for _ in range(ROUNDS):
-        split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-        mates = cut(placed.join(split, "band", "left_semi").select("pos").distinct())
-        text = _likely(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text")), mates)
-        text = text.join(mates, "pos", "left_semi")
-        placed = cut(placed.join(_social(text, similar, shingle).distinct(), "pos", "left_semi"))
-        _release(docs)
-    main = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    main = main.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("size").alias("all"))
-    main = main.filter("classes > 1").select("band", "top", F.floor(F.col("all") / CELL_BYTES + 1).alias("k"))
-    mixed = placed.join(main, "band")
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
-    lists = mixed.groupBy("pos").agg(F.collect_set("band").alias("list"))
-    mixed = cut(mixed.join(lists, "pos"))
-    minor = mixed.filter("root != top").select(F.col("band").alias("in"), F.col("pos").alias("x"), F.col("root").alias("rx"), F.col("list").alias("list_x"))
-    once = F.col("band") == F.array_min(F.array_intersect("list", "list_x"))
-    both_minor = (F.col("root") == F.col("top")) | (F.col("pos") < F.col("x"))
-    cross = mixed.join(minor, (F.col("band") == F.col("in")) & F.expr("root != rx and pos != x and x != b and pos != b") & both_minor & once)
-    pairs = cross.select(F.xxhash64("band", block("pos"), block("x")).alias("cell"), F.greatest("pos", "x").alias("a"), F.least("pos", "x").alias("b"))
-    roots = _merged(roots, _verified_by_cell(docs, pairs, id_col, text_col, similar, shingle))
+    roots = _merged(roots, verified(rest))
+    placed = held.join(roots, F.col("pos") == F.col("node"), "left").select("band", "pos", F.coalesce("root", "pos").alias("root"))
+    placed = cut(placed)
+    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    mates = cut(_met(placed, split, "band", "left_semi").select("pos", "root").distinct())
+    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
+    text = _likely(text, mates.select("pos")).join(mates, "pos").select("pos", "root", "text")
+    room = 1 / similar - 1 + 2 * SLACK
+    by = cut(_joinable(text, similar, shingle))
+    # Each text with the one that has least before the element; then what is left between classes.
+    first = by.groupBy("element").agg(F.min(F.struct("lead", "pos", "root")).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    first = first.filter("lo != hi").select("element", "f")
+    near = _met(by, first, "element").filter(f"root != f.root and pos != f.pos and lead + f.lead <= {room}")
+    near = near.select(F.col("pos").alias("a"), F.col("f.pos").alias("b")).distinct()
+    done = stars.select("a", "b")
+    near = cut(_unordered(near, done))
+    roots = _merged(roots, verified(near))
+    by = by.drop("root").join(roots, F.col("pos") == F.col("node"), "left").select("element", "lead", "pos", F.coalesce("root", "pos").alias("root"))
+    by = cut(by)
+    first = by.groupBy("element").agg(F.min(F.struct("lead", "root")).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    by = cut(_met(by, first.filter("lo != hi").select("element", "f"), "element").filter(f"root = f.root or lead + f.lead <= {room}"))
+    minor = by.filter("root != f.root")
+    least = minor.groupBy("element").agg(F.min("lead").alias("least"))
+    major = _met(by.filter("root = f.root"), least, "element").filter(f"lead + least <= {room}")
+    minor = minor.select("element", "lead", "pos", "root")
+    one = major.select("element", "lead", "pos", "root", F.lit(True).alias("major")).union(minor.withColumn("major", F.lit(False)))
+    two = minor.select("element", F.col("lead").alias("lead_x"), F.col("pos").alias("x"), F.col("root").alias("root_x"))
+    across = _met(one, two, "element").filter(f"root != root_x and pos != x and (major or pos < x) and lead + lead_x <= {room}")
+    across = _unordered(across.select(F.col("pos").alias("a"), F.col("x").alias("b")).distinct(), done.union(near))
+    roots = _merged(roots, verified(across))
     out = own.join(roots, F.col("rid") == F.col("node"), "left").select("pos", F.coalesce("root", "rid").alias("root"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(docs.schema[id_col].dataType)
     return out.select(null("pos").alias(id_col), null("root").alias("class_id"))

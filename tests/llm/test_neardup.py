@@ -58,27 +58,30 @@ def test_as_brute_force(spark):
     assert len(set(got.values())) < len(got) - 30
 
 
-def test_bounds():
-    r = random.Random(3)
-    for _ in range(200):
-        sets = [{i: r.choice([1, 1, 1, 1.7, 3]) for i in r.sample(range(14), r.randrange(1, 12))} for _ in range(6)]
+@pytest.mark.parametrize("similar", [0.8, 0.5])
+def test_similar_texts_meet_in_an_element(similar):
+    r, met = random.Random(3), 0
+    for _ in range(300):
+        base = {i: r.choice([1, 1, 1, 1.7, 3]) for i in range(12)}
+        sets = [{i: w for i, w in base.items() if r.random() < 0.9} | {r.randrange(12, 30): 1.7} for _ in range(6)]
         own = np.concatenate([np.full(len(d), i) for i, d in enumerate(sets)])
-        key = np.concatenate([sorted(d) for d in sets])
-        weight = np.array([sets[i][k] for i, k in zip(own, key, strict=True)], float)
-        have = lambda k: [d for d in sets if k in d]
-        shared = np.array([len(have(k)) > 1 for k in key])
-        most = np.array([max(d[k] for d in have(k)) for k in key])
-        least = np.array([min(sum(d.values()) for d in have(k)) for k in key])
-        top = neardup.bounds(own, weight, 6, shared, most, least)
+        key = np.concatenate([sorted(d) for d in sets]).astype(np.uint64)
+        weight = np.array([sets[i][k] for i, k in zip(own, key.tolist(), strict=True)], float)
+        often = np.array([sum(k in d for d in sets) for k in key.tolist()])
+        at, lead = neardup.prefixes(own, key, weight, often, 6, similar)
+        rows = [dict(zip(key[at[own[at] == i]].tolist(), lead[own[at] == i], strict=True)) for i in range(6)]
         pair = [(np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], float)) for d in sets]
         for i in range(6):
-            assert top[i] >= max(neardup.similarity(pair[i], pair[j]) for j in range(6) if j != i) - 1e-9
+            for j in range(i):
+                if neardup.similarity(pair[i], pair[j]) >= similar:
+                    met += 1
+                    assert any(rows[i][k] + rows[j][k] <= 1 / similar - 1 + 2 * neardup.SLACK for k in rows[i].keys() & rows[j].keys())
+    assert met > 50
 
 
 @pytest.mark.parametrize("shard", [1 << 20, 3000])
 def test_a_large_group_with_a_fringe(spark, monkeypatch, shard):
     monkeypatch.setattr(neardup, "SHARD_BYTES", shard)
-    monkeypatch.setattr(neardup, "CELL_BYTES", 4 * shard)
     r = random.Random(6)
     base = [f"w{r.randrange(900)}" for _ in range(120)]
     rows = []
@@ -113,3 +116,46 @@ def test_components(spark):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {i: x for i, x in root.items() if i != x}
+
+
+def test_planted_copies_are_caught(spark):
+    """Of copies with 0 to 8 words in 200 replaced, all are caught whose similarity is 0.8 or more, and no others.
+
+    Four words replaced leave 0.82, six leave 0.74: that copies with more edits are other documents is what the threshold says.
+    """
+    r = random.Random(11)
+    rows, base = [], []
+    for i in range(60):
+        base.append([f"w{r.randrange(10**6)}" for _ in range(200)])
+        rows.append((i, " ".join(base[i])))
+    edits = {}
+    for k in range(9):
+        for i in range(60):
+            own = list(base[i])
+            for j in r.sample(range(200), k):
+                own[j] = f"x{r.randrange(10**6)}"
+            edits[1000 * (k + 1) + i] = k, i, " ".join(own)
+    rows += [(i, t) for i, (_, _, t) in edits.items()]
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame([(*x, 1, "") for x in rows], SCHEMA)).collect()}
+    assert got == neardup.brute_force(rows)
+    caught = [sum(got[d] == i for d, (k, i, _) in edits.items() if k == n) / 60 for n in range(9)]
+    print("share caught by words replaced in 200:", caught)
+    assert min(caught[:4]) == 1.0 and all(got[i] == i for i in range(60))
+
+
+def test_texts_around_a_common_passage_are_not_paired(spark, monkeypatch):
+    """Four fifths of each text is one passage: pairs are below the threshold, and no text but the passage's own is verified much."""
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(i, " ".join(passage + [f"x{r.randrange(10**9)}" for _ in range(r.randrange(16, 24))]), 1, "") for i in range(300)]
+    tried = []
+    own = neardup._verified
+
+    def counted(docs, pairs, *rest):
+        tried.append(pairs.count())
+        return own(docs, pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == neardup.brute_force([x[:2] for x in rows])
+    assert tried[2] + tried[3] < 300, tried
