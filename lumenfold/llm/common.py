@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def met(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` with the rows of ``right`` for its integer ``key``, or those that have one (left_semi). A key may have very many rows.
+
+    They meet on the key's complement. So neither side, if it comes grouped by the key, is dealt already, and adaptive
+    execution is free to split what a task would get of one key.
+    """
+    right = right.withColumn("__key", F.bitwise_not(key)).drop(key)
+    return left.join(right, F.bitwise_not(left[key]) == F.col("__key"), how).drop("__key")
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The bits that the table's only column, of 64-bit hashes, sets of ``bits`` (a multiple of 32): see marked().
+
+    It is made by a partial aggregation, so what comes to the driver is bounded: 16 bytes for each 32 bits.
+    """
+    slot = hashes.select(F.pmod(F.col(hashes.columns[0]), F.lit(bits)).alias("slot"))
+    words = slot.groupBy(F.shiftright("slot", 5).cast("int").alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toArrow()  # one job
+    out = np.zeros(bits // 32, np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes may be among those of bitmap(): all that are, and the more others, the fuller it is."""
+    slot = hashes.view(np.int64) % np.int64(len(bits) * 32)
+    return (bits[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).astype(bool)
+
+
 def word_array(text):
     """The words of a text column, unchanged: what ASCII white space separates. Null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

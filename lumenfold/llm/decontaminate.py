@@ -2,32 +2,33 @@
 
 Words are runs of ASCII letters and digits and of all characters from U+0080 on, with A-Z lower-cased. Fingerprints are
 hashes of ``k`` consecutive words; of every ``window - k + 1`` neighbouring ones the least is kept, on both sides, so each
-span of ``window`` words that a document shares with an item has a kept fingerprint in common. Fingerprints that meet are
-extended word by word in both directions, and only spans of whole windows count: hashes decide nothing by themselves.
-An item of fewer words than a window is one window of its own length, and is looked up by the hash of all its words.
+span of ``window`` words that a document shares with an item has a kept fingerprint in common. A document's fingerprint
+that the benchmark has too is extended to the windows around it, and the windows of both sides are joined: words decide,
+hashes only bring candidates together. Hits of neighbouring windows make up a span. An item of fewer words than a window
+is one window of its own length.
+
+Of the documents only windows that the benchmark's fingerprints and windows let pass are shuffled: by a bitmap of bounded
+size, whatever the benchmark's. So neither the driver nor a task holds the benchmark or its index.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut
+from lumenfold.llm.common import bitmap, cut, marked, met
 from lumenfold.llm.words import Words, chunks, grams, greatest, least, texts_of
 
 #: Every byte to itself, A-Z to a-z, other ASCII that isn't a letter or digit to a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
-#: Bytes of item text in one index, which goes to every executor. More items are taken block by block.
-BLOCK_BYTES = 16 << 20
-
-SPANS = "spans array<struct<start:int,stop:int>>, items array<string>"
+#: Bits of the map of the benchmark's fingerprints and windows (4 MB), at every size of the benchmark.
+FILTER_BITS = 1 << 25
 
 
 def _winnow(h: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,69 +45,81 @@ def _winnow(h: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int, window
     return at, kh[at]
 
 
-class Index:
-    """The windows of some benchmark items."""
-
-    def __init__(self, ids: list[str], texts: list[bytes | None], window: int, k: int):
-        self.ids, self.window, self.k = ids, window, k
-        w = Words(texts, FOLD)
-        h, counts = w.hashes(), w.counts()
-        self.words = [
-            [w.buf[w.start[j] : w.end[j]] for j in range(w.first[i], w.first[i + 1])] for i in range(len(ids))
-        ]
-        at, fp = _winnow(h, w.first[:-1], counts, k, window)
-        item = w.text_of()[at] if len(at) else np.empty(0, np.int64)
-        order = np.argsort(fp, kind="stable")
-        self.fp, self.item, self.pos = fp[order], item[order], (at - w.first[item])[order] if len(at) else at
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted({int(c) for c in counts if 0 < c < window}):
-            own = np.flatnonzero(counts == n)
-            keys = np.array([grams(h[w.first[i] : w.first[i] + n], n)[0] for i in own], np.uint64)
-            order = np.argsort(keys, kind="stable")
-            self.short[n] = keys[order], own[order]
-
-    def find(self, w: Words) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-        """For each text with hits: its number, the spans of words hit (unmerged), and the items found."""
-        h, counts = w.hashes(), w.counts()
-        if not len(h):
-            return
-        hits: list[tuple[int, int, int, int]] = []  # (word, item, position in the item, whole length or 0)
-        at, fp = _winnow(h, w.first[:-1], counts, self.k, self.window)
-        if len(self.fp) and len(fp):
-            lo, hi = np.searchsorted(self.fp, fp, "left"), np.searchsorted(self.fp, fp, "right")
-            for i in np.flatnonzero(hi > lo):
-                hits += ((int(at[i]), int(self.item[j]), int(self.pos[j]), 0) for j in range(lo[i], hi[i]))
-        stop_of = np.repeat(w.first[1:], counts)
-        for n, (keys, own) in self.short.items():
-            if len(h) < n:
-                continue
-            g = grams(h, n)
-            lo, hi = np.searchsorted(keys, g, "left"), np.searchsorted(keys, g, "right")
-            for i in np.flatnonzero((hi > lo) & (np.arange(len(g)) + n <= stop_of[: len(g)])):
-                hits += ((int(i), int(own[j]), 0, n) for j in range(lo[i], hi[i]))
-        if not hits:
-            return
-        text = w.text_of()
-        word = lambda i: w.buf[w.start[i] : w.end[i]]
-        found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-        done: dict[tuple[int, int], int] = {}  # by item and diagonal: up to which word it has been extended
-        for i, item, pos, whole in sorted(hits):
-            if done.get((item, i - pos), -1) > i:
-                continue
-            own, t = self.words[item], int(text[i])
-            lo, p = i, pos
-            while lo > w.first[t] and p > 0 and word(lo - 1) == own[p - 1]:
-                lo, p = lo - 1, p - 1
-            hi, q = i, pos
-            while hi < w.first[t + 1] and q < len(own) and word(hi) == own[q]:
-                hi, q = hi + 1, q + 1
-            done[item, i - pos] = max(hi, i + 1)
-            if hi - lo >= (whole or self.window):
-                spans, items = found.setdefault(t, ([], set()))
-                spans.append((lo - int(w.first[t]), hi - int(w.first[t])))
-                items.add(self.ids[item])
-        for t, (spans, items) in sorted(found.items()):
-            yield t, spans, items
+def _full(w: Words, n: int) -> np.ndarray:
+    """Which runs of n words start at each word and stay in their text (as long as grams() of n)."""
+    stop = np.repeat(w.first[1:], w.counts())[: max(len(w) - n + 1, 0)]
+    return np.arange(len(stop)) + n <= stop
+
+
+def _around(w: Words, at: np.ndarray, window: int, k: int) -> np.ndarray:
+    """Starts of the windows that have one of the fingerprints, which start at ``at``."""
+    full = _full(w, window)
+    some = np.zeros(len(full) + window, np.int64)
+    np.add.at(some, np.maximum(at + k - window, 0), 1)
+    np.add.at(some, at + 1, -1)
+    return np.flatnonzero((np.cumsum(some)[: len(full)] > 0) & full)
+
+
+def _windows(batches, window: int, k: int):
+    """The windows of items: gram (its words), hash, n (its length), item, and the hashes of the item's fingerprints."""
+    for b in chunks(batches, "text"):
+        ids, w = b.column("item").to_pylist(), Words(texts_of(b, "text"), FOLD)
+        h, counts, text = w.hashes(), w.counts(), w.text_of()
+        grams_, hashes, n, item = [], [], [], []
+        for size in sorted({min(int(c), window) for c in counts if c}):
+            at = np.flatnonzero(_full(w, size) & (np.minimum(counts[text[: max(len(w) - size + 1, 0)]], window) == size))
+            hashes.append(grams(h, size)[at])
+            grams_ += [w.buf[w.start[i] : w.end[i + size - 1]] for i in at]
+            n += [size] * len(at)
+            item += [ids[i] for i in text[at]]
+        fp = _winnow(h, w.first[:-1], counts, k, window)[1]
+        hashes = np.concatenate([np.empty(0, np.uint64), *hashes, fp]).view(np.int64)
+        none = [None] * len(fp)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(grams_ + none, pa.binary()), pa.array(hashes), pa.array(n + none, pa.int32()), pa.array(item + none, pa.string())],
+            names=["gram", "hash", "n", "item"],
+        )
+
+
+def _probe(shared, lengths: list[int], window: int, k: int):
+    """Of each document a row with its number of words, and one for each distinct window that the bitmap lets pass."""
+
+    def run(batches):
+        for b in chunks(batches, "text"):
+            w = Words(texts_of(b, "text"), FOLD)
+            h, counts, text = w.hashes(), w.counts(), w.text_of()
+            found: dict[tuple[int, bytes], tuple[int, int, list[int]]] = {}
+            for n in lengths:
+                if len(h) < n:
+                    continue
+                g = grams(h, n)
+                if n == window:
+                    at, fp = _winnow(h, w.first[:-1], counts, k, window)
+                    at = _around(w, at[marked(shared.value, fp)], window, k)
+                else:
+                    at = np.flatnonzero(_full(w, n))
+                at = at[marked(shared.value, g[at])]
+                for i, t in zip(at.tolist(), text[at].tolist(), strict=True):
+                    own = t, w.buf[w.start[i] : w.end[i + n - 1]]
+                    found.setdefault(own, (n, int(g[i].view(np.int64)), []))[2].append(i - int(w.first[t]))
+            rows = np.arange(len(counts))
+            own = np.concatenate([rows, np.array([t for t, _ in found], np.int64)])
+            none = [None] * len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("id").take(pa.array(rows)) if not found else pa.concat_arrays([b.column("id"), pa.nulls(len(found), b.column("id").type)]),
+                    b.column("k1").take(pa.array(own)),
+                    b.column("k2").take(pa.array(own)),
+                    pa.array([*counts.tolist(), *[None] * len(found)], pa.int64()),
+                    pa.array([*none, *[x for _, x in found]], pa.binary()),
+                    pa.array([*none, *[x[1] for x in found.values()]], pa.int64()),
+                    pa.array([*none, *[x[0] for x in found.values()]], pa.int32()),
+                    pa.array([*none, *[x[2] for x in found.values()]], pa.list_(pa.int32())),
+                ],
+                names=["id", "k1", "k2", "n_words", "gram", "hash", "n", "at"],
+            )
+
+    return run
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,18 +133,32 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list[str], list[bytes | None]]]:
-    """The items in blocks of bounded size; the driver holds one block at a time."""
-    ids, texts, size = [], [], 0
-    for r in items.toLocalIterator():
-        ids.append(r["i"] or "")
-        texts.append(r["t"].encode() if r["t"] else None)
-        size += len(texts[-1] or b"")
-        if size >= block_bytes:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _spans(batches):
+    """hits (lists of windows' lengths and starts) of each row as merged spans."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    for b in batches:
+        out = [[{"start": lo, "stop": hi} for lo, hi in merged([(i, i + x["n"]) for x in xs for i in x["at"]])] for xs in b.column("hits").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("h1"), b.column("h2"), pa.array(out, kind)], names=["h1", "h2", "spans"])
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, k1, k2, n_words), their windows that items have (k1, k2, gram, hash, n, at), and items' windows (gram, hash, item).
+
+    k1 and k2 are hashes of the id and the text: rows that have both in common are alike.
+    """
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
+    own = cut(items.mapInArrow(lambda batches: _windows(batches, window, k), "gram binary, hash bigint, n int, item string"))
+    lengths = sorted(r["n"] for r in own.filter("n is not null").select("n").distinct().collect())  # window at most
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(own.select("hash"), FILTER_BITS))
+    key = F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2"))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = cut(rows.mapInArrow(_probe(shared, lengths, window, k), f"id {kind}, k1 bigint, k2 bigint, n_words bigint, gram binary, hash bigint, n int, at array<int>"))
+    own = own.filter("gram is not null").select("gram", "hash", "item")
+    ours = own.select(F.col("gram").alias("own"), "hash").distinct()
+    near = found.filter("gram is not null").select("k1", "k2", "gram", "hash", "n", "at")
+    near = met(near, ours, "hash").filter("gram = own").drop("own").dropDuplicates(["k1", "k2", "gram"])
+    return found.filter("n_words is not null").select("id", "k1", "k2", "n_words"), near, own
 
 
 def leaks(
@@ -144,61 +171,28 @@ def leaks(
     item_text: str = "text",
     window: int = 13,
     k: int = 7,
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """For each document: the id, n_words, spans (merged half-open ranges of word numbers inside a shared window) and items.
 
     ``items`` has the ids, as text, of the items of which a window occurs, sorted. Rows stay separate when ids repeat;
     a null text has no words; items without words have no window; a null item id counts as the empty text. An empty
-    benchmark gives no hits. Only the id and the text are read, so other columns can't clash.
-
-    The benchmark's index travels to the executors, in blocks of ``block_bytes``: each block makes one pass over the
-    documents, with a reliable checkpoint between passes, so neither the driver nor an executor holds more than a block.
+    benchmark gives no hits. Only the id and the text are read, so other columns can't clash. A word repeated very often is
+    one window with many places, so runs of one word cost what other texts of that length do.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:int,stop:int>>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
+    rows, near, own = _hits(docs, benchmark, id_col, text_col, item_id, item_text, window, k)
+    near = cut(near)
+    spans = near.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.collect_list(F.struct("n", "at")).alias("hits"))
+    spans = spans.mapInArrow(_spans, "h1 bigint, h2 bigint, spans array<struct<start:int,stop:int>>")
+    names = met(near.select("k1", "k2", "gram", "hash"), own.select(F.col("gram").alias("own"), "hash", "item").distinct(), "hash").filter("gram = own")
+    names = names.select("k1", "k2", "item").distinct().groupBy(F.col("k1").alias("i1"), F.col("k2").alias("i2")).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    out = rows.join(spans, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    out = out.join(names, (F.col("k1") == F.col("i1")) & (F.col("k2") == F.col("i2")), "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    passes = 0
-    for ids, texts in _blocks(source, block_bytes):
-        if passes:
-            rows = cut(rows)
-        index = spark.sparkContext.broadcast(Index(ids, texts, window, k))
-        rows = rows.mapInArrow(_pass(index), f"id {kind}, text string, n_words bigint, {SPANS}")
-        passes += 1
-    if not passes:
-        index = spark.sparkContext.broadcast(Index([], [], window, k))
-        rows = rows.mapInArrow(_pass(index), f"id {kind}, text string, n_words bigint, {SPANS}")
-    return rows.select(F.col("id").alias(id_col), "n_words", "spans", "items")
-
-
-def _pass(index):
-    def run(batches):
-        for b in chunks(batches, "text"):
-            w = Words(texts_of(b, "text"), FOLD)
-            spans, items = b.column("spans").to_pylist(), b.column("items").to_pylist()
-            for t, more, names in index.value.find(w):
-                spans[t] = merged([(s["start"], s["stop"]) for s in spans[t]] + more)
-                spans[t] = [{"start": lo, "stop": hi} for lo, hi in spans[t]]
-                items[t] = sorted({*items[t], *names})
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"),
-                    b.column("text"),
-                    pa.array(w.counts(), pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                names=["id", "text", "n_words", "spans", "items"],
-            )
-
-    return run
 
 
 def verdicts(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -213,6 +207,28 @@ def verdicts(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    share: float = 0.05, window: int = 13, k: int = 7,
+) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of whose words less than ``share`` (or none) are in shared windows.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; of rows with one id each is judged by its own text,
+    and equal rows go or stay together. The columns travel in one struct, so names can't clash.
+    """
+    rows, near, _ = _hits(docs, benchmark, id_col, text_col, item_id, item_text, window, k)
+    spans = near.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.collect_list(F.struct("n", "at")).alias("hits"))
+    spans = spans.mapInArrow(_spans, "h1 bigint, h2 bigint, spans array<struct<start:int,stop:int>>")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    words = rows.select("k1", "k2", "n_words").distinct()
+    bad = words.join(spans, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))).filter(n_hit >= share * F.col("n_words"))
+    bad = cut(bad.select("h1", "h2"))
+    key = F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(1), key).alias("k2"))
+    clean = packed.join(bad, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left_anti")
+    return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def brute_force(docs: list[tuple], items: list[tuple], window: int = 13) -> list[tuple]:
     """verdicts() by comparing every window, for tests."""
     split = lambda t: (t or "").encode().translate(FOLD).split()
@@ -230,15 +246,3 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = 13) -> list
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(words), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(words)))
     return out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", share: float = 0.05, **names) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of whose words less than ``share`` (or none) are in shared windows.
-
-    All columns travel in one struct in the id's place, so names can't clash.
-    """
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    found = leaks(packed, benchmark, id_col="row", text_col="text", **names)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    clean = found.filter(~((n_hit > 0) & (n_hit >= share * F.col("n_words"))))
-    return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

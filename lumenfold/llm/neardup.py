@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import cut
+from lumenfold.llm.common import bitmap, cut, marked, met
 from lumenfold.llm.words import Words, chunks, grams, mix, texts_of
 
 #: Words of a shingle, the similarity of near-duplicates, and the bands with their registers each.
@@ -144,21 +144,14 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     The bitmap is made by a partial aggregation and has FILTER_BITS bits, so what is sent to the driver and broadcast
     is bounded. The more ids, the more other rows pass; the joins that follow drop them.
     """
-    slot = F.pmod(F.xxhash64("pos"), F.lit(FILTER_BITS)).alias("slot")
-    words = ids.select(slot).groupBy(F.shiftright("slot", 5).cast("int").alias("word"))
-    one = F.expr("shiftleft(1L, cast(slot & 31 as int))")
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    found = words.agg(F.bit_or(one).alias("bits")).toArrow()  # one job; 4 MB at most
-    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("pos")), FILTER_BITS))
 
     def run(batches):
         for b in batches:
-            at = b.column("slot").to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+            b = b.filter(pa.array(marked(shared.value, b.column("hash").to_numpy(zero_copy_only=False))))
             yield b.select(["pos", "text"])
 
-    return rows.select("pos", "text", slot).mapInArrow(run, "pos bigint, text string")
+    return rows.select("pos", "text", F.xxhash64("pos").alias("hash")).mapInArrow(run, "pos bigint, text string")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similar: float, shingle: int) -> DataFrame:
@@ -281,16 +274,6 @@ def _joinable(text: DataFrame, similar: float, shingle: int) -> DataFrame:
 _ASK = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("data", pa.binary())])
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``left`` with the row of ``right`` for its ``key``, or those that have one (left_semi). A key may have very many rows.
-
-    They meet on the key's complement. So neither side, if it comes grouped by the key, is dealt already, and adaptive
-    execution is free to split what a task would get of one key.
-    """
-    right = right.withColumn("__key", F.bitwise_not(key)).drop(key)
-    return left.join(right, F.bitwise_not(left[key]) == F.col("__key"), how).drop("__key")
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node that links lead to) of the nodes in ``links`` (a, b), by alternating stars.
 
@@ -305,9 +288,9 @@ def components(links: DataFrame) -> DataFrame:
     while n:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _met(both, low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = met(both, low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a != b").distinct()
-        small = _met(large, large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = met(large, large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         small = small.filter("a != b").distinct()
         had = edges.select(F.col("a").alias("had_a"), F.col("b").alias("had_b"), F.lit(1).alias("had"))
@@ -340,7 +323,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     more = components(_across(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     old = roots.select("node", F.col("root").alias("old"))
     new = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
-    moved = _met(old, new, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
+    moved = met(old, new, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
     return cut(moved.union(more.select("node", "root")))
 
 
@@ -370,7 +353,7 @@ def classes(
     """
     signed = cut(_signed(docs, id_col, text_col, bands, rows, shingle))
     copies = signed.filter("bands is not null").groupBy("c1", "c2").agg(F.min("pos").alias("rid"))
-    copies = copies.select(F.bitwise_not("c1").alias("r1"), F.col("c2").alias("r2"), "rid")  # see _met()
+    copies = copies.select(F.bitwise_not("c1").alias("r1"), F.col("c2").alias("r2"), "rid")  # see met()
     same = (F.bitwise_not("c1") == F.col("r1")) & (F.col("c2") == F.col("r2"))
     own = cut(signed.join(copies, same, "left").select("pos", F.coalesce("rid", "pos").alias("rid"), F.when(F.col("rid") == F.col("pos"), F.col("bands")).alias("bands")))
     banded = own.filter("bands is not null").select("pos", F.explode("bands").alias("band"))
@@ -388,7 +371,7 @@ def classes(
     placed = held.join(roots, F.col("pos") == F.col("node"), "left").select("band", "pos", F.coalesce("root", "pos").alias("root"))
     placed = cut(placed)
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    mates = cut(_met(placed, split, "band", "left_semi").select("pos", "root").distinct())
+    mates = cut(met(placed, split, "band", "left_semi").select("pos", "root").distinct())
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
     text = _likely(text, mates.select("pos")).join(mates, "pos").select("pos", "root", "text")
     room = 1 / similar - 1 + 2 * SLACK
@@ -396,7 +379,7 @@ def classes(
     # Each text with the one that has least before the element; then what is left between classes.
     first = by.groupBy("element").agg(F.min(F.struct("lead", "pos", "root")).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     first = first.filter("lo != hi").select("element", "f")
-    near = _met(by, first, "element").filter(f"root != f.root and pos != f.pos and lead + f.lead <= {room}")
+    near = met(by, first, "element").filter(f"root != f.root and pos != f.pos and lead + f.lead <= {room}")
     near = near.select(F.col("pos").alias("a"), F.col("f.pos").alias("b")).distinct()
     done = stars.select("a", "b")
     near = cut(_unordered(near, done))
@@ -404,14 +387,14 @@ def classes(
     by = by.drop("root").join(roots, F.col("pos") == F.col("node"), "left").select("element", "lead", "pos", F.coalesce("root", "pos").alias("root"))
     by = cut(by)
     first = by.groupBy("element").agg(F.min(F.struct("lead", "root")).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    by = cut(_met(by, first.filter("lo != hi").select("element", "f"), "element").filter(f"root = f.root or lead + f.lead <= {room}"))
+    by = cut(met(by, first.filter("lo != hi").select("element", "f"), "element").filter(f"root = f.root or lead + f.lead <= {room}"))
     minor = by.filter("root != f.root")
     least = minor.groupBy("element").agg(F.min("lead").alias("least"))
-    major = _met(by.filter("root = f.root"), least, "element").filter(f"lead + least <= {room}")
+    major = met(by.filter("root = f.root"), least, "element").filter(f"lead + least <= {room}")
     minor = minor.select("element", "lead", "pos", "root")
     one = major.select("element", "lead", "pos", "root", F.lit(True).alias("major")).union(minor.withColumn("major", F.lit(False)))
     two = minor.select("element", F.col("lead").alias("lead_x"), F.col("pos").alias("x"), F.col("root").alias("root_x"))
-    across = _met(one, two, "element").filter(f"root != root_x and pos != x and (major or pos < x) and lead + lead_x <= {room}")
+    across = met(one, two, "element").filter(f"root != root_x and pos != x and (major or pos < x) and lead + lead_x <= {room}")
     across = _unordered(across.select(F.col("pos").alias("a"), F.col("x").alias("b")).distinct(), done.union(near))
     roots = _merged(roots, verified(across))
     out = own.join(roots, F.col("rid") == F.col("node"), "left").select("pos", F.coalesce("root", "rid").alias("root"))

@@ -68,6 +68,31 @@ def op6_decontaminate(spark, d):
     return decontaminate.verdicts(found)
 
 
+SQL6 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, n, list_slice(words, i, i + n - 1) AS gram
+  FROM (SELECT item_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+    FROM (SELECT *, least(13, len(words)) AS n FROM b WHERE len(words) > 0))),
+dw AS (
+  SELECT doc_id, i, n, list_slice(words, i, i + n - 1) AS gram
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+    FROM d, (SELECT DISTINCT n FROM bw) WHERE len(words) >= n)),
+h AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw USING (n, gram)),
+p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def op7_line_dedup(spark, d):
     out = lines.drop_lines(table(spark, d, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -138,7 +163,7 @@ _QUERIES = {
     "op3_minhash_neardup": (op3_minhash_neardup, None),
     "op4_token_counts": (op4_token_counts, None),
     "op5_ctw_score": (op5_ctw_score, None),
-    "op6_decontaminate": (op6_decontaminate, None),
+    "op6_decontaminate": (op6_decontaminate, SQL6),
     "op7_line_dedup": (op7_line_dedup, SQL7),
     "op8_toxicity": (op8_toxicity, None),
     "op9_quality_rules": (op9_quality_rules, SQL9),

@@ -35,9 +35,32 @@ def test_as_brute_force(spark):
         assert any(r[5] for r in got) and not all(r[5] for r in got)
 
 
-def test_blocks_give_the_same(spark):
+def test_a_full_bitmap_gives_the_same(spark, monkeypatch):
     docs, items = passages(9)
-    assert both(spark, docs, items, block_bytes=200) == both(spark, docs, items)
+    want = both(spark, docs, items)
+    monkeypatch.setattr(d, "FILTER_BITS", 32)
+    assert sorted(map(str, both(spark, docs, items))) == sorted(map(str, want))
+
+
+def test_runs_of_one_word(spark):
+    """A hundred thousand equal words against items of equal words: one window with many places."""
+    items = [(1, "ha " * 200), (2, "ha " * 13), (3, "ha " * 12), (4, "ho " * 50)]
+    docs = [(1, "ha " * 100_000), (2, "x " + "ha " * 12 + "y"), (3, "ha " * 11)]
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in d.leaks(a, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [tuple(s) for s in got[1].spans] == [(0, 100_000)] and got[1]["items"] == ["1", "2", "3"]
+    assert [tuple(s) for s in got[2].spans] == [(1, 13)] and got[2]["items"] == ["3"]
+    assert not got[3].spans and not got[3]["items"]
+
+
+def test_dropped_rows(spark):
+    docs, items = passages(4)
+    rows = [(i, t, n, "s") for n, (i, t) in enumerate(docs)]
+    a = spark.createDataFrame(rows, "doc_id long, text string, n int, k1 string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    left = sorted(r.n for r in d.drop_contaminated(a, b).collect())
+    assert left == [n for n, r in enumerate(d.brute_force(docs, items)) if not r[5]] and 0 < len(left) < len(rows)
+    assert d.drop_contaminated(a, b.filter("false")).count() == len(rows)
 
 
 def test_empty_tables(spark):
