@@ -31,14 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def met(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``left`` with the rows of ``right`` for its integer ``key``, or those that have one (left_semi). A key may have very many rows.
+def met(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the rows of ``right`` for its ``keys``, or those that have one (left_semi). A key may have very many rows.
 
-    They meet on the key's complement. So neither side, if it comes grouped by the key, is dealt already, and adaptive
-    execution is free to split what a task would get of one key.
+    The first key is an integer, and they meet on its complement. So neither side, if it comes grouped by the keys, is
+    dealt already, and adaptive execution is free to split what a task would get of one key.
     """
-    right = right.withColumn("__key", F.bitwise_not(key)).drop(key)
-    return left.join(right, F.bitwise_not(left[key]) == F.col("__key"), how).drop("__key")
+    first, *rest = [keys] if isinstance(keys, str) else keys
+    right = right.withColumn("__key", F.bitwise_not(first)).drop(first).withColumnsRenamed({c: f"__{c}" for c in rest})
+    on = F.bitwise_not(left[first]) == F.col("__key")
+    for c in rest:
+        on &= left[c] == F.col(f"__{c}")
+    return left.join(right, on, how).drop("__key", *[f"__{c}" for c in rest])
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:

@@ -1,9 +1,9 @@
 """Cross-site boilerplate lines by distinct-site spread; DataFrame operations only.
 
 A line on many sites is boilerplate. Lines are keyed by two 64-bit hashes. Lines with fewer occurrences than the threshold
-can't reach it and are left out first, exactly, by a count with partial sums (by line and site, so that a line which many
-documents have makes a row for each site). For the rest, a HyperLogLog sketch of each
-line's sites is built and merged by aggregation; where the estimate is near the threshold the sites are counted exactly.
+can't reach it and are left out first, exactly, by a count with partial sums. For the rest a HyperLogLog sketch of each
+line's sites is built from its occurrences as they are, merged by aggregation: each task sends one sketch a line, however
+often the line occurs. Only where the estimate is near the threshold are a line's distinct sites brought together.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import cut, met
+
 #: Sites from which on a line is boilerplate.
 SITES = 10
 #: log2 of the sketch's registers, and the estimate's relative error for which lines are counted exactly (over 5 sigma).
@@ -27,46 +29,39 @@ def trimmed(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """k1, k2, site, id of each distinct line with a word in each row. A null site is a site of its own."""
+    """k1, k2, site, id, own1, own2 (of the id and text) of each distinct line with a word in each row. A null site is a site of its own."""
     lines = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), trimmed))
     site = F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("-"))
     keys = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(*_key(x)))
-    return docs.select(F.col(id_col).alias("id"), site.alias("site"), F.explode(keys).alias("k")).select(
-        "k.k1", "k.k2", "site", "id"
-    )
+    rows = docs.select(F.col(id_col).alias("id"), site.alias("site"), *_own(id_col, text_col), F.explode(keys).alias("k"))
+    return rows.select("k.k1", "k.k2", "site", "id", "own1", "own2")
+
+
+def _own(id_col: str, text_col: str) -> list[Column]:
+    key = F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return [F.xxhash64(key).alias("own1"), F.xxhash64(F.lit(1), key).alias("own2")]
+
+
+def frequent(lines: DataFrame, sites: int = SITES) -> DataFrame:
+    """Those of occurrences() whose line occurs ``sites`` times or more, with first_id, the smallest id that has it (null comes first)."""
+    often = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.count("id").alias("with_id"))
+    often = often.filter(F.col("n") >= sites).select("k1", "k2", F.when(F.col("with_id") == F.col("n"), F.col("first_id")).alias("first_id"))
+    return cut(met(lines, cut(often), ["k1", "k2"]))
 
 
-def spread(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
-    """k1, k2, n_sites, exact, first_id of the lines of occurrences() on ``sites`` sites or more.
+def spread(held: DataFrame, sites: int = SITES, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
+    """k1, k2, n_sites, exact of the lines of frequent() on ``sites`` sites or more.
 
-    exact: n_sites was counted; else it is the sketch's estimate, which is far over the threshold. first_id: the smallest
-    document id that has the line (null ids come first).
+    exact: n_sites was counted; else it is the sketch's estimate, which is far over the threshold.
     """
-    pairs = lines.groupBy("k1", "k2", "site").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.count("id").alias("with_id")
-    )
-    often = (
-        pairs.groupBy("k1", "k2")
-        .agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.sum("with_id").alias("with_id"))
-        .filter(F.col("n") >= sites)
-        .select("k1", "k2", F.when(F.col("with_id") == F.col("n"), F.col("first_id")).alias("first_id"))
-    )
-    held = pairs.select("k1", "k2", "site").join(often, ["k1", "k2"])
-    sketched = held.groupBy("k1", "k2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate"), F.first("first_id").alias("first_id")
-    )
-    close = sketched.filter(F.col("estimate").between(sites * (1 - near), sites * (1 + near)))
-    counted = (
-        held.join(close.select("k1", "k2"), ["k1", "k2"], "left_semi")
-        .groupBy("k1", "k2")
-        .agg(F.count_distinct("site").alias("n_sites"), F.first("first_id").alias("first_id"))
-        .filter(F.col("n_sites") >= sites)
-        .select("k1", "k2", "n_sites", F.lit(True).alias("exact"), "first_id")
-    )
-    far = sketched.filter(F.col("estimate") > sites * (1 + near)).select(
-        "k1", "k2", F.col("estimate").cast("long").alias("n_sites"), F.lit(False).alias("exact"), "first_id"
-    )
-    return far.unionByName(counted)
+    sketched = held.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("estimate"))
+    sketched = cut(sketched.filter(F.col("estimate") >= sites * (1 - near)))
+    close = sketched.filter(F.col("estimate") <= sites * (1 + near)).select("k1", "k2")
+    counted = met(held.select("k1", "k2", "site"), close, ["k1", "k2"], "left_semi").groupBy("k1", "k2")
+    counted = counted.agg(F.count_distinct("site").alias("n_sites")).filter(F.col("n_sites") >= sites)
+    far = sketched.filter(F.col("estimate") > sites * (1 + near))
+    far = far.select("k1", "k2", F.col("estimate").cast("long").alias("n_sites"), F.lit(False).alias("exact"))
+    return far.unionByName(counted.withColumn("exact", F.lit(True)))
 
 
 def drop_lines(
@@ -88,31 +83,16 @@ def drop_lines(
     The columns travel in one struct, so their names can't clash with the working columns; an input column named n_lines
     or n_dropped is replaced.
     """
-    bad = spread(occurrences(docs, id_col, text_col, site_col), sites, lg_k, near)
-    rows = docs.select(
-        F.struct("*").alias("row"),
-        F.col(id_col).alias("row_id"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"),
-    )
-    where = docs.select(
-        F.col(id_col).alias("id"),
-        F.lit("").alias("site"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("own"),
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.struct(*_key(trimmed(x)))
-                )
-            )
-        ).alias("k"),
-    ).select("id", "own", "k.k1", "k.k2")
+    held = frequent(occurrences(docs, id_col, text_col, site_col), sites)
+    bad = spread(held, sites, lg_k, near)
     drops = (
-        where.join(bad.select("k1", "k2", "first_id"), ["k1", "k2"])
+        met(held, bad.select("k1", "k2"), ["k1", "k2"], "left_semi")
         .filter(~F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy("own")
+        .groupBy(F.col("own1").alias("d1"), F.col("own2").alias("d2"))
         .agg(F.collect_set(F.struct("k1", "k2")).alias("drops"))
     )
-    joined = rows.join(drops, F.col("row_key") == F.col("own"), "left")
+    rows = docs.select(F.struct("*").alias("row"), *_own(id_col, text_col))
+    joined = rows.join(drops, (F.col("own1") == F.col("d1")) & (F.col("own2") == F.col("d2")), "left")
     lines = F.split(F.col(f"row.{text_col}"), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains("drops", F.struct(*_key(trimmed(x)))))
     text = F.when(F.col("drops").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(kept, "\n"))

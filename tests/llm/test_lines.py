@@ -47,7 +47,7 @@ def test_as_brute_force(spark):
 
 def test_near_lines_are_counted_exactly(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    found = lines.spread(lines.occurrences(df, "doc_id", "text", "source"), 5)
+    found = lines.spread(lines.frequent(lines.occurrences(df, "doc_id", "text", "source"), 5), 5)
     kinds = {r.n_sites: r.exact for r in found.collect()}
     assert kinds[5] and kinds[6] and not kinds[12] and min(kinds) == 5
 
