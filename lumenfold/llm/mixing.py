@@ -4,6 +4,9 @@ Sources share a number of words by weight, each up to a multiple of its own size
 they go to sources by highest quotients target / (2 k + 1), and each source's seats go to its shards in the same way. A
 shard's documents, in a seeded order, are one line of words, cut into blocks; the shard's quota of blocks is taken from
 the line's start, and from the start again once the whole line is taken.
+
+There may be as many sources as web domains, and a third of all shards may be one source's. So nothing is ranked or summed
+up in a single window: sorted runs of rows are summed by partition, and only the partitions' sums are added up in one task.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ SHARE = 1.5
 #: A source's target stops at so many times its size.
 MOST = 2
 BLOCK_WORDS = 16
-#: A shard has so many documents, or so large a part of all if that is more: the number of shards stays bounded.
-SHARD_ROWS, SHARDS = 500, 4096
+#: Documents of a shard, on average.
+SHARD_ROWS = 500
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """id, source, size (words; 0 for null) and a seeded order key for each row, kept by a reliable checkpoint."""
+    """id, source, size (words; 0 for null), a seeded order key and a second key for each row, kept by a reliable checkpoint."""
     text = F.col(text_col)
     return cut(
         docs.select(
@@ -33,66 +36,79 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
             F.col(source_col).cast("string").alias("source"),
             F.size(word_array(text)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), text).alias("order"),
+            F.xxhash64(F.lit(-1 - seed), F.col(id_col), text).alias("also"),
         )
     )
 
 
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """``df`` with running sums, each row's own left out: ``sums`` names a column to be summed for each new one.
+
+    Rows are dealt by ranges of the order and summed within each; what comes before a range is the sum of a row for each
+    range, of which there are spark.sql.shuffle.partitions at most. Ties in the order must not matter.
+    """
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = cut(df.repartitionByRange(slots, *order).withColumn("__range", F.spark_partition_id()))
+    of = df.groupBy("__range").agg(*[F.sum(c).alias(f"__{o}") for o, c in sums.items()])
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    of = of.select(F.col("__range").alias("__at"), *[F.coalesce(F.sum(f"__{o}").over(earlier), F.lit(0)).alias(f"__{o}") for o in sums])
+    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.join(F.broadcast(of), F.col("__range") == F.col("__at"))  # a row for each range
+    df = df.withColumns({o: F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"__{o}") for o, c in sums.items()})
+    return df.drop("__range", "__at", *[f"__{o}" for o in sums])
+
+
+def _with(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of the one row of ``other`` for its keys, null or not, if there is one."""
+    other = other.withColumnsRenamed({c: f"__of_{c}" for c in keys})
+    on = F.lit(True)
+    for c in keys:
+        on &= F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return df.join(other, on, "left").drop(*[f"__of_{c}" for c in keys])
+
+
 def targets(rows: DataFrame, weights, share: float, most: float) -> DataFrame:
     """source, source_size, n_rows, target: one row for each source.
 
     Sources fill like vessels: with r = most * size / weight, all sources up to some rank by r are full and the rest get
     words by weight; the rank is the first whose rest-by-weight level isn't above its own r.
     """
-    by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"), F.lit(1).alias("one"))
+    by = running(by, [F.col("source").asc_nulls_last()], {"place": "one"})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     by = by.withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double"))
-    filled = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, after = filled.rowsBetween(Window.unboundedPreceding, -1), filled.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (
-        F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    ) / F.sum("weight").over(after)
-    by = by.withColumn("ratio", F.col("cap") / F.col("weight")).withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("ratio"), F.col("level"))
-    by = by.withColumn("final", F.coalesce(F.min_by("level", F.when(fits.isNotNull(), F.col("ratio"))).over(everything), F.max("ratio").over(everything)))
-    return by.select(
-        "source", "source_size", "n_rows", F.least("cap", F.col("final") * F.col("weight")).alias("target")
-    )
+    by = by.withColumn("ratio", F.col("cap") / F.col("weight"))
+    by = cut(running(by, [F.col("ratio"), F.col("source").asc_nulls_last()], {"full": "cap", "gone": "weight"}))
+    total = by.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight"), F.max("ratio").alias("ratio")).collect()[0]
+    level = (F.lit(share * (total["size"] or 0)) - F.col("full")) / (F.lit(total["weight"]) - F.col("gone"))
+    found = by.withColumn("level", level).filter("level <= ratio").agg(F.min(F.struct("ratio", "full", "level")).alias("f")).collect()[0]["f"]
+    final = found["level"] if found else total["ratio"]
+    return by.select("source", "source_size", "n_rows", F.least("cap", F.lit(final).cast("double") * F.col("weight")).alias("target"))
 
 
-def seats(parties: DataFrame, group: list[str], key: list[str], claim: str, total: str, out: str) -> DataFrame:
+def seats(parties: DataFrame, group: list[str], key: str, claim: str, total: str, out: str) -> DataFrame:
     """Highest-quotient (Sainte-Lague) seats within each group of parties: adds ``out`` to ``parties``.
 
     claim: a party's share, not negative; total: the group's seats. With n parties and a sum T of claims the final divisor
     lies between T / (total + n/2) and T / (total - n/2), so only seats between these bounds are ranked: about three a
     party, however many seats there are. Ties go to the party that comes first by ``key``.
     """
-    w = Window.partitionBy(*group)
-    n, all_claims = F.count(F.lit(1)).over(w), F.sum(claim).over(w)
+    by = [*group] or [F.lit(1).alias("__one")]
+    keys = group or ["__one"]
+    p = parties if group else parties.withColumn("__one", F.lit(1))
+    p = _with(p, parties.groupBy(*by).agg((F.count(F.lit(1)) / 2).alias("__n"), F.sum(claim).alias("__all")), keys)
     share = F.when(F.col("__all") > 0, F.col(claim) / F.col("__all")).otherwise(F.lit(0.0))
-    p = parties.withColumn("__n", n / 2).withColumn("__all", all_claims)
     p = p.withColumn("__low", F.greatest(F.lit(0), F.ceil(share * (F.col(total) - F.col("__n")) - 0.5 - 1e-6)))
-    p = p.withColumn("__high", F.greatest(F.col("__low"), F.floor(share * (F.col(total) + F.col("__n")) + 0.5 + 1e-6)))
-    p = p.withColumn("__left", F.col(total) - F.sum("__low").over(w))
-    ranked = p.filter("__high > __low").select(
-        *group, *key, "__left", claim, F.explode(F.sequence(F.col("__low"), F.col("__high") - 1)).alias("__k")
-    )
-    order = [(F.col(claim) / (2 * F.col("__k") + 1)).desc(), *(F.col(c).asc_nulls_last() for c in key)]
-    won = (
-        ranked.withColumn("__rank", F.row_number().over(w.orderBy(*order)))
-        .filter(F.col("__rank") <= F.col("__left"))
-        .groupBy(*group, *key)
-        .agg(F.count(F.lit(1)).alias("__won"))
-    )
-    for c in [*group, *key]:
-        won = won.withColumnRenamed(c, f"__{c}")
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*group, *key]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    joined = p.join(won, on, "left")
-    return joined.select(*parties.columns, (F.col("__low") + F.coalesce("__won", F.lit(0))).cast("long").alias(out))
+    p = cut(p.withColumn("__high", F.greatest(F.col("__low"), F.floor(share * (F.col(total) + F.col("__n")) + 0.5 + 1e-6))))
+    ranked = p.filter("__high > __low").select(*keys, key, claim, F.lit(1).alias("__seat"), F.explode(F.sequence(F.col("__low"), F.col("__high") - 1)).alias("__k"))
+    ranked = ranked.withColumn("__by", F.col(claim) / (2 * F.col("__k") + 1))
+    nulls = lambda cs: [F.col(c).asc_nulls_last() for c in cs]
+    ranked = cut(running(ranked, [*nulls(keys), F.col("__by").desc(), *nulls([key, "__k"])], {"__rank": "__seat"}))
+    bounds = ranked.groupBy(*keys).agg(F.min("__rank").alias("__first"))
+    given = p.groupBy(*keys).agg(F.first(total).alias("__total"), F.sum("__low").alias("__sure"))
+    won = _with(_with(ranked, bounds, keys), given, keys).filter("__rank - __first < __total - __sure")
+    won = won.groupBy(*keys, key).agg(F.count(F.lit(1)).alias("__won"))
+    return _with(p, won, [*keys, key]).select(*parties.columns, (F.col("__low") + F.coalesce("__won", F.lit(0))).cast("long").alias(out))
 
 
 def mix(
@@ -124,22 +140,15 @@ def mix(
 def _taken(docs, id_col, text_col, source_col, weights, share, most, block_words, seed) -> DataFrame:
     rows = sizes(docs, id_col, text_col, source_col, seed)
     by = targets(rows, weights, share, most)
-    everything = Window.partitionBy()
-    by = by.withColumn("__total", F.round(F.sum("target").over(everything) / block_words).cast("long"))
-    by = by.withColumn("__one", F.lit(1))
-    by = seats(by, ["__one"], ["source"], "target", "__total", "quota").drop("__one", "__total")
-    per_shard = F.greatest(F.lit(SHARD_ROWS), F.ceil(F.sum("n_rows").over(everything) / SHARDS))
-    by = cut(by.withColumn("shards", F.ceil(F.col("n_rows") / per_shard)))
-    s = by.select(*[F.col(c).alias(f"s_{c}") for c in by.columns])
-    rows = rows.join(s, F.col("source").eqNullSafe(F.col("s_source"))).select(
-        "id", "source", "size", "order", F.pmod("order", "s_shards").alias("shard"),
-        F.col("s_source_size").alias("source_size"), F.col("s_target").alias("target"), F.col("s_quota").alias("quota"),
-    )
+    blocks = round((by.agg(F.sum("target")).collect()[0][0] or 0) / block_words)
+    by = seats(by.withColumn("__blocks", F.lit(blocks).cast("long")), [], "source", "target", "__blocks", "quota").drop("__blocks")
+    by = cut(by.withColumn("shards", F.ceil(F.col("n_rows") / SHARD_ROWS)))
+    rows = _with(rows, by.drop("n_rows"), ["source"]).withColumn("shard", F.pmod("order", "shards")).drop("shards")
     shards = rows.groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("source_size").alias("of"), F.first("target").alias("to"), F.first("quota").alias("quota")
     )
     claim = F.when(F.col("of") > 0, F.col("to") * F.col("shard_size") / F.col("of")).otherwise(F.lit(0.0))
-    shards = seats(shards.withColumn("claim", claim), ["source"], ["shard"], "claim", "quota", "blocks")
+    shards = seats(cut(shards.withColumn("claim", claim)), ["source"], "shard", "claim", "quota", "blocks")
     shards = shards.select(
         F.col("source").alias("h_source"), F.col("shard").alias("h_shard"), "shard_size", "blocks"
     )
@@ -157,12 +166,14 @@ def _taken(docs, id_col, text_col, source_col, weights, share, most, block_words
 def take(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, block_words=BLOCK_WORDS, seed=7) -> DataFrame:
     """The rows of ``docs`` that the mix takes words of, all columns as they are and ``taken`` beside them.
 
-    Rows with the same id and text share their order key and are numbered. An input column named taken is replaced.
+    Rows with the same id and text share their order key and are numbered. Null and empty texts are never taken; an empty
+    table gives no rows. The columns travel in one struct, so names can't clash; an input column named taken is replaced.
     """
     rows = _taken(docs, id_col, text_col, source_col, weights, share, most, block_words, seed)
-    by = rows.groupBy("order").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes")).filter("takes[0] > 0")
-    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    joined = packed.join(by, F.col("key") == F.col("order")).withColumn("taken", F.element_at("takes", nth))
+    by = rows.groupBy("order", "also").agg(F.sort_array(F.collect_list("taken"), asc=False).alias("takes")).filter("takes[0] > 0")
+    keys = [F.xxhash64(F.lit(x), F.col(id_col), F.col(text_col)) for x in (seed, -1 - seed)]
+    packed = docs.select(F.struct("*").alias("row"), keys[0].alias("key"), keys[1].alias("key2"))
+    nth = F.row_number().over(Window.partitionBy("key", "key2").orderBy("key"))
+    joined = packed.join(by, (F.col("key") == F.col("order")) & (F.col("key2") == F.col("also"))).withColumn("taken", F.element_at("takes", nth))
     own = [c for c in docs.columns if c != "taken"]
     return joined.filter("taken > 0").select(*[F.col(f"row.`{c}`").alias(c) for c in own], "taken")

@@ -55,7 +55,7 @@ def test_seats_are_the_highest_quotients(spark):
     claims = [(1, i, float(c)) for i, c in enumerate([0, 1, 1, 2, 3.5, 900, 40, 40, 7])] + [(2, 0, 5.0), (3, 0, 0.0), (3, 1, 0.0)]
     for total in (0, 1, 7, 100, 1001):
         df = spark.createDataFrame(claims, "g int, k int, c double").selectExpr("*", f"cast({total} as long) as n")
-        got = {(r.g, r.k): r.s for r in mixing.seats(df, ["g"], ["k"], "c", "n", "s").collect()}
+        got = {(r.g, r.k): r.s for r in mixing.seats(df, ["g"], "k", "c", "n", "s").collect()}
         for g in (1, 2):
             won = defaultdict(int)
             for _ in range(total):
@@ -64,6 +64,15 @@ def test_seats_are_the_highest_quotients(spark):
             assert {k: v for (q, k), v in got.items() if q == g and v} == {k: v for k, v in won.items() if v}
 
 
+def test_running_sums(spark):
+    df = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 as k", "id % 5 as v")
+    got = {r.k: r.s for r in mixing.running(df, [df.k.desc()], {"s": "v"}).collect()}
+    by, total = {(i * 7919) % 1000: i % 5 for i in range(1000)}, 0
+    for k in sorted(by, reverse=True):
+        assert got[k] == total
+        total += by[k]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, 1, "")], [(1, "", "a", 1, ""), (2, " ", "b", 1, "")]])
 def test_nothing_to_take(spark, rows):
     got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
