@@ -34,7 +34,6 @@ class Ctx:
     windowed: bool = False
     grouped: bool = False
     element: Column | None = None
-    present: Column | None = None
     stages: list = field(default_factory=list)
     frame: object = None
 
@@ -64,7 +63,7 @@ class Ctx:
         return c.over(Window.partitionBy(*self.part)) if self.windowed else c
 
     def n_rows(self) -> Column:
-        return self.agg(F.count(F.lit(1) if self.present is None else self.present))
+        return self.agg(F.count(F.lit(1)))
 
     def keys(self) -> tuple[Column, ...]:
         return self.order if self.order is not None else (F.col(ROW),)

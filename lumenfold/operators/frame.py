@@ -450,9 +450,9 @@ class Frame:
         """Calendar windows over a time or integer column; windows without rows between full ones are kept."""
         from lumenfold.operators.temporal import dynamic
 
-        df, keys = dynamic(self._row(), index, every, period, offset, closed, label, include_boundaries, by)
+        df, fill = dynamic(self, index, every, period, offset, closed, label, include_boundaries, by)
         g = GroupBy(Frame(df), [])
-        g.columns, g.present = keys, F.col("__present")
+        g.columns, g.fill, g.hidden = [F.col(c) for c in [*by, "__start"]], fill, {*by, index, "__start"}
         return g
 
     def rolling(self, index: str, period, closed: str = "right", by=()) -> Rolling:
@@ -758,9 +758,11 @@ class GroupBy:
     """Rows by key."""
 
     def __init__(self, frame: Frame, keys: list[Expr]):
-        self.frame, self.order, self.preds, self.present = frame, False, [], None
+        self.frame, self.order, self.preds = frame, False, []
         self.keys = [x for k in keys for x in k.expand(frame.schema)]
         self.columns: list[Column] | None = None
+        self.fill: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+        self.hidden: set[str] = set()
 
     def maintain_order(self) -> GroupBy:
         self.order = True
@@ -773,7 +775,7 @@ class GroupBy:
     def agg(self, *exprs) -> Frame:
         exprs = [x for e in exprs for x in _as_expr(e).expand(self.frame.schema)]
         f = self.frame._row() if self.order or any(e.has("rowagg", "window") for e in [*exprs, *self.preds]) else self.frame
-        ctx = Ctx(f.df, grouped=True, present=self.present)
+        ctx = Ctx(f.df, grouped=True)
         if self.columns is None:
             ctx = replace(ctx, part=tuple(k.compile(ctx) for k in self.keys))
         names = [e.name_of() for e in exprs]
@@ -784,15 +786,18 @@ class GroupBy:
         order = [F.min(ROW).alias("__first")] if self.order else []
         keys = self.columns if self.columns is not None else [k.compile(ctx).alias(k.name_of()) for k in self.keys]
         df = ctx.staged()
-        out = df.groupBy(*keys).agg(*(cols or [F.lit(1).alias("__none")]), *tests, *order)
+        made = [*(cols or [F.lit(1).alias("__none")]), *tests, *order]
+        out = df.groupBy(*keys).agg(*made)
+        if self.fill is not None:
+            out = self.fill(out, df.filter(F.lit(False)).agg(*made))
         for i in range(len(tests)):
             out = out.filter(F.col(f"__h{i}")).drop(f"__h{i}")
         out = out.drop("__none")
         return Frame(out.orderBy("__first").drop("__first") if self.order else out)
 
     def _others(self, numbers: bool) -> list[str]:
-        names = {k.name_of() for k in self.keys} | {"__present", "__start"}
-        return [f.name for f in self.frame.schema.fields if f.name not in names and not f.name.startswith("__g_") and (not numbers or isinstance(f.dataType, _NUMBERS))]
+        names = {k.name_of() for k in self.keys} | self.hidden
+        return [f.name for f in self.frame.schema.fields if f.name not in names and (not numbers or isinstance(f.dataType, _NUMBERS))]
 
     def _each(self, fn: Callable[[Expr], Expr], numbers: bool = False) -> Frame:
         return self.agg(*[fn(col(c)).alias(c) for c in self._others(numbers)])

@@ -92,34 +92,63 @@ def offset(c: Column, by) -> Column:
     return from_micros(micros_of(c) + F.lit(i.micros)) if i.micros else c
 
 
-def windows(df: DataFrame, index: str, by: list[str], step: Interval, period: Interval, shift: Interval, closed: str) -> DataFrame:
+#: Windows that a row may be in up to which each is an expression of its own; above, they are made by one expression.
+_UNROLLED = 6
+
+
+def windows(df: DataFrame, index: str, step: Interval, period: Interval, shift: Interval, closed: str) -> DataFrame:
     """Each row once for each window that has it, with the window's start in ``__start``.
 
-    A row's windows are found from the grid cell it is in, by stepping back; so there is no join by range.
+    A row's windows are found from the grid cell it is in, by stepping back; so there is no join by range. Where windows
+    neither overlap nor leave gaps a row is in one, and isn't repeated.
     """
     t = F.col(index)
     last = offset(floor_to(offset(t, shift.times(-1)), step), shift)
+    df = df.filter(t.isNotNull())
+    if step == period and closed == "left":
+        return df.withColumn("__start", last)
     size = lambda i: i.steps or i.at_least()
     n = math.ceil((period.steps or period.months * 31 * _UNITS["d"] + period.micros) / max(size(step), 1)) + 1
-    starts = [offset(last, step.times(-k)) for k in range(-1, n + 1)]
     inside = {
         "left": lambda s, e: (s <= t) & (t < e), "right": lambda s, e: (s < t) & (t <= e),
         "both": lambda s, e: (s <= t) & (t <= e), "none": lambda s, e: (s < t) & (t < e),
     }[closed]
-    held = [F.when(inside(s, offset(s, period)), s) for s in starts]
-    return df.filter(t.isNotNull()).withColumn("__start", F.explode(F.array_compact(F.array(*held))))
-
-
-def grid(df: DataFrame, by: list[str], step: Interval) -> DataFrame:
-    """All starts between each group's first and last."""
-    ends = df.groupBy(*by).agg(F.min("__start").alias("lo"), F.max("__start").alias("hi"))
-    ends = ends.filter("lo is not null")
+    if n <= _UNROLLED:
+        starts = [offset(last, step.times(-k)) for k in range(-1, n + 1)]
+        held = F.array_compact(F.array(*[F.when(inside(s, offset(s, period)), s) for s in starts]))
+    else:
+        back = lambda k: _back(last, step, k)
+        held = F.filter(F.transform(F.sequence(F.lit(-1), F.lit(n)), back), lambda s: inside(s, offset(s, period)))
+    return df.withColumn("__start", F.explode(held))
+
+
+def _back(c: Column, step: Interval, k: Column) -> Column:
+    """``k`` steps back."""
+    if step.steps:
+        return c - k * F.lit(step.steps)
+    if step.months:
+        c = c - F.make_ym_interval(F.lit(0), k * F.lit(step.months))
+    return from_micros(micros_of(c) - k.cast("long") * F.lit(step.micros)) if step.micros else c
+
+
+def filled(out: DataFrame, none: DataFrame, by: list[str], step: Interval) -> DataFrame:
+    """Aggregates by key and ``__start`` with the empty windows between each key's first and last; ``none``: the one row that aggregates of nothing make."""
+    ends = out.groupBy(*by).agg(F.min("__start").alias("lo"), F.max("__start").alias("hi")).filter("lo is not null")
     one = F.lit(step.steps).cast("long") if step.steps else step.sql()
-    return ends.select(*by, F.explode(F.sequence("lo", "hi", one)).alias("__start"))
+    names = [*by, "__start"]
+    grid = ends.select(*[F.col(n).alias(f"__g_{n}") for n in by], F.explode(F.sequence("lo", "hi", one)).alias("__g___start"))
+    on = F.lit(True)
+    for n in names:
+        on &= F.col(n).eqNullSafe(F.col(f"__g_{n}"))
+    full = grid.join(out.withColumn("__full", F.lit(True)), on, "left")
+    full = full.crossJoin(F.broadcast(none.select(*[F.col(c).alias(f"__n_{c}") for c in none.columns])))  # one row
+    values = [F.when(F.col("__full"), F.col(c)).otherwise(F.col(f"__n_{c}")).alias(c) for c in none.columns]
+    return full.select(*[F.col(f"__g_{n}").alias(n) for n in names], *values)
 
 
 def dynamic(frame, index: str, step, period=None, shift="0s", closed="left", label="left", boundaries=False, by=()):
-    """(frame of rows by window, keys, present): what a dynamic group aggregates. Empty windows between full ones are kept."""
+    """(rows by window, fill): what a dynamic group aggregates by ``by`` and ``__start``, and what makes its result of the
+    aggregates: with the empty windows between full ones, and the windows' labels."""
     step = parse(step)
     period = parse(period) if period is not None else step
     shift = Interval() if shift in ("0s", None) else parse(shift)
@@ -129,22 +158,17 @@ def dynamic(frame, index: str, step, period=None, shift="0s", closed="left", lab
         df = df.withColumn(index, F.col(index).cast("timestamp_ntz"))
     elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
         df = df.withColumn(index, F.col(index).cast("long"))
-    by = list(by)
-    rows = windows(df, index, by, step, period, shift, closed).withColumn("__present", F.lit(True))
-    g = grid(rows, by, step)
-    names = [*by, "__start"]
-    g = g.select(*[F.col(n).alias(f"__g_{n}") for n in names])
-    on = None
-    for n in names:
-        c = F.col(n).eqNullSafe(F.col(f"__g_{n}"))
-        on = c if on is None else on & c
-    full = g.join(rows, on, "left")
-    start, end = F.col("__g___start"), offset(F.col("__g___start"), period)
-    keys = [F.col(f"__g_{n}").alias(n) for n in by]
-    if boundaries:
-        keys += [start.alias("_lower_boundary"), end.alias("_upper_boundary")]
-    keys.append((start if label == "left" else end).alias(index))
-    return full, keys
+
+    def fill(out: DataFrame, none: DataFrame) -> DataFrame:
+        out = filled(out, none, list(by), step)
+        start, end = F.col("__start"), offset(F.col("__start"), period)
+        keys = [F.col(n) for n in by]
+        if boundaries:
+            keys += [start.alias("_lower_boundary"), end.alias("_upper_boundary")]
+        keys.append((start if label == "left" else end).alias(index))
+        return out.select(*keys, *none.columns)
+
+    return windows(df, index, step, period, shift, closed), fill
 
 
 def upsample(df: DataFrame, time: str, step, by=()) -> DataFrame:
