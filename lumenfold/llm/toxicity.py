@@ -181,8 +181,9 @@ def fit(
 ) -> Model:
     """A model of the labelled rows that aren't held out: all, or the ``max_labelled`` ids that come first by a hash.
 
-    An id is toxic if one of its label rows says so; null labels and ids say nothing. The ids and labels are broadcast:
-    max_labelled bounds them. The texts of these come to the driver, one for each id.
+    An id is toxic if one of its label rows says so; null labels and ids say nothing. Of an id's texts the one that comes
+    first by its bytes is taken. The ids and labels are broadcast, and their texts meet in one task, which trains:
+    max_labelled bounds both. Only the weights that aren't zero come to the driver.
     """
     known = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -192,13 +193,25 @@ def fit(
         .limit(max_labelled)
     )
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(known), "__id")
-    bags: dict = {}
-    for r in rows.select("__id", "__label", F.encode("__text", "UTF-8").alias("t")).toLocalIterator():
-        text = bytes(r["t"]) if r["t"] is not None else None
-        if r["__id"] not in bags or (text or b"") < (bags[r["__id"]][1] or b""):
-            bags[r["__id"]] = r["__label"], text
-    ordered = [bags[i] for i in sorted(bags)]
-    return train([t for _, t in ordered], np.array([y for y, _ in ordered], np.int64), bits)
+    rows = rows.select("__id", F.col("__label").alias("label"), F.encode("__text", "UTF-8").alias("text"))
+
+    def run(batches):
+        bags: dict = {}
+        for b in batches:
+            for i, label, text in zip(*(b.column(c).to_pylist() for c in ("__id", "label", "text")), strict=True):
+                if i not in bags or (text or b"") < (bags[i][1] or b""):
+                    bags[i] = label, text
+        ordered = [bags[i] for i in sorted(bags)]
+        model = train([t for _, t in ordered], np.array([y for y, _ in ordered], np.int64), bits)
+        at = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_pydict({"feature": [at], "weight": [model.weights[at].astype(np.float64)], "bias": [model.bias]})
+
+    found = rows.repartition(1).mapInArrow(run, "feature array<bigint>, weight array<double>, bias double").collect()
+    if not found:  # no labelled text, and so no batch
+        return train([], np.empty(0, np.int64), bits)
+    model = Model(np.zeros(1 << bits, np.float32), found[0]["bias"], bits)
+    model.weights[found[0]["feature"]] = found[0]["weight"]
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", at: float = 0.5) -> DataFrame:
@@ -234,7 +247,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = TOXIC) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``.
+
+    Null and empty texts score 0 and stay; rows are judged one by one, so equal ones go or stay together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

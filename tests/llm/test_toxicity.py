@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -63,11 +65,57 @@ def test_nothing_to_learn(spark):
 
 
 def test_bounded_sample(spark):
-    docs, labels = corpus(200)
-    seen = []
-    real, toxicity.train = toxicity.train, lambda t, y, bits: seen.append(len(t)) or real(t, y, bits)
-    try:
-        toxicity.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"), max_labelled=50)
-    finally:
-        toxicity.train = real
-    assert seen == [50]
+    docs, labels = corpus(600)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.fit(spark.createDataFrame(docs, SCHEMA), lab, max_labelled=150)
+    first = lab.filter(toxicity.bucket_of("doc_id", 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(150).collect()
+    text = {i: t.encode() for i, t, *_ in docs}
+    first = sorted((r.doc_id, r.toxic) for r in first)
+    want = toxicity.train([text[i] for i, _ in first], np.array([y for _, y in first]))
+    assert got.bias == want.bias and (got.weights == want.weights).all() and got.weights.any()
+
+
+BASE, M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def word_hash(w):
+    h = mixed((len(w) + BASE) & M64)
+    for k in range(0, len(w), 8):
+        h = mixed(((h ^ int.from_bytes(w[k : k + 8], "little")) * BASE + k // 8 * 8 + 1) & M64)
+    return h
+
+
+def brute_force(model, text):
+    """The noisy-or of the sentences' scores, one feature at a time."""
+    stay = 1.0
+    for sentence in re.split(rb"[.!?\n]", text.lower()):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", sentence)
+        if not words:
+            continue
+        z = model.bias
+        for w in words:
+            found = [word_hash(w)]
+            found += [mixed((int.from_bytes(w[:k], "little") + (k << 59)) & M64) for k in (4, 5, 6) if len(w) >= k]
+            found += [mixed(int.from_bytes(w[i : i + 5], "little")) for i in range(len(w) - 4)]
+            z += sum(float(model.weights[f >> (64 - model.bits)]) for f in found)
+        stay *= 1 / (1 + math.exp(z))
+    return 1 - stay
+
+
+def test_scores_as_brute_force(spark):
+    docs, labels = corpus(400)
+    odd = ["", " ", "...", "Nasty!", "awful" * 30 + " é nasty? VILE.\nok", "a.b.c nasty\x00vile 77"]
+    df = spark.createDataFrame([*docs, *[(1000 + i, t, 1, "") for i, t in enumerate(odd)]], SCHEMA)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = {r.doc_id: r.text.encode() for r in df.collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    for i, t in texts.items():
+        assert abs(got[i] - brute_force(model, t)) < 1e-6, t
+    left = {r.doc_id for r in toxicity.drop_toxic(df, model).collect()}
+    assert left == {i for i in texts if got[i] < toxicity.TOXIC}
