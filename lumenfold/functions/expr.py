@@ -987,6 +987,34 @@ class Expr:
 
         return self._f("rank", fn, kind="window" if method == "ordinal" else "spread")
 
+    def _placed(self, label: str, fn, descending: bool) -> Expr:
+        def build(x, c):
+            w = Window.partitionBy(*x.part).orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last())
+            return F.when(c.isNotNull(), fn().over(w))
+
+        return self._f(label, build, kind="spread")
+
+    def percent_rank(self, descending: bool = False) -> Expr:
+        """(rank - 1) / (rows - 1), 0 for a single row; nulls come last and have none."""
+        return self._placed("percent_rank", F.percent_rank, descending)
+
+    def cume_dist(self, descending: bool = False) -> Expr:
+        """The share of rows up to and including the row's peers; nulls come last and have none."""
+        return self._placed("cume_dist", F.cume_dist, descending)
+
+    def ntile(self, n: int, descending: bool = False) -> Expr:
+        """The number from 1 to n of the row's part, of n as equal as can be; equal values keep the order of rows."""
+
+        def build(x, c):
+            w = Window.partitionBy(*x.part).orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col(ROW))
+            return F.ntile(n).over(w)
+
+        return self._f("ntile", build, kind="window")
+
+    def nth_value(self, n: int, ignore_nulls: bool = False) -> Expr:
+        """The n-th value from 1 in the order of rows, for every row; null where there are fewer."""
+        return self._win("nth_value", lambda x, c: F.nth_value(c, n, ignore_nulls).over(x.rows(_START, _END)))
+
     def _cum(self, label: str, fn, reverse: bool) -> Expr:
         def build(x, c):
             w = x.rows(0, _END) if reverse else x.rows(_START, 0)

@@ -333,6 +333,25 @@ class Frame:
     def explain(self, mode: str = "formatted") -> str:
         return self.df._sc._jvm.PythonSQLUtils.explainString(self.df._jdf.queryExecution(), mode)
 
+    def optimized(self) -> str:
+        """The plan after the optimizer, before a physical strategy is chosen."""
+        return self.df._jdf.queryExecution().optimizedPlan().toString()
+
+    def explain_with(self, *, schemas: bool = False, costs: bool = False, codegen: bool = False) -> str:
+        """The plan with what is asked for besides: each column's type, statistics, or the generated code."""
+        text = self.explain("codegen" if codegen else "cost" if costs else "extended")
+        return text + "\n" + self.df._jdf.schema().treeString() if schemas else text
+
+    def err(self) -> Exception | None:
+        """What is wrong with the plan, if it can't be analysed; names and types are checked as it is built."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            self.df.schema
+        except AnalysisException as e:
+            return e
+        return None
+
     def profile(self):
         """The rows, and how many there were."""
         from pyspark.sql import Observation
@@ -467,6 +486,10 @@ class Frame:
     def rollup(self, *keys: str):
         return self.spark().rollup(*keys)
 
+    def grouping_sets(self, sets: list[list[str]], *keys: str):
+        """Groups by each of the sets, which are some of the keys; ``agg`` of PySpark makes the result."""
+        return self.spark().groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(k) for k in keys])
+
     def cube(self, *keys: str):
         return self.spark().cube(*keys)
 

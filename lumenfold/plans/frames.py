@@ -432,3 +432,9 @@ def cube_totals(spark, d):
 @query("select_all", "SELECT r_regionkey, r_name FROM region")
 def select_all(spark, d):
     return scan(spark, d, "region").select(all_())
+
+
+@query("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+def grouping_sets(spark, d):
+    keys = ("o_orderstatus", "o_orderpriority")
+    return scan(spark, d, "orders").grouping_sets([[*keys], [keys[0]], []], *keys).agg(F.count(F.lit(1)).alias("n"))

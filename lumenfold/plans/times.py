@@ -68,3 +68,37 @@ def dt_ranges(spark, d):
 
     day = _ts.dt.truncate("1d")
     return scan(spark, d, "events").select("event_id", datetime_ranges(day, _ts, "1h").list.len().alias("n"), datetime_ranges(day, day.dt.offset_by("1d"), "1h", closed="none").list.len().alias("open"))
+
+
+_SINCE, _AGO = _ts - lit(dt.datetime(2024, 1, 1)), "(epoch_us(ts) - 1704067200000000)"
+_events(
+    "dt_totals",
+    f"{_AGO} // 60000000 AS m, {_AGO} // 1000 AS ms, {_AGO} * 1000 AS ns, " + ", ".join(f"round({_AGO} / {u}, 6) AS {n}" for n, u in (("df", 86_400_000_000), ("mf", 60_000_000), ("sf", 1_000_000), ("msf", 1000), ("usf", 1))) + f", {_AGO} * 1000.0::DOUBLE AS nsf",
+    m=_SINCE.dt.total_minutes(), ms=_SINCE.dt.total_milliseconds(), ns=_SINCE.dt.total_nanoseconds(), df=_SINCE.dt.total_days_fractional().round(6), mf=_SINCE.dt.total_minutes_fractional().round(6),
+    sf=_SINCE.dt.total_seconds_fractional().round(6), msf=_SINCE.dt.total_milliseconds_fractional().round(6), usf=_SINCE.dt.total_microseconds_fractional().round(6), nsf=_SINCE.dt.total_nanoseconds_fractional(),
+)
+_events("dt_text_and_units", "strftime(ts, '%Y-%m-%dT%H') AS a, epoch_us(ts) AS same, epoch_us(ts) // 1000 AS ms", a=_ts.dt.to_string("%Y-%m-%dT%H"), same=_us(_ts.dt.with_time_unit("ms").dt.cast_time_unit("us")), ms=_ts.dt.epoch("ms").cast("bigint"))
+_events("str_parsed_times", "epoch_us(date_trunc('second', ts)) AS us", us=_us(_ts.dt.strftime("%Y-%m-%d %H:%M:%S").str.strptime("datetime", "%Y-%m-%d %H:%M:%S")))
+
+
+@query("range_rows", "SELECT 'd' AS kind, 31 AS n UNION ALL SELECT 't', 24 UNION ALL SELECT 'c', 8 UNION ALL SELECT 'l', 5")
+def range_rows(spark, d):
+    """Rows of a range of days, of hours, of times of day, and of evenly spaced numbers."""
+    from lumenfold.sources import io
+
+    n = lambda f, kind: f.select(col(f.columns[0]).len().cast("int").alias("n")).select(lit(kind).alias("kind"), "n")
+    days = io.date_range(spark, dt.date(2024, 1, 1), dt.date(2024, 1, 31), "1d")
+    hours = io.datetime_range(spark, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), "1h", closed="left")
+    clock = io.time_range(spark, 0, 86_400_000_000, "3h", closed="left")
+    return n(days, "d").concat(n(hours, "t"), n(clock, "c"), n(io.linear_space(spark, 0.0, 1.0, 5), "l"))
+
+
+@query("range_lists", "SELECT o_orderkey, 2 AS two, 8 AS clocks, 3 AS zeros, 4.5::DOUBLE AS last FROM orders")
+def range_lists(spark, d):
+    from lumenfold.functions.lists import date_ranges, linear_spaces, time_ranges, zeros
+
+    start = _d.cast("date")
+    return scan(spark, d, "orders").select(
+        "o_orderkey", date_ranges(start, _d.dt.offset_by("1d").dt.date(), "1d").list.len().alias("two"), time_ranges(lit(0), lit(86_400_000_000), "3h", closed="left").list.len().alias("clocks"),
+        zeros(3).list.len().alias("zeros"), linear_spaces(lit(0.0), lit(4.5), 4).list.last().alias("last"),
+    )

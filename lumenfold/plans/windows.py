@@ -231,3 +231,21 @@ def rolling_closed_left(spark, d):
 @query("grouped_window_when", f"SELECT event_id, CASE WHEN k > avg(k) OVER (PARTITION BY user_id) THEN 'above' ELSE 'below' END AS side FROM {_E}")
 def grouped_window_when(spark, d):
     return _events(spark, d).select("event_id", when(_k > _k.mean().over("user_id")).then(lit("above")).otherwise("below").alias("side"))
+
+
+_places = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice)"
+
+
+@query(
+    "window_places",
+    f"""SELECT o_orderkey, round(percent_rank() {_places}, 8) AS share, round(cume_dist() {_places}, 8) AS upto,
+    ntile(3) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS third,
+    nth_value(o_totalprice, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders""",
+)
+def window_places(spark, d):
+    f = scan(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").sort("o_orderkey")
+    p = col("o_totalprice")
+    return f.select(
+        "o_orderkey", p.percent_rank().over("o_custkey").round(8).alias("share"), p.cume_dist().over("o_custkey").round(8).alias("upto"),
+        p.ntile(3).over("o_custkey").cast("bigint").alias("third"), p.nth_value(2).over("o_custkey", order_by="o_orderkey").alias("second"),
+    )
