@@ -28,8 +28,8 @@ from lumenfold.llm.common import cut
 from lumenfold.llm.toxicity import bucket_of
 from lumenfold.llm.words import chunks, mix, texts_of
 
-#: Bytes of context, text bytes of a batch, and the most shards.
-DEPTH, BATCH_BYTES, MAX_SHARDS = 5, 8 << 20, 4096
+#: Bytes of context, text bytes of a batch, of a shard (on average) and of a task that scores texts, and the most shards.
+DEPTH, BATCH_BYTES, SHARD_BYTES, TASK_BYTES, MAX_SHARDS = 5, 8 << 20, 64 << 20, 256 << 20, 4096
 #: The byte that ends texts; UTF-8 never has it.
 END = 255
 _LN2, _LN10 = float(np.log(2)), float(np.log(10))
@@ -247,7 +247,7 @@ def _asked(rows: DataFrame, depth: int, shards: int) -> DataFrame:
             texts = texts_of(b, "text")
             x = Batch(texts, depth, shards)
             train = np.bincount(x.run[np.repeat(~held, x.n_bytes)], minlength=len(x.runs))
-            out = [(place, -1, "t", _dump((b.column("id").to_pylist(), held, texts)))]
+            out = [(place, -1, "t", _dump((pa.concat_arrays([b.column("id")]), held, texts)))]
             out += [(place, s, "r", _dump((x.runs[p], train[p].astype(np.int32)))) for s, p in x.by_run]
             train = np.bincount(x.word[np.repeat(~held, x.n_words)], minlength=len(x.words))
             out += [(place, s, "w", _dump((b" ".join(x.words[p]), train[p].astype(np.int32)))) for s, p in x.by_word]
@@ -287,15 +287,16 @@ def score(
     included; -score * log2(10) / (n_bytes + 1) is the code length in bits per byte. Tokens of the baseline are words (A-Z
     lower-cased, cut at ASCII white space) and one end; its probabilities are (c + 0.1) / (N + 0.1 (V + 1)). A null text
     counts as empty: its end is all it has. Rows that repeat an id are scored and learned from one by one; a null id is
-    held out or not as the empty text is. An empty table gives no rows; only id and text are read.
+    held out or not as the empty text is. Ids are of any type. An empty table gives no rows; only id and text are read.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType
+    kind = docs.schema[id_col].dataType.simpleString()
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = min(2 * slots, MAX_SHARDS)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
+    size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held"))).collect()[0]
+    shards = min(max(2 * slots, -(-size // SHARD_BYTES)), MAX_SHARDS)
     asked = cut(_asked(rows, depth, shards))
-    dealt = asked.filter("kind != 't'").repartition(slots, "kind", "shard").sortWithinPartitions("kind", "shard")
+    dealt = asked.filter("kind != 't'").repartition(max(slots, shards // 2), "kind", "shard").sortWithinPartitions("kind", "shard")
 
     def sums(batches):
         for kind, _, held in _by_shard(batches):
@@ -314,7 +315,6 @@ def score(
     small = small.groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("below"))
     found = sorted(tuple(r) for r in small.collect())  # at most 256 * 255 keys, and the words' total
     distinct, words = next((r[1:3] for r in found if r[0] == -1), (0, 0))
-    ends = rows.filter("not held").count()
     total, kinds = words + ends, distinct + (ends > 0)
     top = spark.sparkContext.broadcast(Top([r for r in found if r[0] >= 0]))
     floor = float(np.log10(total + 0.1 * (kinds + 1)))
@@ -332,8 +332,8 @@ def score(
             yield _rows(out)
 
     answers = dealt.mapInArrow(answer, _ROWS)
-    met = asked.filter("kind = 't'").unionByName(answers).repartition(slots, "batch").sortWithinPartitions("batch", "kind", "shard")
-    out_kind = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
+    met = asked.filter("kind = 't'").unionByName(answers).repartition(max(slots, -(-size // TASK_BYTES)), "batch").sortWithinPartitions("batch", "kind", "shard")
+    out_kind = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
 
     def finish(batches):
         for held in _by_batch(batches):
@@ -348,14 +348,14 @@ def score(
             known = x.per_text((count > 0)[x.word].astype(float), x.n_words).astype(np.int64) + (ends > 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(is_held), pa.array(x.n_words + 1), pa.array(known),
+                    ids, pa.array(is_held), pa.array(x.n_words + 1), pa.array(known),
                     pa.array(np.full(len(ids), total)), pa.array(base), pa.array(x.per_text(p[x.run], x.n_bytes)), pa.array(x.n_bytes - 1),
                 ],
                 names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
             )
 
     out = met.mapInArrow(finish, out_kind)
-    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col)
 
 
 def _word_counts(held):

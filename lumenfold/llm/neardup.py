@@ -286,12 +286,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(edges.observe(seen, F.count(F.lit(1)).alias("n")))
     n = seen.get["n"]
     while n:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = met(both, low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a != b").distinct()
         small = met(large, large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
+        small = small.select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))))
         small = small.filter("a != b").distinct()
         had = edges.select(F.col("a").alias("had_a"), F.col("b").alias("had_b"), F.lit(1).alias("had"))
         seen = Observation()
@@ -403,9 +403,10 @@ def classes(
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of the document with the smallest id in each class.
+    """The rows of ``docs``, all columns as they are, of the document with the smallest id in each class (null is smallest).
 
-    Of rows that repeat an id and its text one stays, the first by the other columns as JSON.
+    Null and empty texts stay, as they are in no class but their own. Of rows that repeat an id and its text one stays, the
+    first by the other columns as JSON; of an id's different texts all stay or go. An empty table gives no rows.
     """
     found = classes(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.filter(~F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__gone")).distinct()

@@ -31,6 +31,8 @@ M = 3
 FREQUENT = 4096
 #: Words of the corpus for each bucket, and text bytes of a batch from which super-k-mers are sent.
 BUCKET_WORDS, BATCH_BYTES = 1 << 19, 8 << 20
+#: Buckets of a task at most: tasks stay of one size however large the corpus, and whatever spark.sql.shuffle.partitions is.
+TASK_BUCKETS = 64
 #: A null id counts as this one: it comes first.
 NO_ID = -(1 << 63)
 
@@ -219,7 +221,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield _spans(*later_copies(blobs, window))
 
     packed = rows.select("pos", "key", "text").mapInArrow(pack, "bucket bigint, done string, blob binary")
-    dealt = packed.repartition(slots, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartition(max(slots, math.ceil(buckets / TASK_BUCKETS)), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(settle, "pos bigint, key bigint, spans binary")
 
 

@@ -1,7 +1,7 @@
 """URL rules by a sorted digest array.
 
 Every rule is a host and a path prefix. The rules' 64-bit xxhash keys are sorted into an array, which lies in a file with
-the rules' full strings; executors fetch that file once and memory-map it. A URL is probed under each of its host's
+the rules' full strings; executors fetch that file once and memory-map it. A long list makes several such files. A URL is probed under each of its host's
 suffixes and each prefix length that some rule has, by vectorised binary search; a probe that meets a key counts only if
 the stored string is the same, so colliding keys can't decide.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import shared_dir
 
-#: The largest index sent to the executors; a longer list of rules is refused.
-MAX_INDEX_BYTES = 256 << 20
+#: Bytes of rules in one file, about: more rules make more files, each made by itself and probed one after the other.
+INDEX_BYTES = 256 << 20
 #: Rows probed at once.
 STEP = 4096
 
@@ -117,8 +117,6 @@ class Index:
 
 def publish(spark: SparkSession, data: bytes) -> str:
     """Write the index to the shared folder and have every executor fetch it; its name there."""
-    if len(data) > MAX_INDEX_BYTES:
-        raise ValueError(f"the rules take {len(data)} bytes; at most {MAX_INDEX_BYTES} go to each executor")
     name = f"url-rules-{hashlib.sha256(data).hexdigest()[:24]}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
@@ -136,6 +134,19 @@ def publish(spark: SparkSession, data: bytes) -> str:
     return name
 
 
+def segments(rules, limit: int | None = None):
+    """The rules in lists of about ``limit`` bytes; one empty list if there are none."""
+    held, size = [], 0
+    for r in rules:
+        held.append(r)
+        size += len(r[1].encode()) + 17
+        if size >= (limit or INDEX_BYTES):
+            yield held
+            held, size = [], 0
+    if held or not size:
+        yield held
+
+
 def judge_urls(pages: DataFrame, rules=RULES, *, url_col: str = "url", default: str = "allow", keep=("page_id",)) -> DataFrame:
     """For each row: the columns in ``keep``, host, path, rule (the longest that fits, or null) and verdict.
 
@@ -145,24 +156,29 @@ def judge_urls(pages: DataFrame, rules=RULES, *, url_col: str = "url", default:
     """
     if default not in ACTIONS:
         raise ValueError(f"default is one of {ACTIONS}")
-    name = publish(pages.sparkSession, pack(rules))
+    names = [publish(pages.sparkSession, pack(part)) for part in segments(rules)]
     rows = pages.select(*keep, F.col(url_col).alias("__url"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
-        index = Index(SparkFiles.get(name))
+        indexes = [Index(SparkFiles.get(name)) for name in names]
         for b in batches:
             for lo in range(0, b.num_rows, STEP):
                 x = b.slice(lo, STEP)
                 split = [parts(u) for u in x.column("__url").to_pylist()]
-                found = index.judge(split)
+                best: list[tuple[str | None, str]] = [(None, default)] * len(split)
+                for index in indexes:
+                    for i, j in enumerate(index.judge(split)):
+                        own, rule = best[i][0], index.rule(j) if j >= 0 else None
+                        if rule is not None and (own is None or (-len(rule), rule) < (-len(own), own)):
+                            best[i] = rule, ACTIONS[index.actions[j]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(x.column(i) for i in range(x.num_columns - 1)),
                         pa.array([h for h, _ in split], pa.string()),
                         pa.array([p for _, p in split], pa.string()),
-                        pa.array([index.rule(j) if j >= 0 else None for j in found], pa.string()),
-                        pa.array([ACTIONS[index.actions[j]] if j >= 0 else default for j in found], pa.string()),
+                        pa.array([rule for rule, _ in best], pa.string()),
+                        pa.array([verdict for _, verdict in best], pa.string()),
                     ],
                     names=[*x.schema.names[:-1], "host", "path", "rule", "verdict"],
                 )

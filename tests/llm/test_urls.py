@@ -41,3 +41,12 @@ def test_no_rules_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a/")], "page_id long, url string")
     assert [r.verdict for r in urls.judge_urls(df, []).collect()] == ["allow"]
     assert urls.judge_urls(df.limit(0)).collect() == []
+
+
+def test_several_files_give_the_same(spark, monkeypatch):
+    rules = [*urls.RULES, ("allow", "net/"), ("block", "org/fr/x"), ("block", "example.net/en/1")]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    monkeypatch.setattr(urls, "INDEX_BYTES", 40)
+    assert len(list(urls.segments(rules))) > 3 and list(urls.segments([])) == [[]]
+    got = {r.page_id: tuple(r)[1:] for r in urls.judge_urls(df, rules).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(URLS)}
