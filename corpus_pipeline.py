@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and read as the next
 stage's documents. All stages but the last return the columns of ``documents``.
+
+Null and empty texts pass all stages but the last, which takes only documents that have words. A document of which line
+dedup leaves no word goes. Rows that repeat an id are judged by their own texts, but for near-duplicates, where they are
+one document; of rows that repeat an id and a text one stays there. An empty table gives no rows. Other columns are kept as
+they are, but for ``n_chars`` of texts that lost lines; the last stage adds ``taken``.
 """
 
 from __future__ import annotations
@@ -55,11 +60,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's output lies in the shared folder."""
+    """All stages over ``documents``; a stage's output lies in the shared folder until the next one is written."""
     where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}-{name}")
-        docs = spark.read.parquet(f"{where}/{k}-{name}")
+        path = f"{where}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            _delete(spark, before)
+        before = path
     return docs
