@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,8 @@ def join_asof(left: Frame, right: Frame, on=None, left_on=None, right_on=None, b
 
     Both sides are stacked and sorted by key once; a window then carries the last right row along. Each row makes one row,
     so nothing multiplies. A right row counts as before a left row of the same instant if exact matches are allowed.
+    Without ``by`` the instants are cut into sections of about as many rows, and what lies before (or after) a section is
+    the last (first) right row of others: a row for each section; so no task sees all rows.
     """
     lo, ro = (on, on) if on is not None else (left_on, right_on)
     lb, rb = (list(by), list(by)) if left_by is None else (list(left_by), list(right_by))
@@ -135,10 +137,13 @@ def join_asof(left: Frame, right: Frame, on=None, left_on=None, right_on=None, b
     r_ = rf.df.filter(F.col(ro).isNotNull()).select(*[F.col(f"`{c}`").alias(k) for c, k in zip(rb, kinds, strict=True)], number(F.col(ro)).alias("__t"), F.lit(True).alias("__is_r"), F.col(ROW).alias("__o"), empty(left, left.columns).alias("__l"), pack(right.columns).alias("__r"))
     both = l_.union(r_).withColumn("__c", F.when(F.col("__is_r"), F.struct("__t", "__r")))
     ok = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in kinds], F.lit(True)) & F.col("__t").isNotNull()
-    part = Window.partitionBy(*kinds)
+    both, edges = (both, None) if kinds else _sections(both)
+    part = Window.partitionBy(*kinds) if kinds else Window.partitionBy("__s")
     before = F.last("__c", ignorenulls=True).over(part.orderBy("__t", F.col("__is_r").desc() if allow_exact_matches else F.col("__is_r").asc(), "__o").rowsBetween(Window.unboundedPreceding, 0))
     after = F.last("__c", ignorenulls=True).over(part.orderBy(F.col("__t").desc(), F.col("__is_r").desc() if allow_exact_matches else F.col("__is_r").asc(), F.col("__o").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    df = both
+    if edges is not None:
+        before, after = F.coalesce(before, F.col("__low")), F.coalesce(after, F.col("__high"))
+    df = both if edges is None else both.join(F.broadcast(edges), F.col("__s") == F.col("__e"))
     if strategy in ("backward", "nearest"):
         df = df.withColumn("__before", before)
     if strategy in ("forward", "nearest"):
@@ -157,6 +162,33 @@ def join_asof(left: Frame, right: Frame, on=None, left_on=None, right_on=None, b
     return Frame(df.select(*[F.col(f"__l.`{c}`").alias(c) for c in left.columns], *[F.col(f"__hit.__r.`{c}`").alias(n) for c, n in name.items()]))
 
 
+def _sections(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (__t, __is_r, __o, __c) with their section ``__s``; and of each section ``__e`` the nearest right rows before and after it.
+
+    Sections' bounds are approximate quantiles of all instants, as many as there are shuffle partitions; a row's section is
+    found by binary search in them. Equal instants are in one section.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = [i / n for i in range(1, n)]
+    bounds = rows.agg(F.percentile_approx("__t", cuts, 100 * n)).first()[0] if cuts else None
+    bounds = sorted(set(bounds or []))
+    s = F.lit(0)
+    if bounds:
+        steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+        at = lambda a, k: F.coalesce(F.get(F.lit(bounds), a + k - 1) <= F.col("__t"), F.lit(False))
+        s = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, k: F.when(at(a, k), a + k).otherwise(a))
+    rows = rows.withColumn("__s", s)
+    order = F.struct("__t", "__o")
+    of = rows.filter("__is_r").groupBy("__s").agg(F.max_by("__c", order).alias("last"), F.min_by("__c", order).alias("first"))
+    every = spark.range(len(bounds) + 1).select(F.col("id").cast("int").alias("__e"))
+    of = every.join(of, F.col("__e") == F.col("__s"), "left")
+    w = Window.orderBy("__e")  # a row for each section
+    low = F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__low")
+    high = F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__high")
+    return rows, of.select("__e", low, high)
+
+
 def merge_sorted(left: Frame, right: Frame, key: str) -> Frame:
     """Two frames sorted by a key as one; the left one's rows come first among equals."""
     a, b = (f._row().df.withColumn("__side", F.lit(i)) for i, f in enumerate((left, right)))

@@ -381,9 +381,17 @@ def upsample_days(spark, d):
     return days.upsample("ts", "1d", by=["user_id"]).select("user_id", col("ts").dt.epoch_days().cast("bigint").alias("day"), col("there").fill_null_with(False).alias("there"))
 
 
-@query("interpolate_frame", None)
+@query(
+    "interpolate_frame",
+    """WITH r AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS v, row_number() OVER (ORDER BY c_custkey) AS i FROM customer), n AS (SELECT *,
+    last_value(v IGNORE NULLS) OVER a AS lv, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS li, first_value(v IGNORE NULLS) OVER b AS rv,
+    first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ri FROM r
+    WINDOW a AS (ORDER BY i), b AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT c_custkey::DOUBLE AS c_custkey, round(coalesce(v, lv + (rv - lv) * (i - li) / (ri - li)), 6) AS bal FROM n""",
+)
 def interpolate_frame(spark, d):
-    return holes(spark, d).sort("c_custkey").select("c_custkey", "bal").interpolate()
+    f = holes(spark, d).sort("c_custkey").select("c_custkey", "bal").interpolate()
+    return f.select(col("c_custkey").cast("double"), col("bal").round(6))
 
 
 @query("hash_rows", None)
@@ -409,9 +417,14 @@ def horizontal_columns(spark, d):
     return scan(spark, d, "lineitem").select(sum_horizontal(*names).alias("sum"), max_horizontal(*names).alias("max"))
 
 
-@query("corr_matrix", None)
+@query(
+    "corr_matrix",
+    """WITH c AS (SELECT round(corr(l_quantity, l_extendedprice), 6) AS qp, round(corr(l_quantity, l_discount), 6) AS qd, round(corr(l_extendedprice, l_discount), 6) AS pd FROM lineitem)
+    SELECT 'l_quantity' AS "column", 1.0::DOUBLE AS l_quantity, qp AS l_extendedprice, qd AS l_discount FROM c UNION ALL SELECT 'l_extendedprice', qp, 1.0, pd FROM c UNION ALL SELECT 'l_discount', qd, pd, 1.0 FROM c""",
+)
 def corr_matrix(spark, d):
-    return scan(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount").corr()
+    f = scan(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount").corr()
+    return f.select(f.columns[0], *[col(c).round(6) for c in f.columns[1:]])
 
 
 @query("map_columns", "SELECT c_custkey, lower(c_name) AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer")

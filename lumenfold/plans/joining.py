@@ -265,3 +265,21 @@ def interval_join_query(spark, d):
     return interval_join(o, bands, "price", "lo", "hi", 256).select("o_orderkey", "lo")
 
 
+
+
+_ALL_BUYS = "(SELECT event_id AS buy, ts FROM events WHERE event_type = 'purchase')"
+
+
+@query(
+    "asof_without_keys",
+    f"""WITH c AS (SELECT event_id, ts FROM events WHERE event_type = 'click'), b AS (SELECT ts, max(buy) AS last, min(buy) AS first FROM {_ALL_BUYS} GROUP BY 1),
+    l AS (SELECT c.event_id, b.last AS before FROM c ASOF LEFT JOIN b ON c.ts >= b.ts), h AS (SELECT c.event_id, b.first AS after FROM c ASOF LEFT JOIN b ON c.ts <= b.ts)
+    SELECT event_id, before, after FROM l JOIN h USING (event_id)""",
+)
+def asof_without_keys(spark, d):
+    """The last purchase before each click, and the first after it, of any user."""
+    f = scan(spark, d, "events").sort("event_id")
+    a = f.filter(col("event_type") == "click").select("event_id", "ts")
+    b = f.filter(col("event_type") == "purchase").select(col("event_id").alias("buy"), "ts")
+    low = a.join_asof(b, on="ts").select("event_id", col("buy").alias("before"))
+    return low.join(a.join_asof(b, on="ts", strategy="forward").select("event_id", col("buy").alias("after")), on="event_id")

@@ -102,7 +102,12 @@ def str_normalize(spark, d):
     return scan(spark, d, "documents").select("doc_id", _t.str.normalize("NFKD").str.len_chars().alias("n"))
 
 
-@query("str_find_many", None)
+@query("str_normalize_composed", "SELECT doc_id, md5(nfc_normalize(text)) AS m FROM documents")
+def str_normalize_composed(spark, d):
+    return scan(spark, d, "documents").select("doc_id", _t.str.normalize("NFC")._map("md5", _md5).alias("m"))
+
+
+@query("str_find_many", "SELECT doc_id, (" + " + ".join(f"(length(text) - length(replace(text, '{p}', ''))) // {len(p)}" for p in ("the", "he", "que")) + ")::INTEGER AS n FROM documents")
 def str_find_many(spark, d):
     return scan(spark, d, "documents").select("doc_id", _t.str.find_many(["the", "he", "que"], overlapping=True).list.len().alias("n"))
 
