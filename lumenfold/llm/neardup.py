@@ -5,12 +5,12 @@ process whose rate is its weight; an arrival goes to a random register, and a re
 An element is dropped as soon as its next arrival is later than every register's (early termination). Two texts agree in a
 register with the probability of their probability Jaccard similarity, which doesn't depend on the texts' lengths.
 
-Registers are cut into bands. In a band's bucket every text is paired with the bucket's smallest id, and pairs are verified
-on the texts themselves; after that only pairs whose texts are still in different classes are left to verify: first the
-other pairs of the same kind, then pairs across classes within a bucket. Those aren't all made: the texts of buckets with
-several classes are joined on their rarest elements, and only where both texts' rarer elements leave room for the
-similarity that is asked for; see prefixes(). So no pair of a bucket is lost, and neither the members of a class nor the
-fringe of a large group are paired among each other. Exact copies share one text and are never paired at all.
+Registers are cut into bands. Every text is paired with the smallest id of the bucket that it shares most often, and pairs
+are verified on the texts themselves; after that only pairs whose texts are in different classes of one bucket are left to
+verify. Those aren't all made: the texts of buckets with several classes are joined on their rarest elements, and only
+where both texts' rarer elements leave room for the similarity that is asked for; see prefixes(). So no pair of a bucket is
+lost, and neither the members of a class nor the fringe of a large group are paired among each other. Exact copies share
+one text and are never paired at all.
 """
 
 from __future__ import annotations
@@ -320,7 +320,10 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The classes after more links between nodes; only classes that are linked take part."""
-    more = components(_across(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    links = cut(_across(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    if links.isEmpty():
+        return roots
+    more = components(links)
     old = roots.select("node", F.col("root").alias("old"))
     new = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
     moved = met(old, new, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
@@ -360,14 +363,12 @@ def classes(
     low = cut(banded.groupBy("band").agg(F.min("pos").alias("b"), F.max("pos").alias("most")).filter("most > b"))
     low = low.select(F.col("band").alias("in"), "b")
     held = banded.join(low, F.col("band") == F.col("in")).select("band", "pos", "b")
-    stars = cut(held.filter("pos != b").groupBy(F.col("pos").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")))
-    best = stars.groupBy("a").agg(F.max_by("b", F.col("n")).alias("b"))
+    stars = held.filter("pos != b").groupBy(F.col("pos").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    best = cut(stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
     several = own.groupBy("pos").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo != hi").select("pos")
     joint = own.filter("rid != pos").join(several, "pos", "left_semi").select(F.col("pos").alias("a"), F.col("rid").alias("b")).distinct()
     verified = lambda pairs: _verified(docs, pairs, id_col, text_col, similar, shingle)
     roots = components(verified(best).union(joint))
-    rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots).select("a", "b")
-    roots = _merged(roots, verified(rest))
     placed = held.join(roots, F.col("pos") == F.col("node"), "left").select("band", "pos", F.coalesce("root", "pos").alias("root"))
     placed = cut(placed)
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
@@ -381,8 +382,8 @@ def classes(
     first = first.filter("lo != hi").select("element", "f")
     near = met(by, first, "element").filter(f"root != f.root and pos != f.pos and lead + f.lead <= {room}")
     near = near.select(F.col("pos").alias("a"), F.col("f.pos").alias("b")).distinct()
-    done = stars.select("a", "b")
-    near = cut(_unordered(near, done))
+    near = cut(_unordered(near, best))
+    _release(docs)
     roots = _merged(roots, verified(near))
     by = by.drop("root").join(roots, F.col("pos") == F.col("node"), "left").select("element", "lead", "pos", F.coalesce("root", "pos").alias("root"))
     by = cut(by)
@@ -395,7 +396,7 @@ def classes(
     one = major.select("element", "lead", "pos", "root", F.lit(True).alias("major")).union(minor.withColumn("major", F.lit(False)))
     two = minor.select("element", F.col("lead").alias("lead_x"), F.col("pos").alias("x"), F.col("root").alias("root_x"))
     across = met(one, two, "element").filter(f"root != root_x and pos != x and (major or pos < x) and lead + lead_x <= {room}")
-    across = _unordered(across.select(F.col("pos").alias("a"), F.col("x").alias("b")).distinct(), done.union(near))
+    across = _unordered(across.select(F.col("pos").alias("a"), F.col("x").alias("b")).distinct(), best.union(near))
     roots = _merged(roots, verified(across))
     out = own.join(roots, F.col("rid") == F.col("node"), "left").select("pos", F.coalesce("root", "rid").alias("root"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(docs.schema[id_col].dataType)
