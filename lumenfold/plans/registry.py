@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from lumenfold.operators.frame import Frame
 
-_MODULES = ("tpch", "groupjoin", "frames", "joining", "grouping", "aggregates", "windows", "scalars", "text", "times", "nested", "arrays", "naming", "memory", "functions", "files", "streams")
+_MODULES = ("tpch", "groupjoin", "frames", "joining", "grouping", "aggregates", "windows", "scalars", "text", "times", "nested", "arrays", "naming", "memory", "facts", "functions", "files", "streams")
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
