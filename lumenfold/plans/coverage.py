@@ -11,9 +11,36 @@ import os
 import re
 
 #: Modules of plans whose calls count for a namespace; others count everywhere.
-_HOMES = {"arr": {"arrays", "nested"}, "str": {"text", "times", "tpch", "memory"}, "dt": {"times", "tpch", "grouping"}, "list": {"nested", "times", "text"}}
+_HOMES = {"arr": {"arrays", "nested"}, "str": {"text", "times", "tpch", "memory"}, "dt": {"times", "tpch", "grouping"}, "list": {"nested", "times", "text", "facts"}}
 _TYPES = {"ArrExpr": "arr", "StrExpr": "str", "DtExpr": "dt", "ListExpr": "list"}
 
+#: Operations that Spark or this engine spells otherwise, with queries that use them.
+_ALSO = {
+    "ScanParquetGlob": "parquet_glob", "ScanParquetFiles": "parquet_list", "ScanParquetFrom": "parquet_bytes", "ScanParquetFS": "files_by_scheme", "WithPruning": "parquet_keys_inside",
+    "WithHivePartitioning": "parquet_hive parquet_keys_inside", "WithHiveSchema": "parquet_hive_options", "WithHiveDates": "parquet_hive_options", "WithIncludeFilePaths": "parquet_paths",
+    "WithCSVIncludeFilePaths": "csv_paths", "WithNDJSONIncludeFilePaths": "ndjson_paths", "WithIPCIncludeFilePaths": "ipc_paths", "WithLinesIncludeFilePaths": "lines_paths",
+    "WithInsertMissingColumns": "parquet_evolution", "WithIgnoreExtraColumns": "parquet_evolution", "WithUpcastIntegers": "parquet_evolution", "WithUpcastFloats": "parquet_evolution",
+    "ScanCSVGlob": "csv_glob", "ScanCSVFiles": "csv_list", "ScanCSVReader": "csv_bytes", "ScanCSVFrom": "csv_bytes", "ScanCSVFS": "files_by_scheme", "WithQuoting": "csv_headerless",
+    "WithSchemaOverrides": "csv_headerless", "WithInferRows": "ndjson_overrides", "WithInferSchema": "csv_texts_only", "WithSkipRows": "csv_skipped_rows", "WithTruncateRaggedLines": "csv_ragged",
+    "WriteCSV": "csv_round_trip", "WithWriteSeparator": "csv_dialect", "WithWriteHeader": "csv_headerless", "WithLineTerminator": "csv_line_ends", "WithWriteQuote": "csv_headerless",
+    "WithTimeFormat": "csv_times", "WithWriteDecimalComma": "csv_decimal_comma", "WithCSVCompression": "csv_dialect", "WithCSVCompressionLevel": "csv_number_formats", "WithCSVCheckExtension": "csv_byte_order_mark",
+    "ScanNDJSONFiles": "ndjson_list", "ScanNDJSONGlob": "ndjson_glob", "ScanNDJSONFrom": "ndjson_bytes", "ScanNDJSONFS": "files_by_scheme", "WithNDJSONSchema": "ndjson_bytes",
+    "WithNDJSONSchemaOverrides": "ndjson_overrides", "WithInferSchemaLines": "ndjson_overrides", "WithNDJSONIgnoreErrors": "ndjson_bad_lines", "WriteNDJSON": "ndjson_round_trip", "WriteJSON": "json_documents",
+    "ScanIPCFiles": "ipc_list", "ScanIPCGlob": "ipc_glob", "ScanIPCFrom": "ipc_bytes", "ScanIPCStream": "ipc_streams", "ScanIPCStreamFrom": "ipc_stream_bytes", "ScanIPCStreamBytes": "ipc_stream_bytes",
+    "WithIPCHivePartitioning": "ipc_hive", "WriteIPCStream": "ipc_stream_bytes", "WithIPCCompression": "ipc_round_trip", "ScanLinesFiles": "lines_list", "ScanLinesGlob": "lines_glob", "ScanLinesFrom": "lines_bytes",
+    "ScanLinesFS": "files_by_scheme", "WithLinesName": "lines_list", "ScanArrow": "arrow_tables", "ScanArrowRecords": "arrow_reader", "CollectRecords": "arrow_reader", "ReadDatabaseRows": "database_cursor",
+    "WithDatabaseSchemaOverrides": "database_round_trip", "WithIfTableExists": "database_round_trip", "WriteParquet": "parquet_round_trip", "WithRowGroupRows": "parquet_keys_inside", "WithPartitionIncludeKey": "parquet_keys_inside",
+    "Frame": "frame_literals", "CastStrict": "frame_casts", "HStack": "hstack_frames", "DefaultEngine": "frame_results", "WithSchemas": "frame_plans", "ExplainOptFlags": "frame_plans", "Optimized": "frame_plans",
+    "JoinWhereSuffix": "join_where_theta", "JoinAsOf": "asof_backward", "AsOfLeftBy": "asof_named_sides", "AsOfRightBy": "asof_named_sides", "AsOfStrategyOpt": "asof_forward", "UniqueKeep": "unique_kept_last",
+    "ConcatFrames": "concat_vertical", "WithConcatMode": "concat_relaxed", "Extend": "frame_stacks", "CorrSpearman": "agg_spearman", "HistBins": "agg_hist", "HistBinCount": "agg_hist", "ArgWhere": "agg_places", "ArgSortBy": "agg_places",
+    "Ddof": "agg_variance", "RollingCenter": "rolling_rows", "EwmAlpha": "ewm_std", "EwmSpan": "ewm_std", "EwmCom": "ewm_std", "QCut": "qcut_bins", "QCutN": "qcut_parts", "ColDType": "select_dtype", "ByDType": "selectors_expand",
+    "Not": "negated", "TrueDiv": "negated", "ArcSin": "inverse_hyperbolic", "ArcCos": "trigonometry", "ArcTan": "trigonometry", "ArcSinh": "inverse_hyperbolic", "ArcCosh": "inverse_hyperbolic", "ArcTanh": "inverse_hyperbolic",
+    "CutLabels": "cut_options", "CutLeftClosed": "cut_options", "Reduce": "reductions", "ZFill": "str_padding", "EpochIn": "dt_epochs", "Timestamp": "dt_epochs", "TotalDays": "dt_durations", "TotalHours": "dt_durations",
+    "TotalSeconds": "dt_durations", "SortWith": "arr_sort_with", "ColumnAt": "frame_columns_apart", "VStack": "frame_stacks", "DTypes": "frame_shape", "NullsFirst": "sort_nulls_first", "BottomKBy": "agg_top_k", "WindowClosed": "rolling_by_closed", "EwmAdjust": "ewm_mean_recursive",
+    "EwmHalfLife": "ewm_std", "IgnoreNulls": "ewm_std", "Biased": "agg_moments", "RollingVarBy": "rolling_by_closed", "RollingQuantileBy": "rolling_by_closed", "InterpolateBy": "interpolate_by_time", "NoOffset": "dynamic_tumbling",
+    "ConcatArr": "concat_arrays", "ItemAt": "frame_cells",
+}
+
 
 def snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
@@ -80,7 +107,8 @@ def table(survey: str) -> str:
     for section, kind, name in inventory(survey):
         space, word = _TYPES.get(kind), snake(name)
         words = {word, word.removeprefix("with_"), f"{word}_", word.removeprefix("join_"), word.removeprefix("as_of_")}
-        own = [q for q, (m, names) in sorted(found.items()) if words & names and (space is None or m in _HOMES[space])]
+        own = _ALSO.get(name, "").split()
+        own += [q for q, (m, names) in sorted(found.items()) if q not in own and words & names and (space is None or m in _HOMES[space])]
         rows.append(f"| {section} | `{kind + '.' if kind else ''}{name}` | `{space + '.' if space else ''}{word}` | {', '.join(own[:3])} |")
     return "\n".join(rows)
 

@@ -172,11 +172,11 @@ def over_with_options(spark, d):
 def ewm_std(spark, d):
     """The square of the decaying deviation is the decaying variance, whatever way the decay is given."""
     v = col("value")
-    ways = {"a": v.ewm_std(alpha=0.5), "s": v.ewm_std(span=3.0), "c": v.ewm_std(com=1.0)}
+    ways = {"a": v.ewm_std(alpha=0.5), "s": v.ewm_std(span=3.0), "c": v.ewm_std(com=1.0), "h": v.ewm_std(half_life=1.0, ignore_nulls=False)}
     f = scan(spark, d, "events").select("event_id", "user_id", "value")
     f = f.select(v.ewm_var(alpha=0.5).over("user_id", order_by="event_id").alias("var"), *[e.over("user_id", order_by="event_id").alias(n) for n, e in ways.items()])
     near = lambda c: (col(c) * col(c) - col("var")).abs() <= lit(1e-6) * (col("var").abs() + 1.0)
-    same = near("a") & near("s") & near("c") | col("var").is_null()
+    same = near("a") & near("s") & near("c") & near("h") | col("var").is_null()
     return f.select(col("a").len().alias("n"), same.all_true().alias("alike"))
 
 

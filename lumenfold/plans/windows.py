@@ -249,3 +249,43 @@ def window_places(spark, d):
         "o_orderkey", p.percent_rank().over("o_custkey").round(8).alias("share"), p.cume_dist().over("o_custkey").round(8).alias("upto"),
         p.ntile(3).over("o_custkey").cast("bigint").alias("third"), p.nth_value(2).over("o_custkey", order_by="o_orderkey").alias("second"),
     )
+
+
+_DAY = "OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {} PRECEDING AND {})"
+_RIGHT, _BOTH, _LEFT = _DAY.format(86_399_999_999, "CURRENT ROW"), _DAY.format(86_400_000_000, "CURRENT ROW"), _DAY.format(86_400_000_000, "1 PRECEDING")
+
+
+@query(
+    "rolling_by_closed",
+    f"""SELECT event_id, CASE WHEN count(value) {_RIGHT} > 1 THEN round(var_samp(value) {_RIGHT}, 2) END AS var, round(quantile_cont(value, 0.25) {_RIGHT}, 6) AS low,
+    round(sum(value) {_BOTH}, 2) AS both, round(sum(value) {_LEFT}, 2) AS before FROM events""",
+)
+def rolling_by_closed(spark, d):
+    v = col("value")
+    by = lambda e: e.over("user_id")
+    return scan(spark, d, "events").select(
+        "event_id", by(v.rolling_var_by("ts", "1d")).round(2).alias("var"), by(v.rolling_quantile_by(0.25, "linear", "ts", "1d")).round(6).alias("low"),
+        by(v.rolling_sum_by("ts", "1d", closed="both")).round(2).alias("both"), by(v.rolling_sum_by("ts", "1d", closed="left")).round(2).alias("before"),
+    )
+
+
+@query(
+    "interpolate_by_time",
+    """WITH e AS (SELECT event_id, epoch_us(ts) AS t, CASE WHEN event_id % 3 = 0 THEN value END AS v, user_id FROM events), n AS (SELECT *,
+    last_value(v IGNORE NULLS) OVER a AS lv, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS lt,
+    first_value(v IGNORE NULLS) OVER b AS rv, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS rt FROM e
+    WINDOW a AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT event_id, round(coalesce(v, lv + (rv - lv) * (t - lt) / (rt - lt)), 4) AS v FROM n""",
+)
+def interpolate_by_time(spark, d):
+    v = when(col("event_id") % 3 == 0).then(col("value")).otherwise(lit(None))
+    return scan(spark, d, "events").select("event_id", v.interpolate_by("ts").over("user_id").round(4).alias("v"))
+
+
+@query("concat_arrays", "SELECT vec_id, (2 * len(embedding))::INTEGER AS n, embedding[1] = embedding[1] AS again FROM embeddings")
+def concat_arrays(spark, d):
+    from lumenfold.functions.expr import concat_arr
+
+    e = col("embedding")
+    both = concat_arr(e, e)
+    return scan(spark, d, "embeddings").select("vec_id", both.arr.len().alias("n"), (both.arr.get(0) == e.arr.first()).alias("again"))
