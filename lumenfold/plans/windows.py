@@ -257,14 +257,14 @@ _RIGHT, _BOTH, _LEFT = _DAY.format(86_399_999_999, "CURRENT ROW"), _DAY.format(8
 
 @query(
     "rolling_by_closed",
-    f"""SELECT event_id, CASE WHEN count(value) {_RIGHT} > 1 THEN round(var_samp(value) {_RIGHT}, 2) END AS var, round(quantile_cont(value, 0.25) {_RIGHT}, 6) AS low,
+    f"""SELECT event_id, CASE WHEN count(value) {_RIGHT} > 1 THEN round(var_samp(value) {_RIGHT} * 0.97, 3) END AS var, round(quantile_cont(value, 0.25) {_RIGHT}, 6) AS low,
     round(sum(value) {_BOTH}, 2) AS both, round(sum(value) {_LEFT}, 2) AS before FROM events""",
 )
 def rolling_by_closed(spark, d):
     v = col("value")
     by = lambda e: e.over("user_id")
     return scan(spark, d, "events").select(
-        "event_id", by(v.rolling_var_by("ts", "1d")).round(2).alias("var"), by(v.rolling_quantile_by(0.25, "linear", "ts", "1d")).round(6).alias("low"),
+        "event_id", (by(v.rolling_var_by("ts", "1d")) * 0.97).round(3).alias("var"), by(v.rolling_quantile_by(0.25, "linear", "ts", "1d")).round(6).alias("low"),
         by(v.rolling_sum_by("ts", "1d", closed="both")).round(2).alias("both"), by(v.rolling_sum_by("ts", "1d", closed="left")).round(2).alias("before"),
     )
 
