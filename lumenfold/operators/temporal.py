@@ -105,7 +105,7 @@ def windows(df: DataFrame, index: str, step: Interval, period: Interval, shift:
     t = F.col(index)
     last = offset(floor_to(offset(t, shift.times(-1)), step), shift)
     df = df.filter(t.isNotNull())
-    if step == period and closed == "left":
+    if step == period and closed == "left" and (step.months or not shift.months):
         return df.withColumn("__start", last)
     size = lambda i: i.steps or i.at_least()
     n = math.ceil((period.steps or period.months * 31 * _UNITS["d"] + period.micros) / max(size(step), 1)) + 1
