@@ -1203,12 +1203,16 @@ class Expr:
         a = ewm_alpha(alpha, span, com, half_life)
         return self._ewm("ewm_sum", a, ignore_nulls, min_samples, lambda arr: _ewm_state(arr, a, True, ignore_nulls)["s"])
 
-    def _ewm_by(self, label: str, by, half_life, pick) -> Expr:
+    def _ewm_by(self, label: str, by, half_life, pick, bounded: bool) -> Expr:
+        """A fold over the rows before each row. ``bounded``: over those within 200 half-lives, as older ones weigh 2^-200 or
+        less, beyond what a double can tell, and rows of the same instant change nothing; then what is held for a row
+        depends on the decay and not on the group."""
         from lumenfold.operators.temporal import micros
 
         def build(x, c, b):
             at = b if isinstance(x.type_of(b), INTS) else F.unix_micros(b.cast("timestamp"))
-            w = Window.partitionBy(*x.part).orderBy(at).rowsBetween(_START, 0)
+            w = Window.partitionBy(*x.part).orderBy(at)
+            w = w.rangeBetween(-200 * micros(half_life), 0) if bounded else w.rowsBetween(_START, 0)
             arr = F.collect_list(F.when(c.isNotNull(), F.struct(at.alias("t"), c.cast("double").alias("v")))).over(w)
             start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("long").alias("t"))
 
@@ -1221,10 +1225,10 @@ class Expr:
         return self._by(label, build, by, kind="spread")
 
     def ewm_mean_by(self, by, half_life) -> Expr:
-        return self._ewm_by("ewm_mean_by", by, half_life, lambda m, v, k: k * m + (1 - k) * v)
+        return self._ewm_by("ewm_mean_by", by, half_life, lambda m, v, k: k * m + (1 - k) * v, True)
 
     def ewm_sum_by(self, by, half_life) -> Expr:
-        return self._ewm_by("ewm_sum_by", by, half_life, lambda m, v, k: k * m + v)
+        return self._ewm_by("ewm_sum_by", by, half_life, lambda m, v, k: k * m + v, False)
 
     def interpolate(self, method: str = "linear") -> Expr:
         def fn(x, c):

@@ -97,10 +97,10 @@ def frame_casts(spark, d):
     return scan(spark, d, "nation").select("n_nationkey", "n_regionkey").cast_all("string", strict=False)
 
 
-@query("frame_stacks", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5")
+@query("frame_stacks", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
 def frame_stacks(spark, d):
     f = scan(spark, d, "nation").select("n_nationkey", "n_name")
-    return f.vstack(f).vstack(f.filter(col("n_nationkey") < 5))
+    return f.vstack(f).vstack(f)
 
 
 @query("unique_kept_last", "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")

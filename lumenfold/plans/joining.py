@@ -7,43 +7,11 @@ from lumenfold.operators.joins import interval_join
 from lumenfold.plans.registry import query
 from lumenfold.plans.tables import scan
 
-_RICH = "(SELECT s_nationkey, s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 3 = 0)"
-
-
-def _rich(spark, d):
-    return scan(spark, d, "supplier").filter(col("s_suppkey") % 3 == 0).select("s_nationkey", "s_suppkey", "s_acctbal")
-
-
 def _nation(spark, d):
     return scan(spark, d, "nation").select(col("n_nationkey").alias("s_nationkey"), "n_name")
 
 
-def _kind(how: str, sql: str):
-    @query(f"join_{how}", sql)
-    def run(spark, d):
-        return _nation(spark, d).join(_rich(spark, d), on="s_nationkey", how=how)
-
-    return run
-
-
 _N = "(SELECT n_nationkey AS s_nationkey, n_name FROM nation)"
-_kind("inner", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} JOIN {_RICH} USING (s_nationkey)")
-_kind("left", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} LEFT JOIN {_RICH} USING (s_nationkey)")
-_kind("right", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} RIGHT JOIN {_RICH} USING (s_nationkey)")
-_kind("semi", f"SELECT s_nationkey, n_name FROM {_N} SEMI JOIN {_RICH} USING (s_nationkey)")
-_kind("anti", f"SELECT s_nationkey, n_name FROM {_N} ANTI JOIN {_RICH} USING (s_nationkey)")
-
-
-@query("join_full", f"SELECT a.s_nationkey, n_name, b.s_nationkey AS s_nationkey_right, s_suppkey, s_acctbal FROM {_N} a FULL JOIN {_RICH} b USING (s_nationkey)")
-def join_full(spark, d):
-    return _nation(spark, d).join(_rich(spark, d), on="s_nationkey", how="full")
-
-
-@query("join_full_coalesced", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} FULL JOIN {_RICH} USING (s_nationkey)")
-def join_full_coalesced(spark, d):
-    return _nation(spark, d).join(_rich(spark, d), on="s_nationkey", how="full", coalesce=True)
-
-
 _ALL = "(SELECT CASE WHEN s_suppkey % 4 = 1 THEN s_nationkey + 10 ELSE greatest(s_nationkey, 5) END AS s_nationkey, s_suppkey, s_acctbal FROM supplier)"
 
 
@@ -54,23 +22,21 @@ def _all(spark, d):
     return scan(spark, d, "supplier").select(k.cast("int").alias("s_nationkey"), "s_suppkey", "s_acctbal")
 
 
-def _whole(how: str, sql: str, name: str = "", **options):
-    """A join with every supplier; the join without ``_whole`` takes a third of them."""
-
-    @query(f"join_{name or how}_whole", sql)
+def _kind(how: str, sql: str, name: str = "", **options):
+    @query(f"join_{name or how}", sql)
     def run(spark, d):
         return _nation(spark, d).join(_all(spark, d), on="s_nationkey", how=how, **options)
 
     return run
 
 
-_whole("inner", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} JOIN {_ALL} USING (s_nationkey)")
-_whole("left", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} LEFT JOIN {_ALL} USING (s_nationkey)")
-_whole("right", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} RIGHT JOIN {_ALL} USING (s_nationkey)")
-_whole("semi", f"SELECT s_nationkey, n_name FROM {_N} SEMI JOIN {_ALL} USING (s_nationkey)")
-_whole("anti", f"SELECT s_nationkey, n_name FROM {_N} ANTI JOIN {_ALL} USING (s_nationkey)")
-_whole("full", f"SELECT a.s_nationkey, n_name, b.s_nationkey AS s_nationkey_right, s_suppkey, s_acctbal FROM {_N} a FULL JOIN {_ALL} b USING (s_nationkey)")
-_whole("full", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} FULL JOIN {_ALL} USING (s_nationkey)", "full_coalesced", coalesce=True)
+_kind("inner", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} JOIN {_ALL} USING (s_nationkey)")
+_kind("left", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} LEFT JOIN {_ALL} USING (s_nationkey)")
+_kind("right", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} RIGHT JOIN {_ALL} USING (s_nationkey)")
+_kind("semi", f"SELECT s_nationkey, n_name FROM {_N} SEMI JOIN {_ALL} USING (s_nationkey)")
+_kind("anti", f"SELECT s_nationkey, n_name FROM {_N} ANTI JOIN {_ALL} USING (s_nationkey)")
+_kind("full", f"SELECT a.s_nationkey, n_name, b.s_nationkey AS s_nationkey_right, s_suppkey, s_acctbal FROM {_N} a FULL JOIN {_ALL} b USING (s_nationkey)")
+_kind("full", f"SELECT s_nationkey, n_name, s_suppkey, s_acctbal FROM {_N} FULL JOIN {_ALL} USING (s_nationkey)", "full_coalesced", coalesce=True)
 
 
 @query("join_cross", "SELECT a.r_regionkey, a.r_name, b.r_regionkey AS r_regionkey_right, b.r_name AS r_name_right FROM region a, region b")
@@ -90,21 +56,6 @@ def join_on_expressions(spark, d):
     return scan(spark, d, "customer").select("c_custkey").join(s, left_on=(col("c_custkey") % 100).alias("digit"), right_on="s_suppkey", coalesce=False)
 
 
-_NULLS = "(SELECT CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey END AS k, s_suppkey FROM supplier WHERE s_suppkey < 40)"
-
-
-@query("join_nulls_equal", f"SELECT a.k, a.s_suppkey, b.s_suppkey AS s_suppkey_right FROM {_NULLS} a JOIN {_NULLS} b ON a.k IS NOT DISTINCT FROM b.k")
-def join_nulls_equal(spark, d):
-    f = scan(spark, d, "supplier").filter(col("s_suppkey") < 40).select(when(col("s_suppkey") % 4 != 0).then(col("s_nationkey")).otherwise(lit(None)).alias("k"), "s_suppkey")
-    return f.join(f, on="k", nulls_equal=True)
-
-
-@query("join_nulls_apart", f"SELECT a.k, a.s_suppkey, b.s_suppkey AS s_suppkey_right FROM {_NULLS} a JOIN {_NULLS} b ON a.k = b.k")
-def join_nulls_apart(spark, d):
-    f = scan(spark, d, "supplier").filter(col("s_suppkey") < 40).select(when(col("s_suppkey") % 4 != 0).then(col("s_nationkey")).otherwise(lit(None)).alias("k"), "s_suppkey")
-    return f.join(f, on="k")
-
-
 _EVERY = "(SELECT CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_nationkey END AS k, s_suppkey FROM supplier)"
 
 
@@ -113,14 +64,14 @@ def _quarter_null(spark, d):
     return scan(spark, d, "supplier").select(when(col("s_suppkey") % 4 != 0).then(col("s_nationkey")).otherwise(lit(None)).alias("k"), "s_suppkey")
 
 
-@query("join_nulls_equal_whole", f"SELECT a.k, a.s_suppkey, b.s_suppkey AS s_suppkey_right FROM {_EVERY} a JOIN {_EVERY} b ON a.k IS NOT DISTINCT FROM b.k")
-def join_nulls_equal_whole(spark, d):
+@query("join_nulls_equal", f"SELECT a.k, a.s_suppkey, b.s_suppkey AS s_suppkey_right FROM {_EVERY} a JOIN {_EVERY} b ON a.k IS NOT DISTINCT FROM b.k")
+def join_nulls_equal(spark, d):
     f = _quarter_null(spark, d)
     return f.join(f, on="k", nulls_equal=True)
 
 
-@query("join_nulls_apart_whole", f"SELECT a.k, a.s_suppkey, b.s_suppkey AS s_suppkey_right FROM {_EVERY} a JOIN {_EVERY} b ON a.k = b.k")
-def join_nulls_apart_whole(spark, d):
+@query("join_nulls_apart", f"SELECT a.k, a.s_suppkey, b.s_suppkey AS s_suppkey_right FROM {_EVERY} a JOIN {_EVERY} b ON a.k = b.k")
+def join_nulls_apart(spark, d):
     f = _quarter_null(spark, d)
     return f.join(f, on="k")
 
@@ -212,33 +163,13 @@ def merge_sorted_frames(spark, d):
     return a.merge_sorted(b, "k").with_row_index("i").select("i", "k", "id")
 
 
-_NEW = "(SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE -c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)"
-
-
-def _update(how: str, nulls: bool, sql: str):
-    @query(f"update_{how}{'_nulls' if nulls else ''}", sql)
-    def run(spark, d):
-        c = scan(spark, d, "customer").select("c_custkey", "c_acctbal").filter(col("c_custkey") < 100)
-        new = scan(spark, d, "customer").filter(col("c_custkey") % 2 == 0).select("c_custkey", when(col("c_custkey") % 4 != 0).then(-col("c_acctbal")).otherwise(lit(None)).alias("c_acctbal"))
-        return c.update(new, "c_custkey", how, nulls)
-
-    return run
-
-
-_OLD = "(SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey < 100)"
-_update("left", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM {_OLD} o LEFT JOIN {_NEW} n USING (c_custkey)")
-_update("left", True, f"SELECT o.c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal ELSE o.c_acctbal END AS c_acctbal FROM {_OLD} o LEFT JOIN {_NEW} n USING (c_custkey)")
-_update("inner", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM {_OLD} o JOIN {_NEW} n USING (c_custkey)")
-_update("full", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM {_OLD} o FULL JOIN {_NEW} n USING (c_custkey)")
-
-
 _SHIFTED = "(SELECT CASE WHEN c_custkey % 2 = 1 THEN -c_custkey ELSE c_custkey END AS c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE -c_acctbal END AS c_acctbal FROM customer)"
 
 
-def _update_whole(how: str, nulls: bool, sql: str):
+def _update(how: str, nulls: bool, sql: str):
     """An update of every customer by as many rows, half of them of keys that no customer has."""
 
-    @query(f"update_{how}{'_nulls' if nulls else ''}_whole", sql)
+    @query(f"update_{how}{'_nulls' if nulls else ''}", sql)
     def run(spark, d):
         c = scan(spark, d, "customer").select("c_custkey", "c_acctbal")
         k = when(col("c_custkey") % 2 == 1).then(-col("c_custkey")).otherwise(col("c_custkey"))
@@ -248,10 +179,10 @@ def _update_whole(how: str, nulls: bool, sql: str):
     return run
 
 
-_update_whole("left", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o LEFT JOIN {_SHIFTED} n USING (c_custkey)")
-_update_whole("left", True, f"SELECT o.c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal ELSE o.c_acctbal END AS c_acctbal FROM customer o LEFT JOIN {_SHIFTED} n USING (c_custkey)")
-_update_whole("inner", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o JOIN {_SHIFTED} n USING (c_custkey)")
-_update_whole("full", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o FULL JOIN {_SHIFTED} n USING (c_custkey)")
+_update("left", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o LEFT JOIN {_SHIFTED} n USING (c_custkey)")
+_update("left", True, f"SELECT o.c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal ELSE o.c_acctbal END AS c_acctbal FROM customer o LEFT JOIN {_SHIFTED} n USING (c_custkey)")
+_update("inner", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o JOIN {_SHIFTED} n USING (c_custkey)")
+_update("full", False, f"SELECT c_custkey, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o FULL JOIN {_SHIFTED} n USING (c_custkey)")
 
 
 @query(

@@ -83,10 +83,11 @@ def array_extremes(spark, d):
     return scan(spark, d, "embeddings").select("vec_id", e.max().cast("double").alias("high"), e.arg_max().cast("int").alias("at"), e.first().cast("double").alias("first"))
 
 
-@query("array_width", "SELECT vec_id, round(list_sum(list_transform(embedding[1:3], lambda x: x::DOUBLE)), 6) AS s FROM embeddings")
+@query("array_width", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS s FROM embeddings")
 def array_width(spark, d):
-    e = col("embedding").list.head(3).list.to_array(3)
-    return scan(spark, d, "embeddings").select("vec_id", e.arr.to_list().list.sum().round(6).alias("s"))
+    f = scan(spark, d, "embeddings")
+    wide = col("embedding").list.eval(element().cast("double")).list.to_array(len(f.select("embedding").head(1).rows()[0][0]))
+    return f.select("vec_id", wide.arr.to_list().list.sum().round(5).alias("s"))
 
 
 _S = struct(col("c_custkey").alias("id"), col("c_name").alias("name"), col("c_acctbal").alias("bal"))

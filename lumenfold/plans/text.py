@@ -37,13 +37,10 @@ _docs("str_case", "replace(upper(text), 'ẞ', 'ß') AS up, lower(text) AS low",
 _docs("str_replace_all", "md5(replace(text, 'e', '3')) AS lit, md5(regexp_replace(text, '[aeiou]+', '_', 'g')) AS rx", lit=_t.str.replace_all("e", "3", literal=True)._map("md5", lambda c: _md5(c)), rx=_t.str.replace_all("[aeiou]+", "_")._map("md5", lambda c: _md5(c)))
 _docs("str_slices", "substr(text, 3, 10) AS mid, substr(text, 1, 5) AS head, CASE WHEN length(text) < 4 THEN text ELSE right(text, 4) END AS tail", mid=_t.str.slice(2, 10), head=_t.str.head(5), tail=_t.str.tail(4))
 _docs("str_strip", "trim(text, ' .') AS both, ltrim(text, 'ABCDEFG') AS start, rtrim(text, '.!?') AS stop", both=_t.str.strip_chars(" ."), start=_t.str.strip_chars_start("ABCDEFG"), stop=_t.str.strip_chars_end(".!?"))
-_docs("str_reverse", "reverse(left(text, 40)) AS r", r=_t.str.head(40).str.reverse())
 _docs("str_split", "len(string_split(text, ' '))::INTEGER AS n, string_split(text, ' ')[1] AS first", n=_t.str.split(" ").list.len(), first=_t.str.split(" ").list.first())
 _docs("str_contains_any", "contains(text, 'the') OR contains(text, 'que') AS hit, regexp_matches(text, '(?i)lor|ers') AS fold", hit=_t.str.contains_any(["the", "que"]), fold=_t.str.contains_any(["LOR", "ers"], ascii_case_insensitive=True))
-_docs("str_codecs", "lower(hex(encode(left(text, 20)))) AS hex, base64(encode(left(text, 20))) AS b64, left(text, 20) AS back", hex=_t.str.head(20).str.encode("hex"), b64=_t.str.head(20).str.encode("base64"), back=_t.str.head(20).str.encode("hex").str.decode("hex"))
-_docs("str_escape_regex", "count(*) OVER () AS n", n=_t.str.head(30).str.escape_regex().len())
-_docs("str_reverse_whole", "reverse(text) AS r", r=_t.str.reverse())
-_docs("str_codecs_whole", "lower(hex(encode(text))) AS hex, base64(encode(text)) AS b64, text AS back", hex=_t.str.encode("hex"), b64=_t.str.encode("base64"), back=_t.str.encode("hex").str.decode("hex"))
+_docs("str_reverse", "reverse(text) AS r", r=_t.str.reverse())
+_docs("str_codecs", "lower(hex(encode(text))) AS hex, base64(encode(text)) AS b64, text AS back", hex=_t.str.encode("hex"), b64=_t.str.encode("base64"), back=_t.str.encode("hex").str.decode("hex"))
 _names("str_replace_first", "regexp_replace(n, '[0-9]', 'x') AS one, regexp_replace(n, 'C', 'K') AS lit", one=_n.str.replace("[0-9]", "x"), lit=_n.str.replace("C", "K", literal=True))
 _names("str_replace_n", "regexp_replace(regexp_replace(n, '0', 'o'), '0', 'o') AS two", two=_n.str.replace_n("0", "o", literal=True, n=2))
 _names("str_replace_many", "replace(replace(replace(p, 'A', '4'), 'E', '3'), 'O', '0') AS leet", leet=_p.str.replace_many(["A", "E", "O"], ["4", "3", "0"]))
@@ -58,8 +55,8 @@ _names("str_compare_columns", "contains(n, left(n, 4)) AS own, starts_with(n, le
 _names("cat_functions", "CASE p WHEN 'BUILDING' THEN 0 WHEN 'FURNITURE' THEN 1 WHEN 'MACHINERY' THEN 2 END AS code, length(p)::INTEGER AS n, left(p, 3) AS s", code=_p.cat.physical(["BUILDING", "FURNITURE", "MACHINERY"]).cast("int"), n=_p.cat.len_chars(), s=_p.cat.slice(0, 3))
 
 
-@query("str_escape_regex_whole")
-def str_escape_regex_whole(spark, d):
+@query("str_escape_regex")
+def str_escape_regex(spark, d):
     return scan(spark, d, "documents").select("doc_id", _t.str.escape_regex().alias("escaped"))
 
 

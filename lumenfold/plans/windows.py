@@ -108,49 +108,14 @@ def _decay(num: str, keep: float = 0.5) -> str:
     return f"SELECT a.event_id, {num} FROM r a JOIN r b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY a.event_id"
 
 
-_R = "WITH r AS (SELECT user_id, event_id, value::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, epoch_us(ts) AS t FROM events WHERE user_id < 20) "
-
-
-@query("ewm_mean", _R + _decay("round(sum(pow(0.5, a.i - b.i) * b.v) / sum(pow(0.5, a.i - b.i)), 6) AS m"))
-def ewm_mean(spark, d):
-    return scan(spark, d, "events").filter(col("user_id") < 20).sort("event_id").select("event_id", col("value").ewm_mean(0.5).over("user_id", order_by="event_id").round(6).alias("m"))
-
-
-@query("ewm_mean_recursive", _R + _decay("round(sum(CASE WHEN b.i = 1 THEN 1 ELSE 1 / 3 END * pow(2 / 3, a.i - b.i) * b.v), 6) AS m"))
-def ewm_mean_recursive(spark, d):
-    return scan(spark, d, "events").filter(col("user_id") < 20).sort("event_id").select("event_id", col("value").ewm_mean(1 / 3, adjust=False).over("user_id", order_by="event_id").round(6).alias("m"))
-
-
 _W1, _W2, _M = "sum(pow(0.7, a.i - b.i))", "sum(pow(0.49, a.i - b.i))", "sum(pow(0.7, a.i - b.i) * b.v) / sum(pow(0.7, a.i - b.i))"
 
 
-@query("ewm_var", _R + _decay(f"CASE WHEN count(*) > 1 THEN round((sum(pow(0.7, a.i - b.i) * b.v * b.v) / {_W1} - ({_M}) ** 2) * {_W1} ** 2 / ({_W1} ** 2 - {_W2}), 5) END AS s"))
-def ewm_var(spark, d):
-    return scan(spark, d, "events").filter(col("user_id") < 20).sort("event_id").select("event_id", col("value").ewm_var(0.3).over("user_id", order_by="event_id").round(5).alias("s"))
-
-
-@query("ewm_sum", _R + _decay("round(sum(pow(2 / 3, a.i - b.i) * b.v), 6) AS s"))
-def ewm_sum(spark, d):
-    return scan(spark, d, "events").filter(col("user_id") < 20).sort("event_id").select("event_id", col("value").ewm_sum(1 / 3).over("user_id", order_by="event_id").round(6).alias("s"))
-
-
-@query(
-    "ewm_mean_by_time",
-    _R + """, p AS (SELECT *, 1 - pow(0.5, (t - lag(t) OVER (PARTITION BY user_id ORDER BY i)) / 86400000000.0) AS g FROM r)
-    SELECT event_id, round(m, 5) AS m FROM (SELECT a.event_id, sum(CASE WHEN b.i = 1 THEN 1 ELSE b.g END * pow(0.5, (a.t - b.t) / 86400000000.0) * b.v) AS m
-    FROM p a JOIN p b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY 1)""",
-)
-def ewm_mean_by_time(spark, d):
-    return scan(spark, d, "events").filter(col("user_id") < 20).select("event_id", col("value").ewm_mean_by("ts", "1d").over("user_id").round(5).alias("m"))
-
-
 _EVERY = "WITH r AS (SELECT user_id, event_id, value::DOUBLE AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, epoch_us(ts) AS t FROM events) "
 
 
-def _whole(name: str, sql: str, e):
-    """A decay over the events of all users; the query without ``_whole`` reads the users below 20 alone."""
-
-    @query(f"{name}_whole", _EVERY + sql)
+def _decaying(name: str, sql: str, e):
+    @query(name, _EVERY + sql)
     def run(spark, d):
         return scan(spark, d, "events").sort("event_id").select("event_id", e)
 
@@ -159,11 +124,11 @@ def _whole(name: str, sql: str, e):
 
 _in_order = {"order_by": "event_id"}
 _value = col("value")
-_whole("ewm_mean", _decay("round(sum(pow(0.5, a.i - b.i) * b.v) / sum(pow(0.5, a.i - b.i)), 6) AS m"), _value.ewm_mean(0.5).over("user_id", **_in_order).round(6).alias("m"))
-_whole("ewm_mean_recursive", _decay("round(sum(CASE WHEN b.i = 1 THEN 1 ELSE 1 / 3 END * pow(2 / 3, a.i - b.i) * b.v), 6) AS m"), _value.ewm_mean(1 / 3, adjust=False).over("user_id", **_in_order).round(6).alias("m"))
-_whole("ewm_var", _decay(f"CASE WHEN count(*) > 1 THEN round((sum(pow(0.7, a.i - b.i) * b.v * b.v) / {_W1} - ({_M}) ** 2) * {_W1} ** 2 / ({_W1} ** 2 - {_W2}), 5) END AS s"), _value.ewm_var(0.3).over("user_id", **_in_order).round(5).alias("s"))
-_whole("ewm_sum", _decay("round(sum(pow(2 / 3, a.i - b.i) * b.v), 6) AS s"), _value.ewm_sum(1 / 3).over("user_id", **_in_order).round(6).alias("s"))
-_whole(
+_decaying("ewm_mean", _decay("round(sum(pow(0.5, a.i - b.i) * b.v) / sum(pow(0.5, a.i - b.i)), 6) AS m"), _value.ewm_mean(0.5).over("user_id", **_in_order).round(6).alias("m"))
+_decaying("ewm_mean_recursive", _decay("round(sum(CASE WHEN b.i = 1 THEN 1 ELSE 1 / 3 END * pow(2 / 3, a.i - b.i) * b.v), 6) AS m"), _value.ewm_mean(1 / 3, adjust=False).over("user_id", **_in_order).round(6).alias("m"))
+_decaying("ewm_var", _decay(f"CASE WHEN count(*) > 1 THEN round((sum(pow(0.7, a.i - b.i) * b.v * b.v) / {_W1} - ({_M}) ** 2) * {_W1} ** 2 / ({_W1} ** 2 - {_W2}), 5) END AS s"), _value.ewm_var(0.3).over("user_id", **_in_order).round(5).alias("s"))
+_decaying("ewm_sum", _decay("round(sum(pow(2 / 3, a.i - b.i) * b.v), 6) AS s"), _value.ewm_sum(1 / 3).over("user_id", **_in_order).round(6).alias("s"))
+_decaying(
     "ewm_mean_by_time",
     """, p AS (SELECT *, 1 - pow(0.5, (t - lag(t) OVER (PARTITION BY user_id ORDER BY i)) / 86400000000.0) AS g FROM r)
     SELECT event_id, round(m, 5) AS m FROM (SELECT a.event_id, sum(CASE WHEN b.i = 1 THEN 1 ELSE b.g END * pow(0.5, (a.t - b.t) / 86400000000.0) * b.v) AS m
