@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables written in the shared folder: they cut lineage as checkpoints do.
+
+    A checkpoint keeps the size that its plan was estimated to have. In rounds of joins these estimates, products of products,
+    grow into numbers of millions of digits, and the driver into gigabytes. A table has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.where, self.paths = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, read from a table of their own."""
+        path = f"{self.where}/{uuid.uuid4().hex}"
+        self.paths.add(path)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._lumenfold_table = path
+        return out
+
+    def drop(self, *but: DataFrame) -> None:
+        """Delete all tables but these."""
+        held = {getattr(d, "_lumenfold_table", None) for d in but}
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths - held:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths &= held
+
+
 def met(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
     """``left`` with the rows of ``right`` for its ``keys``, or those that have one (left_semi). A key may have very many rows.
 

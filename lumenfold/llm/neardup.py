@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import bitmap, cut, marked, met
+from lumenfold.llm.common import Tables, bitmap, marked, met
 from lumenfold.llm.words import Words, chunks, grams, mix, texts_of
 
 #: Words of a shingle, the similarity of near-duplicates, and the bands with their registers each.
@@ -154,12 +154,12 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("pos", "text", F.xxhash64("pos").alias("hash")).mapInArrow(run, "pos bigint, text string")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similar: float, shingle: int) -> DataFrame:
+def _verified(kept: Tables, docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similar: float, shingle: int) -> DataFrame:
     """a, b of the pairs of ids (a > b) whose texts are similar.
 
     Only texts that are in pairs, and few others, are shuffled: see _likely().
     """
-    pairs = cut(pairs)
+    pairs = kept.keep(pairs)
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
     text = _likely(text, pairs.select(F.explode(F.array("a", "b")).alias("pos")))
     one = pairs.join(text, F.col("a") == F.col("pos")).select("a", "b", F.col("text").alias("text_a"))
@@ -167,15 +167,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sim
     both = one.join(two, F.col("b") == F.col("pos_b")).select("a", "b", "text_a", "text_b")
 
     def run(batches):
-        kept: dict = {}
+        seen: dict = {}
 
         def split(i, text):
             at = i, xxhash.xxh3_128_digest(text or b"")  # an id may have several texts
-            if at not in kept:
-                if len(kept) >= KEPT:
-                    del kept[next(iter(kept))]
-                kept[at] = weighted(text, shingle)
-            return kept[at]
+            if at not in seen:
+                if len(seen) >= KEPT:
+                    del seen[next(iter(seen))]
+                seen[at] = weighted(text, shingle)
+            return seen[at]
 
         for b in chunks(batches, "text_a"):
             a_id, b_id = (b.column(c).to_pylist() for c in ("a", "b"))
@@ -218,7 +218,7 @@ def prefixes(own: np.ndarray, key: np.ndarray, weight: np.ndarray, often: np.nda
     return order[keep], lead[keep]
 
 
-def _joinable(text: DataFrame, similar: float, shingle: int) -> DataFrame:
+def _joinable(kept: Tables, text: DataFrame, similar: float, shingle: int) -> DataFrame:
     """element, lead, pos, root: by which elements the texts (pos, root, text) may be similar to others; see prefixes().
 
     Batches of texts ask the elements' shards in how many texts of all batches each of theirs is; so a shingle that very
@@ -265,7 +265,7 @@ def _joinable(text: DataFrame, similar: float, shingle: int) -> DataFrame:
             out.append(pa.table({"element": p["key"][at].view(np.int64), "lead": lead, "pos": p["pos"][own], "root": p["root"][own]}))
         return pa.concat_tables(out)
 
-    asked = cut(text.mapInArrow(ask, "shard bigint, batch bigint, data binary"))
+    asked = kept.keep(text.mapInArrow(ask, "shard bigint, batch bigint, data binary"))
     answers = asked.filter("shard >= 0").groupBy("shard").applyInArrow(answer, "batch bigint, data binary")
     both = answers.union(asked.filter("shard < 0").select("batch", "data"))
     return both.groupBy("batch").applyInArrow(judge, "element bigint, lead double, pos bigint, root bigint")
@@ -274,16 +274,17 @@ def _joinable(text: DataFrame, similar: float, shingle: int) -> DataFrame:
 _ASK = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("data", pa.binary())])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, kept: Tables | None = None) -> DataFrame:
     """node, root (the smallest node that links lead to) of the nodes in ``links`` (a, b), by alternating stars.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the smallest it knows, until no link is
-    new: about log of the longest chain's length. A round is one query, kept by a reliable checkpoint, that counts its
+    new: about log of the longest chain's length. A round is one query, whose result is written as a table, that counts its
     links and those of them that the round before didn't have; nothing is collected.
     """
+    kept = kept or Tables(links.sparkSession)
     seen = Observation()
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = cut(edges.observe(seen, F.count(F.lit(1)).alias("n")))
+    edges = kept.keep(edges.observe(seen, F.count(F.lit(1)).alias("n")))
     n = seen.get["n"]
     while n:
         both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
@@ -296,7 +297,7 @@ def components(links: DataFrame) -> DataFrame:
         had = edges.select(F.col("a").alias("had_a"), F.col("b").alias("had_b"), F.lit(1).alias("had"))
         seen = Observation()
         small = small.join(had, (F.col("a") == F.col("had_a")) & (F.col("b") == F.col("had_b")), "left")
-        edges = cut(small.observe(seen, F.count(F.lit(1)).alias("n"), F.count("had").alias("had")).select("a", "b"))
+        edges = kept.keep(small.observe(seen, F.count(F.lit(1)).alias("n"), F.count("had").alias("had")).select("a", "b"))
         before, n = n, seen.get["n"]
         if n == before == seen.get["had"]:
             break
@@ -318,16 +319,16 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter("ra != rb")
 
 
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(kept: Tables, roots: DataFrame, links: DataFrame) -> DataFrame:
     """The classes after more links between nodes; only classes that are linked take part."""
-    links = cut(_across(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    links = kept.keep(_across(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     if links.isEmpty():
         return roots
-    more = components(links)
+    more = components(links, kept)
     old = roots.select("node", F.col("root").alias("old"))
     new = more.select(F.col("node").alias("old"), F.col("root").alias("new"))
     moved = met(old, new, "old", "left").select("node", F.coalesce("new", "old").alias("root"))
-    return cut(moved.union(more.select("node", "root")))
+    return kept.keep(moved.union(more.select("node", "root")))
 
 
 def _unordered(pairs: DataFrame, done: DataFrame) -> DataFrame:
@@ -354,41 +355,42 @@ def classes(
     that repeat an id are one document with several texts, and in one class. A null id is smaller than all others, and counts as one
     document. The id is an integer. An empty table gives no rows; only id and text are read.
     """
-    signed = cut(_signed(docs, id_col, text_col, bands, rows, shingle))
+    kept = Tables(docs.sparkSession)
+    signed = kept.keep(_signed(docs, id_col, text_col, bands, rows, shingle))
     copies = signed.filter("bands is not null").groupBy("c1", "c2").agg(F.min("pos").alias("rid"))
     copies = copies.select(F.bitwise_not("c1").alias("r1"), F.col("c2").alias("r2"), "rid")  # see met()
     same = (F.bitwise_not("c1") == F.col("r1")) & (F.col("c2") == F.col("r2"))
-    own = cut(signed.join(copies, same, "left").select("pos", F.coalesce("rid", "pos").alias("rid"), F.when(F.col("rid") == F.col("pos"), F.col("bands")).alias("bands")))
+    own = kept.keep(signed.join(copies, same, "left").select("pos", F.coalesce("rid", "pos").alias("rid"), F.when(F.col("rid") == F.col("pos"), F.col("bands")).alias("bands")))
     banded = own.filter("bands is not null").select("pos", F.explode("bands").alias("band"))
-    low = cut(banded.groupBy("band").agg(F.min("pos").alias("b"), F.max("pos").alias("most")).filter("most > b"))
+    low = kept.keep(banded.groupBy("band").agg(F.min("pos").alias("b"), F.max("pos").alias("most")).filter("most > b"))
     low = low.select(F.col("band").alias("in"), "b")
     held = banded.join(low, F.col("band") == F.col("in")).select("band", "pos", "b")
     stars = held.filter("pos != b").groupBy(F.col("pos").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
-    best = cut(stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+    best = kept.keep(stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
     several = own.groupBy("pos").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo != hi").select("pos")
     joint = own.filter("rid != pos").join(several, "pos", "left_semi").select(F.col("pos").alias("a"), F.col("rid").alias("b")).distinct()
-    verified = lambda pairs: _verified(docs, pairs, id_col, text_col, similar, shingle)
-    roots = components(verified(best).union(joint))
+    verified = lambda pairs: _verified(kept, docs, pairs, id_col, text_col, similar, shingle)
+    roots = components(verified(best).union(joint), kept)
     placed = held.join(roots, F.col("pos") == F.col("node"), "left").select("band", "pos", F.coalesce("root", "pos").alias("root"))
-    placed = cut(placed)
+    placed = kept.keep(placed)
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    mates = cut(met(placed, split, "band", "left_semi").select("pos", "root").distinct())
+    mates = kept.keep(met(placed, split, "band", "left_semi").select("pos", "root").distinct())
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
     text = _likely(text, mates.select("pos")).join(mates, "pos").select("pos", "root", "text")
     room = 1 / similar - 1 + 2 * SLACK
-    by = cut(_joinable(text, similar, shingle))
+    by = kept.keep(_joinable(kept, text, similar, shingle))
     # Each text with the one that has least before the element; then what is left between classes.
     first = by.groupBy("element").agg(F.min(F.struct("lead", "pos", "root")).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     first = first.filter("lo != hi").select("element", "f")
     near = met(by, first, "element").filter(f"root != f.root and pos != f.pos and lead + f.lead <= {room}")
     near = near.select(F.col("pos").alias("a"), F.col("f.pos").alias("b")).distinct()
-    near = cut(_unordered(near, best))
+    near = kept.keep(_unordered(near, best))
     _release(docs)
-    roots = _merged(roots, verified(near))
+    roots = _merged(kept, roots, verified(near))
     by = by.drop("root").join(roots, F.col("pos") == F.col("node"), "left").select("element", "lead", "pos", F.coalesce("root", "pos").alias("root"))
-    by = cut(by)
+    by = kept.keep(by)
     first = by.groupBy("element").agg(F.min(F.struct("lead", "root")).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    by = cut(met(by, first.filter("lo != hi").select("element", "f"), "element").filter(f"root = f.root or lead + f.lead <= {room}"))
+    by = kept.keep(met(by, first.filter("lo != hi").select("element", "f"), "element").filter(f"root = f.root or lead + f.lead <= {room}"))
     minor = by.filter("root != f.root")
     least = minor.groupBy("element").agg(F.min("lead").alias("least"))
     major = met(by.filter("root = f.root"), least, "element").filter(f"lead + least <= {room}")
@@ -397,7 +399,9 @@ def classes(
     two = minor.select("element", F.col("lead").alias("lead_x"), F.col("pos").alias("x"), F.col("root").alias("root_x"))
     across = met(one, two, "element").filter(f"root != root_x and pos != x and (major or pos < x) and lead + lead_x <= {room}")
     across = _unordered(across.select(F.col("pos").alias("a"), F.col("x").alias("b")).distinct(), best.union(near))
-    roots = _merged(roots, verified(across))
+    roots = _merged(kept, roots, verified(across))
+    roots = kept.keep(roots)
+    kept.drop(own, roots)
     out = own.join(roots, F.col("rid") == F.col("node"), "left").select("pos", F.coalesce("root", "rid").alias("root"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).cast(docs.schema[id_col].dataType)
     return out.select(null("pos").alias(id_col), null("root").alias("class_id"))
