@@ -38,7 +38,7 @@ _ALSO = {
     "CutLabels": "cut_options", "CutLeftClosed": "cut_options", "Reduce": "reductions", "ZFill": "str_padding", "EpochIn": "dt_epochs", "Timestamp": "dt_epochs", "TotalDays": "dt_durations", "TotalHours": "dt_durations",
     "TotalSeconds": "dt_durations", "SortWith": "arr_sort_with", "ColumnAt": "frame_columns_apart", "VStack": "frame_stacks", "DTypes": "frame_shape", "NullsFirst": "sort_nulls_first", "BottomKBy": "agg_top_k", "WindowClosed": "rolling_by_closed", "EwmAdjust": "ewm_mean_recursive",
     "EwmHalfLife": "ewm_std", "IgnoreNulls": "ewm_std", "Biased": "agg_moments", "RollingVarBy": "rolling_by_closed", "RollingQuantileBy": "rolling_by_closed", "InterpolateBy": "interpolate_by_time", "NoOffset": "dynamic_tumbling",
-    "ConcatArr": "concat_arrays", "ItemAt": "frame_cells",
+    "ConcatArr": "concat_arrays", "NewSchema": "frames_of_schemas", "MustSchema": "frames_of_schemas", "StructOf": "frames_of_schemas", "ValuesNullable": "frames_of_schemas", "TypedColumn": "frames_of_schemas", "ItemAt": "frame_cells",
 }
 
 

@@ -328,3 +328,9 @@ def database_cursor(spark, d):
     db.execute("CREATE TABLE supplier (s_suppkey INTEGER, s_name TEXT, s_acctbal REAL)")
     db.executemany("INSERT INTO supplier VALUES (?, ?, ?)", _suppliers(spark, d).rows())
     return io.read_cursor(spark, db.execute("SELECT s_suppkey, s_name, s_acctbal FROM supplier"), _SCHEMA)
+
+
+@query("frames_of_schemas", "SELECT * FROM (VALUES (1::BIGINT, 'a', 0.5::DOUBLE), (2, NULL, NULL)) t(k, s, x)")
+def frames_of_schemas(spark, d):
+    schema = io.schema_of_fields([("k", "bigint"), ("s", "string"), ("x", "double")])
+    return io.frame_of(spark, {"k": [1, 2], "s": ["a", None], "x": [0.5, None]}, schema)
