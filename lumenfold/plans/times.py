@@ -73,9 +73,9 @@ def dt_ranges(spark, d):
 _SINCE, _AGO = _ts - lit(dt.datetime(2024, 1, 1)), "(epoch_us(ts) - 1704067200000000)"
 _events(
     "dt_totals",
-    f"{_AGO} // 60000000 AS m, {_AGO} // 1000 AS ms, {_AGO} * 1000 AS ns, " + ", ".join(f"round({_AGO} / {u}, 6) AS {n}" for n, u in (("df", 86_400_000_000), ("mf", 60_000_000), ("sf", 1_000_000), ("msf", 1000), ("usf", 1))) + f", {_AGO} * 1000.0::DOUBLE AS nsf",
-    m=_SINCE.dt.total_minutes(), ms=_SINCE.dt.total_milliseconds(), ns=_SINCE.dt.total_nanoseconds(), df=_SINCE.dt.total_days_fractional().round(6), mf=_SINCE.dt.total_minutes_fractional().round(6),
-    sf=_SINCE.dt.total_seconds_fractional().round(6), msf=_SINCE.dt.total_milliseconds_fractional().round(6), usf=_SINCE.dt.total_microseconds_fractional().round(6), nsf=_SINCE.dt.total_nanoseconds_fractional(),
+    f"{_AGO} // 60000000 AS m, {_AGO} // 1000 AS ms, {_AGO} * 1000 AS ns, " + ", ".join(f"round({_AGO} / {u} * 0.97, 5) AS {n}" for n, u in (("df", 86_400_000_000), ("mf", 60_000_000), ("sf", 1_000_000), ("msf", 1000), ("usf", 1))) + f", {_AGO} * 1000.0::DOUBLE AS nsf",
+    m=_SINCE.dt.total_minutes(), ms=_SINCE.dt.total_milliseconds(), ns=_SINCE.dt.total_nanoseconds(), df=(_SINCE.dt.total_days_fractional() * 0.97).round(5), mf=(_SINCE.dt.total_minutes_fractional() * 0.97).round(5),
+    sf=(_SINCE.dt.total_seconds_fractional() * 0.97).round(5), msf=(_SINCE.dt.total_milliseconds_fractional() * 0.97).round(5), usf=(_SINCE.dt.total_microseconds_fractional() * 0.97).round(5), nsf=_SINCE.dt.total_nanoseconds_fractional(),
 )
 _events("dt_text_and_units", "strftime(ts, '%Y-%m-%dT%H') AS a, epoch_us(ts) AS same, epoch_us(ts) // 1000 AS ms", a=_ts.dt.to_string("%Y-%m-%dT%H"), same=_us(_ts.dt.with_time_unit("ms").dt.cast_time_unit("us")), ms=_ts.dt.epoch("ms").cast("bigint"))
 _events("str_parsed_times", "epoch_us(date_trunc('second', ts)) AS us", us=_us(_ts.dt.strftime("%Y-%m-%d %H:%M:%S").str.strptime("datetime", "%Y-%m-%d %H:%M:%S")))
