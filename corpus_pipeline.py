@@ -6,7 +6,7 @@ stage's documents. All stages but the last return the columns of ``documents``.
 Null and empty texts pass all stages but the last, which takes only documents that have words. A document of which line
 dedup leaves no word goes. Rows that repeat an id are judged by their own texts, but for near-duplicates, where they are
 one document; of rows that repeat an id and a text one stays there. An empty table gives no rows. Other columns are kept as
-they are, but for ``n_chars`` of texts that lost lines; the last stage adds ``taken``.
+they are, but for ``n_chars`` of texts that lost lines or passages; the last stage adds ``taken``.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of which a twentieth or more of the words is in 13-word windows of the benchmark."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents go of which a twentieth or more of the words is in 13-word windows of the benchmark; from others these words go."""
+    out = decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    n_chars = F.when(F.col("n_cut") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

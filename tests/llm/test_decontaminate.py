@@ -83,3 +83,34 @@ def test_very_long_text(spark):
     b = spark.createDataFrame([(4, own)], "item_id long, text string")
     got = {r.doc_id: r for r in d.verdicts(d.leaks(a, b)).collect()}
     assert (got[1].n_hit, got[1].contaminated, got[2].n_words) == (20, False, 1)
+
+
+def test_no_window_is_left(spark):
+    """Of what clean() keeps no word is in a window, and only words of windows are gone; drop_contaminated() leaves passages in."""
+    docs, items = passages(4)
+    r = random.Random(5)
+    own = [f"p{i}" for i in range(30)]
+    other = [f"q{i}" for i in range(20)]
+    items += [(90, " ".join(own)), (91, " ".join(other))]
+    long = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    nested = [*other[:10], *own, *other[10:]]  # what is left around the inner passage is one
+    docs += [(100, "\u00e9. " + ", ".join([*long(900), *own, *long(300)]) + " \u00fc!"), (101, "\n".join([*own, *long(900)])), (102, " ".join([*long(900), *nested, *long(900)]))]
+    docs += [(103, " ".join(long(900) + own[:12])), (103, " ".join([*long(900), *own, *long(3), *own, *long(900)]))]
+    items = [x for x in items if len((x[1] or "").split()) >= 13]
+    rows = [(i, t, n, "s", 7) for n, (i, t) in enumerate(docs)]
+    a = spark.createDataFrame(rows, "doc_id long, text string, n int, k1 string, left int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = d.brute_force(docs, items)
+    got = {x.n: x for x in d.clean(a, b).collect()}
+    nested_at = next(n for n, x in enumerate(docs) if x[0] == 102)
+    assert sorted(got) == [n for n, x in enumerate(found) if not x[5] and n != nested_at]
+    assert all(x[2] == 0 for x in d.brute_force([(n, x.text) for n, x in got.items()], items))
+    for n, x in got.items():
+        assert (x.n_cut, x.doc_id, x.k1, x.left) == (found[n][2], docs[n][0], "s", 7)
+        assert d.brute_force([(1, x.text)], [])[0][1] == found[n][1] - x.n_cut
+        assert x.n_cut or x.text == docs[n][1]
+    assert sorted(x.n_cut for x in got.values())[-3:] == [30, 30, 60]
+    assert next(x.text for x in got.values() if x.doc_id == 100) == docs[-5][1].replace(", ".join(own) + ", ", "")
+    left = [(x.n, x.text) for x in d.drop_contaminated(a, b).collect()]
+    assert any(x[2] for x in d.brute_force(left, items))
+    assert sorted((x.n, x.text) for x in d.clean(a, b.filter("false")).collect()) == sorted((x[2], x[1]) for x in rows)

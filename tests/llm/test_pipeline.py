@@ -68,3 +68,13 @@ def test_run(spark, tables):
     out = p.run(spark, tables)
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) and len(ids) > 150 and out.columns[-1] == "taken"
+
+
+def test_long_documents_lose_passages(spark, tables):
+    """A passage of less than a twentieth of its document is cut out, and n_chars follows."""
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").collect()[0].text
+    r = random.Random(3)
+    own = " ".join(f"v{r.randrange(10**6)}" for _ in range(1000))
+    docs = spark.createDataFrame([(1, f"{own} {item} {own}", "en", "s", 5), (2, own, "en", "s", 5)], DOCS)
+    got = {x.doc_id: (x.text, x.n_chars) for x in p.drop_contaminated(spark, docs, tables).collect()}
+    assert got == {1: (f"{own} {own}", 2 * len(own) + 1), 2: (own, 5)}
