@@ -154,7 +154,7 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("pos", "text", F.xxhash64("pos").alias("hash")).mapInArrow(run, "pos bigint, text string")
 
 
-def _verified(kept: Tables, docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similar: float, shingle: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, kept: Tables, id_col: str, text_col: str, similar: float, shingle: int) -> DataFrame:
     """a, b of the pairs of ids (a > b) whose texts are similar.
 
     Only texts that are in pairs, and few others, are shuffled: see _likely().
@@ -369,7 +369,7 @@ def classes(
     best = kept.keep(stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
     several = own.groupBy("pos").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo != hi").select("pos")
     joint = own.filter("rid != pos").join(several, "pos", "left_semi").select(F.col("pos").alias("a"), F.col("rid").alias("b")).distinct()
-    verified = lambda pairs: _verified(kept, docs, pairs, id_col, text_col, similar, shingle)
+    verified = lambda pairs: _verified(docs, pairs, kept, id_col, text_col, similar, shingle)
     roots = components(verified(best).union(joint), kept)
     placed = held.join(roots, F.col("pos") == F.col("node"), "left").select("band", "pos", F.coalesce("root", "pos").alias("root"))
     placed = kept.keep(placed)
