@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,18 @@ class Tables:
         self.paths &= held
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Queries that run meanwhile hand at most so many rows at once to Python: both processes hold a batch whole, and the JVM twice as it grows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def met(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
     """``left`` with the rows of ``right`` for its ``keys``, or those that have one (left_semi). A key may have very many rows.
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import Tables, bitmap, marked, met
+from lumenfold.llm.common import Tables, batches_of, bitmap, marked, met
 from lumenfold.llm.words import Words, chunks, grams, mix, texts_of
 
 #: Words of a shingle, the similarity of near-duplicates, and the bands with their registers each.
@@ -36,6 +36,8 @@ FILTER_BITS = 1 << 23
 SHARD_BYTES = 1 << 20
 #: Texts that a task keeps split into elements while it verifies pairs.
 KEPT = 2048
+#: Rows that go to Python at once.
+BATCH_ROWS = 2048
 NO_ID = -(1 << 63)
 #: Room for rounding in bounds of the similarity.
 SLACK = 1e-6
@@ -355,6 +357,12 @@ def classes(
     that repeat an id are one document with several texts, and in one class. A null id is smaller than all others, and counts as one
     document. The id is an integer. An empty table gives no rows; only id and text are read.
     """
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _classes(docs, id_col, text_col, similar, bands, rows, shingle)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float, bands: int, rows: int, shingle: int) -> DataFrame:
+    """classes(); all that runs Python has run when it returns."""
     kept = Tables(docs.sparkSession)
     signed = kept.keep(_signed(docs, id_col, text_col, bands, rows, shingle))
     copies = signed.filter("bands is not null").groupBy("c1", "c2").agg(F.min("pos").alias("rid"))

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenfold.llm import neardup
+from lumenfold.llm.common import batches_of
 
 SCHEMA = "doc_id long, text string, pos int, class_id string"
 
@@ -159,3 +161,23 @@ def test_texts_around_a_common_passage_are_not_paired(spark, monkeypatch):
     got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == neardup.brute_force([x[:2] for x in rows])
     assert tried[1] + tried[2] < 300, tried
+
+
+def test_batches_for_python_are_bounded(spark, monkeypatch):
+    """Whatever runs Python in classes() gets few rows at once; the session's setting is as before afterwards."""
+    key, sizes, own = "spark.sql.execution.arrow.maxRecordsPerBatch", [], neardup._verified
+    before = spark.conf.get(key)
+
+    def counted(docs, *rest):
+        n = spark.range(0, 3000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        sizes.extend(r.n for r in n.collect())
+        return own(docs, *rest)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    neardup.classes(spark.createDataFrame([(1, "a b c d e f", 1, ""), (2, "a b c d e f g", 1, "")], SCHEMA)).collect()
+    assert sum(sizes) == 9000 and max(sizes) <= neardup.BATCH_ROWS < 3000
+    assert spark.conf.get(key) == before
+    with pytest.raises(ValueError), batches_of(spark, 7):
+        assert spark.conf.get(key) == "7"
+        raise ValueError
+    assert spark.conf.get(key) == before
