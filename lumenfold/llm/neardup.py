@@ -8,9 +8,11 @@ register with the probability of their probability Jaccard similarity, which doe
 Registers are cut into bands. Every text is paired with the smallest id of the bucket that it shares most often, and pairs
 are verified on the texts themselves; after that only pairs whose texts are in different classes of one bucket are left to
 verify. Those aren't all made: the texts of buckets with several classes are joined on their rarest elements, and only
-where both texts' rarer elements leave room for the similarity that is asked for; see prefixes(). So no pair of a bucket is
-lost, and neither the members of a class nor the fringe of a large group are paired among each other. Exact copies share
-one text and are never paired at all.
+where both texts' rarer elements leave room for the similarity that is asked for; see prefixes(). Where very many texts
+share elements, as copies around one text do, common elements say little: these are compared by how they differ from a text
+in their midst and joined on their rarest differences; see differences(). So no pair of a bucket is lost, and neither the
+members of a class nor the fringe of a large group are paired among each other. Exact copies share one text and are never
+paired at all.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ FILTER_BITS = 1 << 23
 SHARD_BYTES = 1 << 20
 #: Texts that a task keeps split into elements while it verifies pairs.
 KEPT = 2048
+#: Texts that share an element from which on they are joined on differences rather than on elements. Either way is exact.
+CROWD = 100
 #: Rows that go to Python at once.
 BATCH_ROWS = 2048
 NO_ID = -(1 << 63)
@@ -220,22 +224,105 @@ def prefixes(own: np.ndarray, key: np.ndarray, weight: np.ndarray, often: np.nda
     return order[keep], lead[keep]
 
 
+def differences(own: np.ndarray, key: np.ndarray, weight: np.ndarray, bases: list[np.ndarray], names: list[int]):
+    """Text number, key, weight and kind of what tells each text from its base, a sorted array of elements with a name.
+
+    Kind 1: an element that the base doesn't have. Kind 0: one of the base's that the text doesn't have; its weight is 1, the
+    least that any text gives it. Kind 2: one key that all texts of a base have. Keys are of one base.
+    """
+    first = np.searchsorted(own, np.arange(len(bases) + 1))
+    out = []
+    for i, (base, name) in enumerate(zip(bases, names, strict=True)):
+        k, w, salt = key[first[i] : first[i + 1]], weight[first[i] : first[i + 1]], np.uint64(name)
+        more, less = ~np.isin(k, base, assume_unique=True), base[~np.isin(base, k, assume_unique=True)]
+        keys = mix(np.concatenate([k[more] ^ salt, ~(less ^ salt), [salt]]))
+        kinds = np.repeat(np.array([1, 0, 2], np.int8), [more.sum(), len(less), 1])
+        out.append((np.full(len(keys), i), keys, np.concatenate([w[more], np.ones(len(less)), [0.0]]), kinds))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def apart(own: np.ndarray, key: np.ndarray, weight: np.ndarray, kind: np.ndarray, often: np.ndarray, total: np.ndarray, similar: float):
+    """Places of the differences by which texts are joined, and of each the weight ``more`` and number ``less`` before it.
+
+    A difference's place in its text goes by how many texts have it, kind 2 last. Take two texts x and y of one base whose first
+    common difference has ``more``, ``less`` before it in x and ``more'``, ``less'`` in y, and which lack ``lacks`` and ``lacks'`` of
+    the base's elements in all. What comes before is not common. They lack at most s = min(lacks - less, lacks' - less')
+    elements both, and what only one of them lacks the other has, with a weight of 1 or more. So x has p >= more + lacks' - s
+    that y doesn't have, and y q >= more' + lacks - s that x doesn't have, and by prefixes() the similarity is
+    1 / (1 + p / (X - p) + q / (Y - q)) at most: see FITS. As every text has the base's kind 2, any two have a first common difference.
+    """
+    order = np.lexsort((key, np.where(kind == 2, np.iinfo(np.int64).max, often), own))
+    own, weight, kind = own[order], weight[order], kind[order]
+    start = np.searchsorted(own, own)
+
+    def before(x):
+        upto = np.append(0.0, np.cumsum(x))
+        return np.maximum(0.0, upto[:-1] - upto[start])
+
+    more, less = before(np.where(kind == 1, weight, 0.0)), before((kind == 0).astype(float))
+    keep = ((often[order] > 1) | (kind == 2)) & (more <= (1 / similar - 1 + SLACK) * (total[own] - more + SLACK))
+    return order[keep], more[keep], less[keep]
+
+
+#: Whether two texts that meet in a difference may be similar; see apart(). The first is what a text needs of the element's others.
+FITS_ANY = "more + lacks + least <= {room} * most + 1e-6"
+FITS = (
+    "more + lacks_x - both < total and more_x + lacks - both < total_x and (more + lacks_x - both) * (total_x - more_x - lacks + both)"
+    " + (more_x + lacks - both) * (total - more - lacks_x + both) <= {room} * (total - more - lacks_x + both) * (total_x - more_x - lacks + both) + 1e-6"
+).replace("both", "least(lacks - less, lacks_x - less_x)")
+
+
 def _joinable(kept: Tables, text: DataFrame, similar: float, shingle: int) -> DataFrame:
-    """element, lead, pos, root: by which elements the texts (pos, root, text) may be similar to others; see prefixes().
+    """element, lead, pos, root: by which elements the texts (pos, root, text) may be similar to others; see prefixes()."""
+
+    def split(b):
+        own, key, weight = elements(texts_of(b, "text"), shingle)
+        return {"own": own.astype(np.int32), "key": key, "weight": weight}
+
+    def judged(p, often):
+        at, lead = prefixes(p["own"], p["key"], p["weight"], often, len(p["pos"]), similar)
+        return at, {"lead": lead}
+
+    return _counted(kept, text, split, judged, ["lead"])
+
+
+def _differing(kept: Tables, text: DataFrame, similar: float, shingle: int) -> DataFrame:
+    """element, more, less, lacks, total, pos, root: by which differences from ``base`` the texts (pos, root, text, base) may be similar to others; see apart()."""
 
-    Batches of texts ask the elements' shards in how many texts of all batches each of theirs is; so a shingle that very
-    many texts have makes a row for each batch, not for each text. Batches' texts travel as their elements.
+    def split(b):
+        own, key, weight = elements(texts_of(b, "text"), shingle)
+        total = np.bincount(own, weight, b.num_rows)
+        number: dict = {}
+        at = [number.setdefault(t or b"", len(number)) for t in texts_of(b, "base")]
+        bases, names = [weighted(t, shingle)[0] for t in number], [xxhash.xxh64_intdigest(t) for t in number]
+        own, key, weight, kind = differences(own, key, weight, [bases[i] for i in at], [names[i] for i in at])
+        return {"own": own.astype(np.int32), "key": key, "weight": weight, "kind": kind, "total": total}
+
+    def judged(p, often):
+        at, more, less = apart(p["own"], p["key"], p["weight"], p["kind"], often, p["total"], similar)
+        own = p["own"][at]
+        lacks = np.bincount(p["own"], p["kind"] == 0, len(p["pos"]))
+        return at, {"more": more, "less": less, "lacks": lacks[own], "total": p["total"][own]}
+
+    return _counted(kept, text, split, judged, ["more", "less", "lacks", "total"])
+
+
+def _counted(kept: Tables, text: DataFrame, split, judged, names: list[str]) -> DataFrame:
+    """element, ``names``, pos, root: those keys that ``judged`` keeps of what ``split`` makes of the texts (pos, root, text).
+
+    Batches of texts ask the keys' shards in how many texts of all batches each of theirs is; so a key that very many texts
+    have makes a row for each batch, not for each text. Batches' texts travel as their keys.
     """
     size = text.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     shards = size // SHARD_BYTES + 1
 
     def ask(batches):
-        for b in chunks(batches, "text"):
+        for b in (b for b in chunks(batches, "text") if b.num_rows):
             pos, root = (np.array(b.column(c).to_pylist(), np.int64) for c in ("pos", "root"))
-            own, key, weight = elements(texts_of(b, "text"), shingle)
-            keys, n = np.unique(key, return_counts=True)
+            own = split(b)
+            keys, n = np.unique(own["key"], return_counts=True)
             name = int(xxhash.xxh64_intdigest(pos.tobytes())) >> 1
-            rows = [(-1, name, _pack(pos=pos, root=root, own=own.astype(np.int32), key=key, weight=weight))]
+            rows = [(-1, name, _pack(pos=pos, root=root, **own))]
             shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
             for s in np.unique(shard):
                 rows.append((int(s), name, _pack(keys=keys[shard == s], n=n[shard == s])))
@@ -258,19 +345,20 @@ def _joinable(kept: Tables, text: DataFrame, similar: float, shingle: int) -> Da
         keys, n = (np.concatenate([p[c] for p in found] or [np.empty(0, kind)]) for c, kind in (("keys", np.uint64), ("n", np.int64)))
         order = np.argsort(keys)
         keys, n = np.append(keys[order], np.uint64(0)), np.append(n[order], 1)
-        out = [pa.table({c: pa.array([], kind) for c, kind in (("element", pa.int64()), ("lead", pa.float64()), ("pos", pa.int64()), ("root", pa.int64()))})]
+        columns = [("element", pa.int64()), *((c, pa.float64()) for c in names), ("pos", pa.int64()), ("root", pa.int64())]
+        out = [pa.table({c: pa.array([], kind) for c, kind in columns})]
         for p in (p for p in parts if "pos" in p):
             at = np.searchsorted(keys[:-1], p["key"])
             often = np.where((keys[at] == p["key"]) & (at < len(keys) - 1), n[at], 1)
-            at, lead = prefixes(p["own"], p["key"], p["weight"], often, len(p["pos"]), similar)
+            at, values = judged(p, often)
             own = p["own"][at]
-            out.append(pa.table({"element": p["key"][at].view(np.int64), "lead": lead, "pos": p["pos"][own], "root": p["root"][own]}))
+            out.append(pa.table({"element": p["key"][at].view(np.int64), **values, "pos": p["pos"][own], "root": p["root"][own]}))
         return pa.concat_tables(out)
 
     asked = kept.keep(text.mapInArrow(ask, "shard bigint, batch bigint, data binary"))
     answers = asked.filter("shard >= 0").groupBy("shard").applyInArrow(answer, "batch bigint, data binary")
     both = answers.union(asked.filter("shard < 0").select("batch", "data"))
-    return both.groupBy("batch").applyInArrow(judge, "element bigint, lead double, pos bigint, root bigint")
+    return both.groupBy("batch").applyInArrow(judge, f"element bigint, {', '.join(f'{c} double' for c in names)}, pos bigint, root bigint")
 
 
 _ASK = pa.schema([("shard", pa.int64()), ("batch", pa.int64()), ("data", pa.binary())])
@@ -340,6 +428,43 @@ def _unordered(pairs: DataFrame, done: DataFrame) -> DataFrame:
     return pairs.join(order(done), ["hi", "lo"], "left_anti").select("a", "b")
 
 
+def _sided(kept: Tables, by: DataFrame, side: str) -> DataFrame:
+    """The rows of elements that several sides have, with ``big``, the side that has most of the element's rows."""
+    many = by.groupBy("element", side).count().groupBy("element")
+    many = many.agg(F.max_by(side, F.struct("count", side)).alias("big"), F.count(F.lit(1)).alias("sides")).filter("sides > 1")
+    return kept.keep(met(by, many.drop("sides"), "element"))
+
+
+def _paired(by: DataFrame, side: str, fits: str) -> DataFrame:
+    """a, b of the rows that share an element, are of different classes and sides, and fit: the element's ``big`` side with all others, and these with each other."""
+    two = by.filter(f"{side} != big").drop("big").withColumnsRenamed({c: f"{c}_x" for c in by.columns if c != "element"})
+    which = f"root != root_x and pos != pos_x and ({side} = big or pos < pos_x) and {side} != {side}_x"
+    return met(by, two, "element").filter(f"{which} and {fits}").select(F.col("pos").alias("a"), F.col("pos_x").alias("b"))
+
+
+def _crowded(kept: Tables, by: DataFrame) -> DataFrame:
+    """pos, root, crowd, base of the texts in elements that CROWD texts have: the class in whose midst each is, and that class's text with least rare elements."""
+    many = by.groupBy("element").count().filter(f"count >= {CROWD}").select("element")
+    rows = met(by, many, "element", "left_semi").groupBy("pos", "root", F.col("f.root").alias("crowd")).agg(F.count(F.lit(1)).alias("n"), F.min("lead").alias("lead"))
+    rows = kept.keep(rows)
+    base = rows.filter("root = crowd").groupBy("crowd").agg(F.min(F.struct("lead", "pos")).alias("least"))
+    base = base.select(F.col("crowd").alias("of"), F.col("least.pos").alias("base"))
+    held = rows.groupBy("pos", "root").agg(F.max_by("crowd", F.struct("n", "crowd")).alias("crowd"))
+    return kept.keep(met(held, base.withColumnRenamed("of", "crowd"), "crowd"))
+
+
+def _among(kept: Tables, plain: DataFrame, crowd: DataFrame, room: float, similar: float, shingle: int) -> DataFrame:
+    """a, b of the texts (pos, text) of one crowd and different classes that may be similar by their differences from its base; see apart()."""
+    text = _likely(plain, crowd.select("pos")).join(crowd, "pos").select("pos", "root", "text", "base")
+    bases = crowd.select(F.col("base").alias("pos")).distinct()
+    bases = _likely(plain, bases).join(bases, "pos").select(F.col("pos").alias("base"), F.col("text").alias("base_text")).distinct()
+    text = met(text, bases, "base").select("pos", "root", "text", F.col("base_text").alias("base"))
+    by = kept.keep(_differing(kept, text, similar, shingle))
+    some = by.groupBy("element").agg(F.max("total").alias("most"), F.min(F.col("more") - F.col("lacks")).alias("least"))
+    by = met(by, some, "element").filter(FITS_ANY.format(room=room)).drop("most", "least")
+    return _paired(_sided(kept, by, "root"), "root", FITS.format(room=room))
+
+
 def classes(
     docs: DataFrame,
     *,
@@ -383,8 +508,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float, bands:
     placed = kept.keep(placed)
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
     mates = kept.keep(met(placed, split, "band", "left_semi").select("pos", "root").distinct())
-    text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
-    text = _likely(text, mates.select("pos")).join(mates, "pos").select("pos", "root", "text")
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("pos"), F.col(text_col).alias("text"))
+    text = _likely(plain, mates.select("pos")).join(mates, "pos").select("pos", "root", "text")
     room = 1 / similar - 1 + 2 * SLACK
     by = kept.keep(_joinable(kept, text, similar, shingle))
     # Each text with the one that has least before the element; then what is left between classes.
@@ -399,14 +524,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similar: float, bands:
     by = kept.keep(by)
     first = by.groupBy("element").agg(F.min(F.struct("lead", "root")).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     by = kept.keep(met(by, first.filter("lo != hi").select("element", "f"), "element").filter(f"root = f.root or lead + f.lead <= {room}"))
-    minor = by.filter("root != f.root")
-    least = minor.groupBy("element").agg(F.min("lead").alias("least"))
-    major = met(by.filter("root = f.root"), least, "element").filter(f"lead + least <= {room}")
-    minor = minor.select("element", "lead", "pos", "root")
-    one = major.select("element", "lead", "pos", "root", F.lit(True).alias("major")).union(minor.withColumn("major", F.lit(False)))
-    two = minor.select("element", F.col("lead").alias("lead_x"), F.col("pos").alias("x"), F.col("root").alias("root_x"))
-    across = met(one, two, "element").filter(f"root != root_x and pos != x and (major or pos < x) and lead + lead_x <= {room}")
-    across = _unordered(across.select(F.col("pos").alias("a"), F.col("x").alias("b")).distinct(), best.union(near))
+    crowd, across = _crowded(kept, by), None
+    if crowd.isEmpty():
+        by = by.withColumn("side", F.struct(F.lit(False).alias("crowded"), F.col("root").alias("id")))
+    else:
+        across = _among(kept, plain, crowd, room, similar, shingle)
+        own_crowd = crowd.select("pos", F.col("crowd").alias("in"))
+        side = F.struct(F.col("in").isNotNull().alias("crowded"), F.coalesce("in", "root").alias("id"))
+        by = met(by, own_crowd, "pos", "left").withColumn("side", side).drop("in")
+    by = _sided(kept, by.drop("f"), "side")
+    least = by.filter("side != big").groupBy("element").agg(F.min("lead").alias("least"))
+    by = met(by, least, "element").filter(f"side != big or lead + least <= {room}").drop("least")
+    pairs = _paired(by, "side", f"lead + lead_x <= {room}")
+    across = _unordered((pairs if across is None else pairs.union(across)).distinct(), best.union(near))
     roots = _merged(kept, roots, verified(across))
     roots = kept.keep(roots)
     kept.drop(own, roots)

@@ -97,6 +97,89 @@ def test_a_large_group_with_a_fringe(spark, monkeypatch, shard):
     assert got == want and 5 < len(set(want.values())) < 200
 
 
+def around(r, n, words, base, edits):
+    """Texts around one of ``words`` words that isn't there unless ``base``: words replaced, dropped, put in and doubled, some in common."""
+    own = [f"w{r.randrange(900)}" for _ in range(words)]
+    extra, out = [f"c{i}" for i in range(4)], [" ".join(own)] * base
+    while len(out) < n:
+        text = list(own)
+        for _ in range(r.randrange(edits)):
+            at, new = r.randrange(len(text)), r.choice([*extra, f"x{r.randrange(10**6)}"])
+            text[at : at + 1] = r.choice([[new], [new], [], [text[at], new], [text[at]] * 2])
+        out.append(" ".join(text + text[: r.choice([0, 0, 0, 30])]))
+    r.shuffle(out)
+    return out
+
+
+def test_a_crowd_around_a_text_is_not_paired(spark, monkeypatch):
+    """Of a class and the texts around it that are below the threshold to all of it, few pairs are left to verify."""
+    r, tried, own = random.Random(8), [], neardup._verified
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 250):
+        text = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 3, 4, 5, 6])):
+            text[at] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+
+    def counted(docs, pairs, *rest):
+        tried.append(pairs.count())
+        return own(docs, pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame([(*x, 1, "") for x in rows], SCHEMA)).collect()}
+    want = neardup.brute_force(rows)
+    assert got == want and 60 < len(set(want.values())) < 200
+    print("pairs verified:", tried)
+    assert tried[2] < 250, tried
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_crowds_lose_no_link(spark, monkeypatch, seed):
+    """Every element's texts are a crowd: those of several bases, of which some are no text themselves."""
+    monkeypatch.setattr(neardup, "CROWD", 2)
+    r = random.Random(seed)
+    texts = [t for k in range(3) for t in around(r, 40, r.choice([30, 60, 120]), k % 2, r.choice([5, 9]))]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame([(*x, 1, "") for x in rows], SCHEMA)).collect()}
+    assert got == neardup.brute_force(rows)
+
+
+@pytest.mark.parametrize("similar", [0.8, 0.5])
+def test_similar_texts_meet_in_a_difference(similar):
+    """Any two similar texts of one base have a common difference at which the joins' conditions hold."""
+    r, met = random.Random(5), 0
+    fits = neardup.FITS.replace("least(", "min(")
+    room = 1 / similar - 1 + 2 * neardup.SLACK
+    for _ in range(120):
+        texts = [t.encode() for t in around(r, 8, r.choice([8, 20, 40]), 0, 5)]
+        n = len(texts)
+        own, key, weight = neardup.elements(texts)
+        base = neardup.weighted(texts[0])[0]
+        total = np.bincount(own, weight, n)
+        own, key, weight, kind = neardup.differences(own, key, weight, [base] * n, [7] * n)
+        keys, at, count = np.unique(key, return_inverse=True, return_counts=True)
+        lacks = np.bincount(own, kind == 0, n)
+        at, more, less = neardup.apart(own, key, weight, kind, count[at], total, similar)
+        rows = [{} for _ in texts]
+        for i, m, s in zip(at, more, less, strict=True):
+            rows[own[i]][key[i]] = {"more": m, "less": s, "lacks": lacks[own[i]], "total": total[own[i]]}
+        sets = [neardup.weighted(t) for t in texts]
+        for i in range(n):
+            for j in range(i):
+                if neardup.similarity(sets[i], sets[j]) >= similar:
+                    met += 1
+                    good = False
+                    for k in rows[i].keys() & rows[j].keys():
+                        x, y = rows[i][k], rows[j][k]
+                        held = [d[k] for d in rows if k in d]
+                        some = {"most": max(d["total"] for d in held), "least": min(d["more"] - d["lacks"] for d in held)}
+                        each = all(eval(neardup.FITS_ANY.format(room=room), {}, d | some) for d in (x, y))
+                        good |= each and eval(fits.format(room=room), {}, x | {f"{c}_x": v for c, v in y.items()} | {"min": min})
+                    assert good
+    assert met > 100
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(neardup, "FILTER_BITS", 32)
     long = " ".join(f"w{i}" for i in range(60_000))
