@@ -1645,7 +1645,16 @@ def _pair(label: str, fn):
     return make
 
 
-corr = _pair("corr", lambda x, a, b: F.coalesce(x.agg(F.corr(a, b)), F.lit(math.nan)))
+def pearson(a: Column, b: Column, agg=lambda c: c) -> Column:
+    """Pearson's correlation of the rows that have both values; NaN where one of them doesn't vary, null without rows.
+    Spark's own divides by that zero, which is an error by ANSI's rules."""
+    both = a.isNotNull() & b.isNotNull()
+    p, q = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    spread = F.sqrt(agg(F.var_pop(p))) * F.sqrt(agg(F.var_pop(q)))
+    return F.when(spread == 0, math.nan).otherwise(agg(F.covar_pop(p, q)) / F.nullif(spread, F.lit(0.0)))
+
+
+corr = _pair("corr", lambda x, a, b: F.coalesce(pearson(a, b, x.agg), F.lit(math.nan)))
 
 
 def _cov(x, a, b, ddof=1):
@@ -1668,7 +1677,7 @@ def spearman(a, b) -> Expr:
             peers = F.count(F.lit(1)).over(Window.partitionBy(*part, c))
             return x.stage(F.when(full, place + (peers - 1) / 2))
 
-        return F.coalesce(x.agg(F.corr(ranked(p), ranked(q))), F.lit(math.nan))
+        return F.coalesce(pearson(ranked(p), ranked(q), x.agg), F.lit(math.nan))
 
     return to_expr(a)._agg("spearman", fn, b)
 
@@ -1678,7 +1687,7 @@ def rolling_cov(a, b, size: int, **o) -> Expr:
 
 
 def rolling_corr(a, b, size: int, **o) -> Expr:
-    return to_expr(a)._roll("rolling_corr", size, lambda c, w, d: F.corr(c, d).over(w), b, **o)
+    return to_expr(a)._roll("rolling_corr", size, lambda c, w, d: pearson(c, d, lambda a: a.over(w)), b, **o)
 
 
 def _horizontal(label: str, fn):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.functions import selectors
-from lumenfold.functions.expr import FLOATS, INTS, ROW, Ctx, Expr, SortKey, all_, asc, col, to_expr
+from lumenfold.functions.expr import FLOATS, INTS, ROW, Ctx, Expr, SortKey, all_, asc, col, pearson, to_expr
 
 _NUMBERS = (*INTS, *FLOATS, T.DecimalType)
 
@@ -546,7 +546,7 @@ class Frame:
     def corr(self) -> Frame:
         """The matrix of Pearson correlations, in one pass."""
         names = [f.name for f in self.schema.fields if isinstance(f.dataType, _NUMBERS)]
-        cells = [F.coalesce(F.corr(a, b), F.lit(math.nan)).alias(f"{a}|{b}") for a in names for b in names]
+        cells = [F.coalesce(pearson(F.col(f"`{a}`"), F.col(f"`{b}`")), F.lit(math.nan)).alias(f"{a}|{b}") for a in names for b in names]
         rows = F.array(*[F.struct(F.lit(a).alias("column"), *[F.col(f"`{a}|{b}`").alias(b) for b in names]) for a in names])
         return Frame(self.df.agg(*cells).select(F.explode(rows).alias("r")).select("r.*"))
 
