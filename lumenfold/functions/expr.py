@@ -694,11 +694,13 @@ class Expr:
         return self._agg("bitwise_xor", lambda x, c: x.agg(F.bit_xor(c)))
 
     def entropy(self, base: float = math.e, normalize: bool = True) -> Expr:
+        """Of the values that aren't null, as a distribution if ``normalize``; NaN where one is zero or negative."""
+
         def fn(x, c):
-            total = x.agg(F.sum(c))
-            if not normalize:
-                return -x.agg(F.sum(c * F.log(c))) / math.log(base)
-            return (F.log(total) - x.agg(F.sum(c * F.log(c))) / total) / math.log(base)
+            low, total = x.agg(F.min(c)), x.agg(F.sum(c.cast("double")))
+            logs = x.agg(F.sum(c * F.log(c)))
+            out = F.log(total) - logs / F.nullif(total, F.lit(0.0)) if normalize else -logs
+            return F.when(low <= 0, math.nan).otherwise(out / math.log(base))
 
         return self._agg("entropy", fn)
 

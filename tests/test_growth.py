@@ -24,3 +24,10 @@ def test_correlation_of_what_does_not_vary(spark):
     flat = f.filter(col("i") < 5)
     assert math.isnan(flat.select(corr(col("a"), col("b")).alias("r")).collect()[0].r)
     assert math.isnan(flat.select("a", "b").corr().spark().collect()[0].b)
+
+
+def test_entropy_with_a_zero_is_nan(spark):
+    f = frame(spark, [(1, 1.0), (1, 1.0), (1, None), (2, 1.0), (2, 0.0), (3, -1.0), (3, 1.0), (4, None)], "g long, v double")
+    for normalize, one in ((True, 1.0), (False, 0.0)):
+        got = {r.g: r.e for r in f.group_by("g").agg(col("v").entropy(2.0, normalize).alias("e")).collect()}
+        assert got[1] == pytest.approx(one) and math.isnan(got[2]) and math.isnan(got[3]) and got[4] is None
