@@ -241,11 +241,11 @@ class Expr:
         return self._f("mul", lambda _, a, b: a * b, v)
 
     def div(self, v) -> Expr:
-        """Float division; by zero it gives an infinity or NaN."""
+        """Float division; by zero it gives an infinity or NaN, and null where a side is null."""
 
         def fn(_, a, b):
             a, b = a.cast("double"), b.cast("double")
-            inf = F.when(a > 0, math.inf).when(a < 0, -math.inf).otherwise(math.nan)
+            inf = F.when(a > 0, math.inf).when(a < 0, -math.inf).when(a == 0, math.nan)
             return F.when(b == 0, F.when(F.isnan(a), math.nan).otherwise(inf)).otherwise(a / F.nullif(b, F.lit(0.0)))
 
         return self._f("div", fn, v)
@@ -393,7 +393,19 @@ class Expr:
         return self._map("erfc", _erf("erfc"))
 
     def round(self, decimals: int = 0, mode: str = "half_away_from_zero") -> Expr:
-        return self._map("round", lambda c: (F.bround if mode == "half_to_even" else F.round)(c, decimals))
+        """Floats are scaled, rounded to a whole number and scaled back, so what the scaling makes a tie is one; a float too
+        large to be scaled is its own rounding."""
+        nearest = F.bround if mode == "half_to_even" else F.round
+        once = let if self.has(*_OVER) else lambda c, fn: fn(c)  # a window that stands twice is computed twice
+
+        def fn(x, c):
+            if not 0 < decimals <= 22 or not isinstance(x.type_of(c), FLOATS):
+                return nearest(c, decimals)
+            scale, kind = 10.0**decimals, x.type_of(c)
+            scaled = lambda v: nearest(v.cast("double") * scale, 0) / scale
+            return once(c, lambda v: F.when(F.abs(scaled(v)) < math.inf, scaled(v)).otherwise(v)).cast(kind)
+
+        return self._f("round", fn)
 
     def truncate(self, decimals: int = 0) -> Expr:
         s = 10.0**decimals

@@ -31,3 +31,22 @@ def test_entropy_with_a_zero_is_nan(spark):
     for normalize, one in ((True, 1.0), (False, 0.0)):
         got = {r.g: r.e for r in f.group_by("g").agg(col("v").entropy(2.0, normalize).alias("e")).collect()}
         assert got[1] == pytest.approx(one) and math.isnan(got[2]) and math.isnan(got[3]) and got[4] is None
+
+
+def test_nothing_by_zero_is_null(spark):
+    f = frame(spark, [(0, 0.0, 0.0), (1, None, 0.0), (2, 1.0, None), (3, -1.0, 0.0)], "i long, a double, b double")
+    got = [r.q for r in f.select("i", (col("a") / col("b")).alias("q")).spark().orderBy("i").collect()]
+    assert math.isnan(got[0]) and got[1:] == [None, None, -math.inf]
+
+
+def test_rounding_scales_first(spark):
+    tie = 0.285  # 0.284999... scaled by 100 is 28.499999999999996
+    values = [tie, -tie, 2.5, 1e305, math.inf, math.nan, None, 1.005]
+    f = frame(spark, [(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = [r.r for r in f.select("i", col("v").round(2).alias("r")).spark().orderBy("i").collect()]
+    want = [0.28, -0.28, 2.5, 1e305, math.inf, math.nan, None, 1.0]
+    assert all(same(a, b) for a, b in zip(got, want, strict=True))
+    over = f.select("i", col("v").sum().over("i").round(2).alias("r")).spark().orderBy("i").collect()
+    assert all(same(r.r, b) for r, b in zip(over, want, strict=True))
+    whole = frame(spark, [(7, 1.25)], "n int, x float").select(col("n").round(2), col("x").round(1)).spark()
+    assert [k for _, k in whole.dtypes] == ["int", "float"] and tuple(whole.collect()[0]) == (7, pytest.approx(1.3))
