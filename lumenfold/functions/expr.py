@@ -74,9 +74,12 @@ class Ctx:
     def rows(self, lo: int, hi: int):
         return self.ordered().rowsBetween(lo, hi)
 
-    def backwards(self):
-        flip = [c.desc_nulls_first() if self.order is None else F.col(ROW).desc() for c in self.keys()]
-        return Window.partitionBy(*self.part).orderBy(*flip)
+    def onward(self, order=None):
+        """Each row and those after it, as a frame that runs from the partition's end. One that runs from the row to the end
+        is folded anew for each row, which takes the square of the partition."""
+        w = self.ordered() if order is None else Window.partitionBy(*self.part).orderBy(*order)
+        at = F.col(ROW) if order is None and self.order is None else self.stage(F.row_number().over(w))
+        return Window.partitionBy(*self.part).orderBy(at.desc()).rowsBetween(_START, 0)
 
 
 #: Inside Expr, ``str`` is a namespace.
@@ -1031,13 +1034,13 @@ class Expr:
 
     def _cum(self, label: str, fn, reverse: bool) -> Expr:
         def build(x, c):
-            w = x.rows(0, _END) if reverse else x.rows(_START, 0)
+            w = x.onward() if reverse else x.rows(_START, 0)
             return F.when(c.isNotNull(), fn(x, c).over(w))
 
         return self._win(label, build)
 
     def cum_count(self, reverse: bool = False) -> Expr:
-        return self._win("cum_count", lambda x, c: F.count(F.lit(1)).over(x.rows(0, _END) if reverse else x.rows(_START, 0)))
+        return self._win("cum_count", lambda x, c: F.count(F.lit(1)).over(x.onward() if reverse else x.rows(_START, 0)))
 
     def cum_sum(self, reverse: bool = False) -> Expr:
         return self._cum("cum_sum", lambda x, c: F.sum(c.cast("decimal(38,0)") if isinstance(x.type_of(c), INTS) else c), reverse)
@@ -1077,7 +1080,7 @@ class Expr:
         return self._win("forward_fill", lambda x, c: F.last(c, ignorenulls=True).over(x.rows(-limit if limit else _START, 0)))
 
     def backward_fill(self, limit: int = 0) -> Expr:
-        return self._win("backward_fill", lambda x, c: F.first(c, ignorenulls=True).over(x.rows(0, limit if limit else _END)))
+        return self._win("backward_fill", lambda x, c: F.first(c, ignorenulls=True).over(x.rows(0, limit)) if limit else F.last(c, ignorenulls=True).over(x.onward()))
 
     def fill_null(self, strategy: str, limit: int = 0) -> Expr:
         """zero, one, forward, backward, min, max or mean."""
@@ -1246,16 +1249,15 @@ class Expr:
 
     def interpolate(self, method: str = "linear") -> Expr:
         def fn(x, c):
-            n = F.row_number().over(x.ordered())
-            return _interpolated(c, n, x.rows(_START, 0), x.rows(0, _END), method)
+            n = x.stage(F.row_number().over(x.ordered()))
+            return _interpolated(c, n, x.rows(_START, 0), x.onward(), method)
 
         return self._win("interpolate", fn)
 
     def interpolate_by(self, by) -> Expr:
         def fn(x, c, b):
             at = (b if isinstance(x.type_of(b), (*INTS, *FLOATS)) else F.unix_micros(b.cast("timestamp"))).cast("double")
-            w = Window.partitionBy(*x.part).orderBy(at)
-            return _interpolated(c, at, w.rowsBetween(_START, 0), w.rowsBetween(0, _END), "linear")
+            return _interpolated(c, at, Window.partitionBy(*x.part).orderBy(at).rowsBetween(_START, 0), x.onward([at]), "linear")
 
         return self._by("interpolate_by", fn, by, kind="spread")
 
@@ -1509,10 +1511,11 @@ def _ewm_state(arr, a: float, adjust: bool, ignore_nulls: bool):
 
 
 def _interpolated(c, at, before, after, method):
+    """``before`` runs from the start to the row, ``after`` from the end to it."""
     c = c.cast("double")
     spot = F.when(c.isNotNull(), at)
     lv, lp = F.last(c, ignorenulls=True).over(before), F.last(spot, ignorenulls=True).over(before)
-    rv, rp = F.first(c, ignorenulls=True).over(after), F.first(spot, ignorenulls=True).over(after)
+    rv, rp = F.last(c, ignorenulls=True).over(after), F.last(spot, ignorenulls=True).over(after)
     if method == "nearest":
         fill = F.when(lv.isNotNull() & rv.isNotNull(), F.when(at - lp < rp - at, lv).otherwise(rv))
     else:

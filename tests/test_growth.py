@@ -50,3 +50,18 @@ def test_rounding_scales_first(spark):
     assert all(same(r.r, b) for r, b in zip(over, want, strict=True))
     whole = frame(spark, [(7, 1.25)], "n int, x float").select(col("n").round(2), col("x").round(1)).spark()
     assert [k for _, k in whole.dtypes] == ["int", "float"] and tuple(whole.collect()[0]) == (7, pytest.approx(1.3))
+
+
+@pytest.mark.parametrize("over", [{}, {"order_by": "i"}])
+def test_windows_to_the_end_take_no_square(spark, over):
+    n = 60_000  # squared, this took minutes
+    f = Frame(spark.range(n).coalesce(1).selectExpr("id AS i", "IF(id % 1000 = 7, CAST(id AS double), NULL) AS v"))
+    v = col("v")
+    exprs = {"back": v.backward_fill(), "line": v.interpolate(), "near": v.interpolate("nearest"), "total": v.cum_sum(reverse=True), "left": v.cum_count(reverse=True)}
+    got = f.select("i", *[(e.over(**over) if over else e).alias(k) for k, e in exprs.items()])
+    plan = got.spark()._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan
+    rows = sorted(got.spark().collect())
+    assert [rows[i].back for i in (0, 7, 8, n - 1)] == [7.0, 7.0, 1007.0, None] and [rows[i].line for i in (0, 7, 8, 500, n - 1)] == [None, 7.0, 8.0, 500.0, None]
+    assert [rows[i].near for i in (8, 507, 506)] == [7.0, 1007.0, 7.0] and rows[n - 1].left == 1 and rows[0].left == n
+    assert rows[59_007].total == 59_007.0 and rows[58_007].total == 117_014.0
