@@ -65,3 +65,12 @@ def test_windows_to_the_end_take_no_square(spark, over):
     assert [rows[i].back for i in (0, 7, 8, n - 1)] == [7.0, 7.0, 1007.0, None] and [rows[i].line for i in (0, 7, 8, 500, n - 1)] == [None, 7.0, 8.0, 500.0, None]
     assert [rows[i].near for i in (8, 507, 506)] == [7.0, 1007.0, 7.0] and rows[n - 1].left == 1 and rows[0].left == n
     assert rows[59_007].total == 59_007.0 and rows[58_007].total == 117_014.0
+
+
+def test_fills_by_group_keep_their_group(spark):
+    f = Frame(spark.range(120_000).coalesce(1).selectExpr("id AS i", "id % 2 AS g", "IF(id % 50000 = 1, CAST(id AS double), NULL) AS v"))
+    by = {"order_by": "i"}
+    got = f.select("i", "g", col("v").fill_null("backward").over("g", **by).alias("b"), col("v").fill_null("forward").over("g", **by).alias("f"))
+    rows = sorted(got.spark().collect())
+    assert all(r.b is None and r.f is None for r in rows if r.g == 0)
+    assert [rows[i].b for i in (1, 3, 50_003, 100_003)] == [1.0, 50_001.0, 100_001.0, None] and [rows[i].f for i in (1, 3, 119_999)] == [1.0, 1.0, 100_001.0]
