@@ -36,15 +36,21 @@ class Ctx:
     element: Column | None = None
     stages: list = field(default_factory=list)
     frame: object = None
+    place: object = None
+    shared: dict = field(default_factory=dict)
 
     def staged(self) -> DataFrame:
         """The frame with the columns that had to be computed first."""
         return functools.reduce(lambda d, s: d.withColumn(*s), self.stages, self.df)
 
-    def stage(self, c: Column) -> Column:
-        """Compute a column one projection earlier: windows can't be nested in one."""
+    def stage(self, c: Column, key=None) -> Column:
+        """Compute a column one projection earlier: windows can't be nested in one. Those of one ``key`` are computed once."""
+        if key is not None and key in self.shared:
+            return F.col(self.shared[key])
         name = f"__w{len(self.stages)}"
         self.stages.append((name, c))
+        if key is not None:
+            self.shared[key] = name
         return F.col(name)
 
     def type_of(self, c: Column) -> T.DataType | None:
@@ -961,10 +967,11 @@ class Expr:
         """The expression within each partition, on all its rows; in the order of ``order_by`` where it depends on one."""
         keys = [to_expr(p) if not isinstance(p, str) else col(p) for p in partition]
         order = [] if order_by is None else list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
+        place = tuple(k if isinstance(k, str) else object() for k in partition), tuple(k if isinstance(k, str) else object() for k in order)
         order = [k if isinstance(k, SortKey) else asc(k) for k in order]
 
         def fn(x, *_):
-            inner = replace(x, part=tuple(k.compile(x) for k in keys), windowed=True, order=tuple(k.column(x) for k in order) or None)
+            inner = replace(x, part=tuple(k.compile(x) for k in keys), windowed=True, order=tuple(k.column(x) for k in order) or None, place=place)
             return self.compile(inner)
 
         kind = "over" if order or not self.has("window", "rowagg") else "window"
@@ -1189,36 +1196,27 @@ class Expr:
     def rolling_rank_by(self, by, period, method: str = "average", **o) -> Expr:
         return self.rolling_by("rolling_rank_by", by, period, lambda c, w: _rank_in(c, F.collect_list(c).over(w), method), **o)
 
-    def _ewm(self, label: str, alpha: float, ignore_nulls: bool, min_samples: int, fn) -> Expr:
-        """A fold over the rows before each row that have a weight of 2^-200 or more: beyond what a double can tell. So the
-        frame's length depends on the decay and not on the group, unless nulls are left out of the decay. ``min_samples``
-        counts values since the group's start."""
-        reach = _START if ignore_nulls or not 0 < alpha < 1 else -math.ceil(200 * math.log(2) / -math.log1p(-alpha))
-        values = lambda x, c: F.transform(F.collect_list(F.struct(c.cast("double").alias("v"))).over(x.rows(reach, 0)), lambda s: s["v"])
-        enough = lambda x, c: c.isNotNull() if min_samples <= 1 else c.isNotNull() & (F.count(c).over(x.rows(_START, 0)) >= min_samples)
-        return self._win(label, lambda x, c: F.when(enough(x, c), fn(values(x, c))))
+    def _ewm(self, label: str, alpha: float, adjust: bool, ignore_nulls: bool, min_samples: int, fn) -> Expr:
+        """A function of decaying sums; see _Decay. ``min_samples`` counts values since the group's start."""
+        tag = self.fn if self.kind == "col" else object()
 
-    def ewm_mean(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, min_samples: int = 1) -> Expr:
-        a = ewm_alpha(alpha, span, com, half_life)
-        return self._ewm("ewm_mean", a, ignore_nulls, min_samples, lambda arr: _ewm_state(arr, a, adjust, ignore_nulls)["m"])
+        def build(x, c):
+            d = _Decay(x, c.cast("double"), tag, alpha, adjust, ignore_nulls)
+            return F.when(c.isNotNull() if min_samples <= 1 else c.isNotNull() & (d.count() >= min_samples), fn(d))
 
-    def ewm_var(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, bias: bool = False, min_samples: int = 1) -> Expr:
-        a = ewm_alpha(alpha, span, com, half_life)
+        return self._win(label, build)
 
-        def fn(arr):
-            s = _ewm_state(arr, a, adjust, ignore_nulls)
-            biased = F.greatest(s["q"] / s["w"] - s["m"] * s["m"], F.lit(0.0))
-            full = s["w"] * s["w"]
-            return biased if bias else F.when(full > s["w2"] * (1 + 1e-12), biased * full / (full - s["w2"]))
+    def ewm_mean(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, min_samples: int = 1) -> Expr:
+        return self._ewm("ewm_mean", ewm_alpha(alpha, span, com, half_life), adjust, ignore_nulls, min_samples, lambda d: d.mean())
 
-        return self._ewm("ewm_var", a, ignore_nulls, min_samples, fn)
+    def ewm_var(self, alpha: float | None = None, *, span=None, com=None, half_life=None, adjust: bool = True, ignore_nulls: bool = False, bias: bool = False, min_samples: int = 1) -> Expr:
+        return self._ewm("ewm_var", ewm_alpha(alpha, span, com, half_life), adjust, ignore_nulls, min_samples, lambda d: d.var(bias))
 
     def ewm_std(self, alpha: float | None = None, **o) -> Expr:
         return self.ewm_var(alpha, **o)._map("sqrt", F.sqrt)
 
     def ewm_sum(self, alpha: float | None = None, *, span=None, com=None, half_life=None, ignore_nulls: bool = False, min_samples: int = 1) -> Expr:
-        a = ewm_alpha(alpha, span, com, half_life)
-        return self._ewm("ewm_sum", a, ignore_nulls, min_samples, lambda arr: _ewm_state(arr, a, True, ignore_nulls)["s"])
+        return self._ewm("ewm_sum", ewm_alpha(alpha, span, com, half_life), True, ignore_nulls, min_samples, lambda d: d.total())
 
     def _ewm_by(self, label: str, by, half_life, pick, bounded: bool) -> Expr:
         """A fold over the rows before each row. ``bounded``: over those within 200 half-lives, as older ones weigh 2^-200 or
@@ -1488,26 +1486,55 @@ def ewm_alpha(alpha=None, span=None, com=None, half_life=None) -> float:
     return 1 - math.exp(-math.log(2) / half_life)
 
 
-def _ewm_state(arr, a: float, adjust: bool, ignore_nulls: bool):
-    """Fold a prefix: m mean, w weight, w2 sum of squared weights, q weighted squares, s decayed sum."""
-    z = lambda n: F.lit(0.0).alias(n)
-    start = F.struct(z("m"), z("w"), z("w2"), z("q"), z("s"), F.lit(False).alias("any"))
-    keep = 1 - a
-    gain = 1.0 if adjust else a
-
-    def step(s, v):
-        k = F.when(v.isNull() & F.lit(ignore_nulls), 1.0).otherwise(keep)
-        first = ~s["any"]
-        w0, w20, q0, s0 = s["w"] * k, s["w2"] * k * k, s["q"] * k, s["s"] * k
-        g = F.when(first, 1.0).otherwise(gain)
-        w = F.when(v.isNull(), w0).otherwise(w0 + g)
-        m = F.when(v.isNull(), s["m"]).when(first, v).otherwise((w0 * s["m"] + g * v) / w)
-        return F.struct(
-            m.alias("m"), w.alias("w"), F.when(v.isNull(), w20).otherwise(w20 + g * g).alias("w2"),
-            F.when(v.isNull(), q0).otherwise(q0 + g * v * v).alias("q"), F.when(v.isNull(), s0).otherwise(s0 + v).alias("s"), (s["any"] | v.isNotNull()).alias("any"),
-        )
-
-    return F.aggregate(arr, start, step)
+class _Decay:
+    """Sums of a row and those before it, whose weights fall by 1 - alpha a row (or, without nulls, a value).
+
+    A group is cut into blocks, over whose length weights fall by about 2^200, and sums run within a block as if all its rows
+    were weighed from its middle. What the block before adds is its total, decayed. Older rows weigh 2^-200 or less, beyond
+    what a double can tell. So a row costs the same whatever the decay and the group.
+    """
+
+    def __init__(self, x: Ctx, c: Column, tag, alpha: float, adjust: bool, ignore_nulls: bool):
+        self.x, self.c, self.keep = x, c, 1 - alpha
+        self.key = (x.place, tag, alpha, adjust, ignore_nulls)
+        self.count = lambda: x.stage(F.count(c).over(x.rows(_START, 0)), (x.place, tag, "count"))
+        self.size = 1 << 62 if self.keep >= 1 else 1 if self.keep <= 0 else max(1, round(200 * math.log(2) / -math.log(self.keep)))
+        self.row = x.stage(F.row_number().over(x.ordered()), (x.place, "row"))
+        at = (self.count() if ignore_nulls else self.row) - 1
+        self.block = x.stage(F.floor(at / F.lit(float(self.size))), (x.place, self.size, tag if ignore_nulls else None))
+        self.at = (at - self.block * self.size).cast("double")
+        self.gain = F.lit(1.0) if adjust else F.when(self.count() == 1, 1.0).otherwise(alpha)
+
+    def _sums(self, **terms) -> list[Column]:
+        """The decaying sums of (term, weight kept a row) by name."""
+        part, half = self.x.part, self.size // 2
+        own = Window.partitionBy(*part, self.block).orderBy(self.row).rowsBetween(_START, 0)
+        before = Window.partitionBy(*part).orderBy(self.block).rangeBetween(-1, -1)
+        made = []
+        for n, (term, keep) in terms.items():
+            made.append(F.sum(term * F.pow(F.lit(keep), half - self.at)).over(own).alias(n))
+            made.append(F.sum(term * F.pow(F.lit(keep), self.size - 1 - self.at)).over(before).alias(f"{n}_before"))
+        s = self.x.stage(F.struct(*made), (*self.key, *terms))
+        old = lambda n, keep: F.coalesce(s[f"{n}_before"] * F.pow(F.lit(keep), self.at + 1), F.lit(0.0)) if keep > 0 else 0.0
+        return [s[n] * F.pow(F.lit(keep), self.at - half) + old(n, keep) for n, (_, keep) in terms.items()]
+
+    def total(self) -> Column:
+        return self._sums(s=(self.c, self.keep))[0]
+
+    def mean(self) -> Column:
+        weight, total = self._sums(w=(F.when(self.c.isNotNull(), self.gain), self.keep), m=(self.gain * self.c, self.keep))
+        return total / weight
+
+    def var(self, bias: bool) -> Column:
+        """Each value adds to the decayed squares its distances from the mean before it and with it, as Welford has it."""
+        c, g, full = self.c, self.gain, self.c.isNotNull()
+        weight, total, squared = self._sums(w=(F.when(full, g), self.keep), m=(g * c, self.keep), w2=(F.when(full, g * g), self.keep * self.keep))
+        mean = F.when(full, total / weight)
+        w = Window.partitionBy(*self.x.part).orderBy(self.block, self.row).rowsBetween(_START, -1)
+        last = self.x.stage(F.last(mean, ignorenulls=True).over(w), (*self.key, "last"))
+        (squares,) = self._sums(q=(F.when(full, F.coalesce(g * (c - last) * (c - mean), F.lit(0.0))), self.keep))
+        biased, all_ = F.greatest(squares / weight, F.lit(0.0)), weight * weight
+        return biased if bias else F.when(all_ > squared * (1 + 1e-12), biased * all_ / (all_ - squared))
 
 
 def _interpolated(c, at, before, after, method):

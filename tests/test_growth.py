@@ -74,3 +74,31 @@ def test_fills_by_group_keep_their_group(spark):
     rows = sorted(got.spark().collect())
     assert all(r.b is None and r.f is None for r in rows if r.g == 0)
     assert [rows[i].b for i in (1, 3, 50_003, 100_003)] == [1.0, 50_001.0, 100_001.0, None] and [rows[i].f for i in (1, 3, 119_999)] == [1.0, 1.0, 100_001.0]
+
+
+@pytest.mark.parametrize(("alpha", "adjust", "ignore_nulls"), [(1e-3, True, False), (0.3, False, True), (0.99, False, False), (1.0, True, True)])
+def test_decay_against_its_recursion(spark, alpha, adjust, ignore_nulls):
+    n = 2500
+    rows = [(i, None if i % 11 in (0, 4, 5) else 1e3 + (i * 7919 % 1000) / 7) for i in range(n)]
+    o = {"adjust": adjust, "ignore_nulls": ignore_nulls}
+    v = col("v")
+    exprs = {"m": v.ewm_mean(alpha, **o), "b": v.ewm_var(alpha, bias=True, **o), "u": v.ewm_var(alpha, **o), "s": v.ewm_sum(alpha, ignore_nulls=ignore_nulls)}
+    f = frame(spark, rows, "i long, v double").select("i", *[e.over(order_by="i").alias(k) for k, e in exprs.items()])
+    assert "aggregate(" not in f.explain()  # no row folds the rows before it
+    got = sorted(f.spark().collect())
+    w = w2 = q = m = s = 0.0
+    first = True
+    for (_, x), r in zip(rows, got, strict=True):
+        k = 1.0 if ignore_nulls and x is None else 1 - alpha
+        w, w2, q, s = w * k, w2 * k * k, q * k, s * k
+        if x is None:
+            assert (r.m, r.b, r.u, r.s) == (None,) * 4
+            continue
+        g = 1.0 if adjust or first else alpha
+        w, w2, s = w + g, w2 + g * g, s + x
+        old, m = m, x if first else m + g / (w) * (x - m)
+        q += 0.0 if first else g * (x - old) * (x - m)
+        first = False
+        assert r.m == pytest.approx(m, rel=1e-12) and r.s == pytest.approx(s, rel=1e-12) and r.b == pytest.approx(q / w, rel=1e-6, abs=1e-9)
+        u = q / w * w * w / (w * w - w2) if w * w > w2 * (1 + 1e-12) else None
+        assert r.u is None if u is None else r.u == pytest.approx(u, rel=1e-6, abs=1e-9)
