@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +13,12 @@ from lumenfold.functions.expr import Expr, to_expr
 from lumenfold.functions.temporal import java_format
 
 
+#: What a text has that a normal form changes: others are the form already.
+_CHANGED = {"NFC": r"[^\x{0}-\x{2FF}]", "NFD": r"[^\x{0}-\x{BF}]", "NFKC": r"[^\x{0}-\x{9F}]", "NFKD": r"[^\x{0}-\x{9F}]"}
+#: Texts that Python holds at once as objects.
+_PIECE = 64
+
+
 def quote(s: str) -> str:
     """A literal as a Java regular expression."""
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -278,7 +284,20 @@ class Strings:
         return self._map("json_decode", lambda c: F.from_json(c, kind))
 
     def normalize(self, form: str = "NFC") -> Expr:
-        return self.e.map_batches(lambda s: s.map(functools.partial(unicodedata.normalize, form), na_action="ignore"), "string")
+        """Texts with a character that the form may change go to Python, in Arrow's form and few at a time; others stay as they are."""
+
+        def fn(c):
+            from pyspark.sql.functions import arrow_udf
+
+            # annotated by hand: the module's annotations are texts
+            def run(texts):
+                pieces = [pa.array([None if t is None else unicodedata.normalize(form, t) for t in texts.slice(i, _PIECE).to_pylist()], pa.string()) for i in range(0, len(texts), _PIECE)]
+                return pa.concat_arrays(pieces) if pieces else texts.cast(pa.string())
+
+            run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+            return F.coalesce(arrow_udf(run, "string")(F.when(c.rlike(_CHANGED[form]), c)), c)
+
+        return self._map("normalize", fn)
 
     def escape_regex(self) -> Expr:
         return self._map("escape_regex", lambda c: F.regexp_replace(c, r"([\\.+*?()|\[\]{}^$\-#&~])", r"\\$1"))

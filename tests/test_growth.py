@@ -102,3 +102,13 @@ def test_decay_against_its_recursion(spark, alpha, adjust, ignore_nulls):
         assert r.m == pytest.approx(m, rel=1e-12) and r.s == pytest.approx(s, rel=1e-12) and r.b == pytest.approx(q / w, rel=1e-6, abs=1e-9)
         u = q / w * w * w / (w * w - w2) if w * w > w2 * (1 + 1e-12) else None
         assert r.u is None if u is None else r.u == pytest.approx(u, rel=1e-6, abs=1e-9)
+
+
+def test_texts_reach_their_normal_forms(spark):
+    import unicodedata
+
+    texts = ["plain", "", None, "café", "café", "Å", " x", "½", "ﬁ", "̈́", "ẛ̣", "\U0001d15e", "à̕", "각", "˿", "¿", "\u009f"] * 30
+    f = frame(spark, list(enumerate(texts)), "i long, t string")
+    forms = ["NFC", "NFD", "NFKC", "NFKD"]
+    for r, t in zip(f.select("i", *[col("t").str.normalize(k).alias(k) for k in forms]).spark().orderBy("i").collect(), texts, strict=True):
+        assert [r[k] for k in forms] == [None if t is None else unicodedata.normalize(k, t) for k in forms]
