@@ -112,3 +112,14 @@ def test_texts_reach_their_normal_forms(spark):
     forms = ["NFC", "NFD", "NFKC", "NFKD"]
     for r, t in zip(f.select("i", *[col("t").str.normalize(k).alias(k) for k in forms]).spark().orderBy("i").collect(), texts, strict=True):
         assert [r[k] for k in forms] == [None if t is None else unicodedata.normalize(k, t) for k in forms]
+
+
+def test_large_samples_sort_no_whole_frame(spark):
+    n = 300_000
+    f = Frame(spark.range(0, n, 1, 4))
+    a, b = f.sample_n(200_001, seed=3), f.sample_n(200_001, seed=3)
+    assert a.height() == 200_001 and a.equals(b) and a.spark().distinct().count() == 200_001
+    assert f.sample_n(n + 5, seed=3).height() == n and f.sample_fraction(0.25, seed=3).height() == n // 4
+    few, many = f.sample_n(60_000, seed=5).spark(), f.sample_n(70_000, seed=5).spark()
+    assert few.exceptAll(many).isEmpty()  # both ways take the lowest hashes
+    assert "GlobalLimit 200001" not in a.explain()
