@@ -80,9 +80,11 @@ def group_all(spark, d):
     "SELECT o_custkey, count(*) AS n, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1",
 )
 def map_groups(spark, d):
+    import pandas as pd
+
     def one(pdf):
-        p = pdf["o_totalprice"]
-        return pdf.head(1)[["o_custkey"]].assign(n=len(pdf), spread=round(p.max() - p.min(), 2))
+        p = pdf["o_totalprice"].to_numpy()
+        return pd.DataFrame({"o_custkey": [pdf["o_custkey"].iat[0]], "n": [len(p)], "spread": [round(p.max() - p.min(), 2)]})
 
     return scan(spark, d, "orders").select("o_custkey", "o_totalprice").group_by("o_custkey").map_groups(one, "o_custkey bigint, n bigint, spread double")
 

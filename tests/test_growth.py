@@ -123,3 +123,19 @@ def test_large_samples_sort_no_whole_frame(spark):
     few, many = f.sample_n(60_000, seed=5).spark(), f.sample_n(70_000, seed=5).spark()
     assert few.exceptAll(many).isEmpty()  # both ways take the lowest hashes
     assert "GlobalLimit 200001" not in a.explain()
+
+
+def test_functions_of_groups_in_batches(spark):
+    import pandas as pd
+
+    n = 45_000  # the null key's rows span batches of 10,000
+    f = Frame(spark.range(0, n, 1, 3).selectExpr("IF(id % 2 = 0, NULL, id % 1000) AS k", "id AS v"))
+    def one(key, g):  # noqa: E306
+        assert g["v"].is_monotonic_increasing
+        return pd.DataFrame({"k": [None if pd.isna(key[0]) else int(key[0])], "n": [len(g)], "first": [int(g["v"].iat[0])]})
+
+    got = f.group_by("k").map_groups(one, "k long, n long, first long")
+    assert "FlatMapGroups" not in got.explain()
+    rows = {r.k: (r.n, r.first) for r in got.spark().collect()}
+    assert rows == {None: (n // 2, 0)} | {k: (45, k) for k in range(1, 1000, 2)}
+    assert {r.n for r in f.group_by("k").map_groups(lambda g: g[["v"]].head(0).rename(columns={"v": "n"}), "n long").spark().collect()} == set()
