@@ -118,25 +118,10 @@ def agg_unique_list(spark, d):
     SELECT user_id, count(*)::INTEGER AS len, min(event_type) AS value, min(event_id) AS start FROM r GROUP BY user_id, run""",
 )
 def agg_rle(spark, d):
-    from lumenfold.functions.expr import struct
-
-    f = _events(spark, d).group_by("user_id").agg(col("event_type").rle().alias("r"), col("event_id").implode().alias("ids"))
-    f = f.explode("r") if False else f
-    starts = col("r")._map("starts", _starts)
-    f = f.select("user_id", struct(col("r"), starts.alias("at"), col("ids")).alias("s")).select("user_id", col("s")._map("rows", _rows).alias("row")).explode("row").unnest("row")
-    return f.select("user_id", col("len").cast("int"), "value", "start")
-
-
-def _starts(r):
-    from pyspark.sql import functions as F
-
-    return F.transform(r, lambda _, i: F.aggregate(F.slice(r, F.lit(1), i), F.lit(0), lambda s, x: s + x["len"].cast("int")))
-
-
-def _rows(s):
-    from pyspark.sql import functions as F
-
-    return F.transform(s["r"], lambda x, i: F.struct(x["len"].alias("len"), x["value"].alias("value"), F.get(s["ids"], F.get(s["at"], i)).alias("start")))
+    kind = col("event_type")
+    new = kind.rle_id().ne_missing(kind.rle_id().shift(1))
+    f = _events(spark, d).group_by("user_id").agg(kind.rle().alias("r"), when(new).then(col("event_id")).drop_nulls().alias("start"))
+    return f.explode("r", "start").unnest("r").select("user_id", col("len").cast("int"), "value", "start")
 
 
 @query("agg_reshape", "SELECT array_to_string([n_nationkey, n_nationkey + 1, n_nationkey + 2, n_nationkey + 3, n_nationkey + 4], ',') AS row FROM nation WHERE n_nationkey % 5 = 0")

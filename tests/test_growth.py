@@ -139,3 +139,18 @@ def test_functions_of_groups_in_batches(spark):
     rows = {r.k: (r.n, r.first) for r in got.spark().collect()}
     assert rows == {None: (n // 2, 0)} | {k: (45, k) for k in range(1, 1000, 2)}
     assert {r.n for r in f.group_by("k").map_groups(lambda g: g[["v"]].head(0).rename(columns={"v": "n"}), "n long").spark().collect()} == set()
+
+
+def test_runs_of_long_groups(spark):
+    from lumenfold.plans import aggregates
+
+    n = 6000  # places of runs, found anew for each run, took the cube of a group
+    rows = [(i, 1, "ab"[i // 3 % 2], float(i)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").createOrReplaceTempView("runs")
+    held = aggregates.scan
+    aggregates.scan = lambda s, d, name: Frame(s.table("runs"))
+    try:
+        got = sorted(tuple(r) for r in aggregates.agg_rle(spark, "").select("start", "len", "value").spark().collect())
+    finally:
+        aggregates.scan = held
+    assert got == [(i, 3, "ab"[i // 3 % 2]) for i in range(0, n, 3)]
