@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.functions.expr import Ctx, Expr
+from lumenfold.sources.io import shared_dir
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", max_files: int = 1000, pattern: str = "*") -> DataFrame:
@@ -63,10 +64,19 @@ def running_totals(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run over everything that is there and return it from memory; for tests and small results."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    """Run over everything that is there and return it from files in the shared folder, which the executors write: what all
+    batches gave, or in complete mode the last. A batch that runs again writes its files again."""
+    spark = df.sparkSession
+    where, done = f"{checkpoint or f'{shared_dir(spark)}/{name}'}-rows", {}
+
+    def keep(rows, i):
+        rows.write.mode("overwrite").parquet(f"{where}/{i}")
+        done[i] = f"{where}/{i}"
+
+    w = df.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).trigger(availableNow=True)
     (w.option("checkpointLocation", checkpoint) if checkpoint else w).start().awaitTermination()
-    return df.sparkSession.table(name)
+    paths = [done[i] for i in sorted(done)][-1 if mode == "complete" else 0 :]
+    return spark.read.schema(df.schema).parquet(*paths) if paths else spark.createDataFrame([], df.schema)
 
 
 def sink(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append", trigger: str | None = None):

@@ -154,3 +154,19 @@ def test_runs_of_long_groups(spark):
     finally:
         aggregates.scan = held
     assert got == [(i, 3, "ab"[i // 3 % 2]) for i in range(0, n, 3)]
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_drained_streams_stay_with_the_executors(spark, tmp_path, mode):
+    from pyspark.sql import functions as F
+
+    from lumenfold.streaming import streams
+
+    place = str(tmp_path / "in")
+    spark.range(0, 1000, 1, 4).withColumn("k", F.col("id") % 7).write.parquet(place)
+    df = streams.read_stream(spark, place, "id long, k long", max_files=1, pattern="*.parquet")
+    df = df.groupBy("k").count() if mode == "complete" else df.select("k")
+    got = streams.drain(df, f"drained_{mode}", mode, str(tmp_path / "state"))
+    assert got.inputFiles()  # from files, and not from the driver's memory
+    assert sorted(map(tuple, (got if mode == "complete" else got.groupBy("k").count()).collect())) == [(k, len(range(k, 1000, 7))) for k in range(7)]
+    assert streams.drain(streams.read_stream(spark, place, "id long", pattern="none"), f"nothing_{mode}", checkpoint=str(tmp_path / "none")).count() == 0
