@@ -54,6 +54,10 @@ def join(left: Frame, right: Frame, on=None, left_on=None, right_on=None, how="i
         rdf = _checked(rdf, [f"__rk{i}" for i in range(len(rk))], validate)
     pair = [(F.col(f"`{n}`"), F.col(f"__rk{i}")) for i, n in enumerate(own)]
     cond = functools.reduce(lambda a, b: a & b, [a.eqNullSafe(b) if nulls_equal else a == b for a, b in pair])
+    if nulls_equal:
+        # the null key's rows multiply: dealt out, they and their pairs are in all tasks where one side is broadcast
+        n = int(ldf.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ldf, rdf = ldf.repartition(n), rdf.repartition(n)
     df = ldf.join(rdf, cond, _HOW[how])
     order = F.col("__rrow") if maintain_order == "right" else F.col(ROW)
     if how in ("semi", "anti"):

@@ -170,3 +170,13 @@ def test_drained_streams_stay_with_the_executors(spark, tmp_path, mode):
     assert got.inputFiles()  # from files, and not from the driver's memory
     assert sorted(map(tuple, (got if mode == "complete" else got.groupBy("k").count()).collect())) == [(k, len(range(k, 1000, 7))) for k in range(7)]
     assert streams.drain(streams.read_stream(spark, place, "id long", pattern="none"), f"nothing_{mode}", checkpoint=str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_pairs_of_a_null_key_are_made_in_many_tasks(spark, how):
+    from pyspark.sql import functions as F
+
+    f = frame(spark, [(None if i % 2 else i, i) for i in range(1200)], "k long, v long")
+    got = f.join(f, on="k", nulls_equal=True, how=how).spark()
+    assert got.count() == 600 * 600 + 600 and got.distinct().count() == got.count()
+    assert got.filter("k is null").groupBy(F.spark_partition_id()).count().count() > 1
