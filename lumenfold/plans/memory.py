@@ -308,7 +308,7 @@ def csv_skipped_lines(spark, d):
 # -- databases ---------------------------------------------------------------------------------------------------------
 @query("database_round_trip", _SQL)
 def database_round_trip(spark, d):
-    """Through the database that comes with Spark, in the JVM's memory: for a session whose executors are in the driver."""
+    """Through the database that comes with Spark, in the memory of the driver's JVM."""
     import uuid
 
     url, driver = f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"

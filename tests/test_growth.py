@@ -180,3 +180,22 @@ def test_pairs_of_a_null_key_are_made_in_many_tasks(spark, how):
     got = f.join(f, on="k", nulls_equal=True, how=how).spark()
     assert got.count() == 600 * 600 + 600 and got.distinct().count() == got.count()
     assert got.filter("k is null").groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_databases_in_the_driver_are_not_opened_by_executors(spark):
+    import uuid
+
+    from lumenfold.sources import io
+
+    url, driver = f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    n = 2 * io._JDBC_ROWS + 7
+    f = Frame(spark.range(0, n, 1, 3).selectExpr("id AS k", "IF(id % 5 = 0, NULL, CAST(id AS string)) AS s", "id / 2 AS x"))
+    f.write_database(url, "t", driver=driver)
+    f.filter(col("k") < 10).write_database(url, "t", if_exists="append", driver=driver)
+    out = io.read_database(spark, url, "SELECT * FROM t", driver=driver, overrides="k bigint").spark()
+    assert out.inputFiles()  # written by the driver, where a scan through JDBC has none
+    want = f.spark().union(f.spark().filter("k < 10"))
+    assert out.count() == n + 10 and out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+    assert io.read_database(spark, url, 'SELECT "k" FROM t WHERE "k" < 0', driver=driver).height() == 0
+    f.filter(col("k") < 3).write_database(url, "t", if_exists="replace", driver=driver)
+    assert io.read_database(spark, url, "SELECT * FROM t", driver=driver).height() == 3
