@@ -54,11 +54,14 @@ def join(left: Frame, right: Frame, on=None, left_on=None, right_on=None, how="i
         rdf = _checked(rdf, [f"__rk{i}" for i in range(len(rk))], validate)
     pair = [(F.col(f"`{n}`"), F.col(f"__rk{i}")) for i, n in enumerate(own)]
     cond = functools.reduce(lambda a, b: a & b, [a.eqNullSafe(b) if nulls_equal else a == b for a, b in pair])
-    if nulls_equal:
+    if nulls_equal and how == "inner" and len(pair) == 1:
+        df = _null_pairs(ldf, rdf, *pair[0])
+    elif nulls_equal:
         # the null key's rows multiply: dealt out, they and their pairs are in all tasks where one side is broadcast
         n = int(ldf.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ldf, rdf = ldf.repartition(n), rdf.repartition(n)
-    df = ldf.join(rdf, cond, _HOW[how])
+        df = ldf.repartition(n).join(rdf.repartition(n), cond, _HOW[how])
+    else:
+        df = ldf.join(rdf, cond, _HOW[how])
     order = F.col("__rrow") if maintain_order == "right" else F.col(ROW)
     if how in ("semi", "anti"):
         df = df.orderBy(order) if keep_order and maintain_order != "right" else df
@@ -76,6 +79,15 @@ def join(left: Frame, right: Frame, on=None, left_on=None, right_on=None, how="i
     return Frame(df.select(*cols))
 
 
+def _null_pairs(ldf: DataFrame, rdf: DataFrame, a, b) -> DataFrame:
+    """The rows whose keys a and b are equal or both null. The null key's rows, all with all, are dealt out on both sides, so
+    that many tasks make them whatever the planner does; the others keep as many tasks as there are, however few their bytes."""
+    n = int(ldf.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = ldf.filter(a.isNotNull()).repartition(n, a).join(rdf.filter(b.isNotNull()).repartition(n, b), a == b)
+    few = min(n, 32)
+    return full.union(ldf.filter(a.isNull()).repartition(few).crossJoin(rdf.filter(b.isNull()).repartition(few)))
+
+
 def _checked(df, keys, what):
     """Fail where a key repeats (null keys aside)."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
